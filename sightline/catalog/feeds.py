@@ -172,7 +172,7 @@ def sink_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
          '10.' || cast(n // 65536 % 256 as varchar) || '.' || cast(n // 256 % 256 as varchar) || '.'
            || cast(n % 256 as varchar) end as host, error
        from (select c.cidr, c.error,
-               c.base - c.base % cast(pow(2, 32 - p) as bigint) + h.i as n
+               c.base - c.base % greatest(1, cast(pow(2, 32 - p) as bigint)) + h.i as n
              from cidrs c left join (select unnest(range(0, 1024)) as i) h
                on c.error is null and h.i < pow(2, 32 - p)
                and (p > 30 or (h.i > 0 and h.i < pow(2, 32 - p) - 1)))""",

@@ -40,9 +40,9 @@ def held_before(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Interfaces and links as the earlier pass left them."""
     first = links.resolve(
         earlier_sightings(obs), links.empty_interfaces(obs), links.empty_links(obs), "first",
-        check=False,
+        check=False, settle=True,
     )
-    return cut(first.interfaces), cut(first.links)
+    return first.interfaces, first.links
 
 
 def second_pass(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, links.Pass]:

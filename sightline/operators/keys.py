@@ -56,7 +56,8 @@ def seen_window(keys: DataFrame) -> DataFrame:
 def witnesses(keys: DataFrame) -> DataFrame:
     """Each member with its witness: the smallest other member, or itself when alone."""
     groups = key_groups(keys).select(*KEY, "members", "first_id", "second_id")
-    return lookup(keys, groups, KEY, "members", "obs_id").select(
+    found = lookup(keys, groups, KEY, "members", "obs_id", weights=seen_window(keys))
+    return found.select(
         *keys.columns,
         "members",
         F.when(F.col("obs_id") == F.col("first_id"), F.coalesce("second_id", "obs_id"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from sightline import schemas as S
 from sightline.functions.facts import int_div, open_end, subject_of, uuid_shaped
-from sightline.operators.keys import KEY, key_groups, scoped_keys, witnesses_within
+from sightline.operators.keys import KEY, key_groups, scoped_keys, seen_window, witnesses_within
+from sightline.plans.lineage import cut
 from sightline.plans.skew import lookup
 
 SLOT = ["observation_id", "subject"]
@@ -109,12 +110,14 @@ def placements(
             member == F.col("first_id"), F.coalesce("second_id", "obs_id")
         ).otherwise(F.col("first_id"))
         group = resolved.select(*KEY, "members", "first_id", "second_id", "interface_id")
-        placed = lookup(keys, group, KEY, "members", "obs_id").withColumn("witness", witness)
+        placed = lookup(
+            keys, group, KEY, "members", "obs_id", weights=seen_window(keys)
+        ).withColumn("witness", witness)
     else:
         group = resolved.select(*KEY, "members", "interface_id")
         seen_at = keys.select("obs_id", *KEY, "observed_at")
         within = witnesses_within(keys, universe).join(seen_at, ["obs_id", *KEY])
-        placed = lookup(within, group, KEY, "members", "obs_id")
+        placed = lookup(within, group, KEY, "members", "obs_id", weights=seen_window(keys))
     return placed.select(
         F.col("obs_id").alias("observation_id"),
         F.col("interface_id").alias("subject"),
@@ -337,18 +340,27 @@ def resolve(
     pass_id: str,
     universe: DataFrame | None = None,
     check: bool = True,
+    settle: bool = False,
 ) -> Pass:
-    """A whole pass.  With ``check``, refusals are looked for before anything is returned."""
+    """A whole pass.  With ``check``, refusals are looked for before anything is returned.
+
+    With ``settle`` the interfaces met and the actions are checkpointed, so the
+    tables written from them come from one computation.
+    """
     if check and not contradictions(obs).isEmpty():
         raise Refused("a sighting id carries two different contents")
     keys = scoped_keys(obs)
     resolved = resolved_interfaces(keys, interfaces)
+    if settle:
+        resolved = cut(resolved)
     batch = once(obs.select("obs_id", "observed_at"))
     placed = placements(keys, resolved, universe)
     wanted = placed.unionByName(abstentions(batch, placed))
     if check and not operator_collisions(wanted, links).isEmpty():
         raise Refused("an operator holds a slot this pass would write")
     actions = diff(wanted, links, batch)
+    if settle:
+        actions = cut(actions)
     if check and not regressed(actions).isEmpty():
         raise Refused("a replacement is dated before the version it replaces")
     return Pass(

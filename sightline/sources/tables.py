@@ -27,14 +27,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+FACTS_TYPE = "array<struct<" + ",".join(f"{k}:{t}" for k, t in FACT_TYPES.items()) + ">>"
+
+
 def fact(kind: str, *fields: Column) -> Column:
     """One union element with only ``kind`` set."""
-    return F.struct(
-        *[
-            (F.struct(*fields) if k == kind else F.lit(None)).cast(FACT_TYPES[k]).alias(k)
-            for k in FACT_KINDS
-        ]
-    )
+    parts = [
+        x
+        for k in FACT_KINDS
+        for x in (F.lit(k), F.struct(*fields) if k == kind else F.lit(None).cast(FACT_TYPES[k]))
+    ]
+    return F.named_struct(*parts)
+
+
+def facts_where(*tested: tuple[Column | None, Column]) -> Column:
+    """Array of the facts whose test holds, in order; stays inside generated code."""
+    none = F.array().cast(FACTS_TYPE)
+    return F.concat(*[
+        F.array(f) if test is None else F.when(test, F.array(f)).otherwise(none)
+        for test, f in tested
+    ])
 
 
 def _two(number: Column) -> Column:
@@ -87,29 +99,31 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(obs_id, connector_id, observed_at, l2_domain, vantage, facts, raw)."""
     c = F.col
     flat = sighting_columns(spark, sf_dir)
-    facts = F.array_compact(
-        F.array(
-            fact("IpV4", c("ipv4").alias("addr")),
-            F.when(
-                c("hostname").isNotNull(),
-                fact("Hostname", c("hostname").alias("name"), F.lit("Dhcp").alias("source")),
-            ),
-            F.when(
-                c("mac").isNotNull(),
-                fact("Mac", c("mac").alias("addr"), c("mac_flag").alias("locally_administered")),
-            ),
-            F.when(
-                c("mac2").isNotNull(),
-                fact("Mac", c("mac2").alias("addr"), c("mac_flag").alias("locally_administered")),
-            ),
-            F.when(c("rtt").isNotNull(), fact("Rtt", c("rtt").alias("millis"))),
-            F.when(c("peer_mac").isNotNull(), fact("Uplink", c("peer_mac"), c("peer_port"))),
-            F.when(c("vendor").isNotNull(), fact("OuiVendor", c("vendor"))),
-            F.when(
-                c("lease_until").isNotNull(),
-                fact("DhcpLease", c("ipv4").alias("ip"), c("lease_until").alias("expires_at")),
-            ),
-        )
+
+    def given(name: str) -> Column:
+        return c(name).isNotNull()
+
+    facts = facts_where(
+        (None, fact("IpV4", c("ipv4").alias("addr"))),
+        (
+            given("hostname"),
+            fact("Hostname", c("hostname").alias("name"), F.lit("Dhcp").alias("source")),
+        ),
+        (
+            given("mac"),
+            fact("Mac", c("mac").alias("addr"), c("mac_flag").alias("locally_administered")),
+        ),
+        (
+            given("mac2"),
+            fact("Mac", c("mac2").alias("addr"), c("mac_flag").alias("locally_administered")),
+        ),
+        (given("rtt"), fact("Rtt", c("rtt").alias("millis"))),
+        (given("peer_mac"), fact("Uplink", c("peer_mac"), c("peer_port"))),
+        (given("vendor"), fact("OuiVendor", c("vendor"))),
+        (
+            given("lease_until"),
+            fact("DhcpLease", c("ipv4").alias("ip"), c("lease_until").alias("expires_at")),
+        ),
     )
     return flat.select(
         "obs_id", "connector_id", "observed_at", "l2_domain", "vantage", facts.alias("facts"), "raw"

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
-from sightline.functions.facts import mac_octets, mac_text
+from sightline.functions.facts import is_locally_administered, mac_octets, mac_text
 from sightline.plans.ordering import with_position
-from sightline.sources.tables import FACT_TYPES, fact
+from sightline.sources.tables import FACT_TYPES, fact, facts_where
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 ISO_PATTERN = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?Z$"
@@ -179,22 +179,19 @@ def controller_clients(payloads: DataFrame, connector_id: str, l2_domain: str) -
         F.posexplode(F.from_json("body", f"data array<{client}>")["data"]).alias("seq", "c"),
     )
     c = F.col("c")
-    from sightline.functions.facts import is_locally_administered
-
-    facts = F.array_compact(
-        F.array(
-            F.when(
-                c["mac"].isNotNull(),
-                fact("Mac", F.lower(c["mac"]).alias("addr"),
-                     is_locally_administered(F.lower(c["mac"])).alias("locally_administered")),
-            ),
-            F.when(c["ip"].isNotNull(), fact("IpV4", c["ip"].alias("addr"))),
-            F.when(
-                c["hostname"].isNotNull(),
-                fact("Hostname", c["hostname"].alias("name"), F.lit("Dhcp").alias("source")),
-            ),
-            F.when(c["oui"].isNotNull(), fact("OuiVendor", c["oui"].alias("vendor"))),
-        )
+    own = F.lower(c["mac"])
+    facts = facts_where(
+        (
+            c["mac"].isNotNull(),
+            fact("Mac", own.alias("addr"),
+                 is_locally_administered(own).alias("locally_administered")),
+        ),
+        (c["ip"].isNotNull(), fact("IpV4", c["ip"].alias("addr"))),
+        (
+            c["hostname"].isNotNull(),
+            fact("Hostname", c["hostname"].alias("name"), F.lit("Dhcp").alias("source")),
+        ),
+        (c["oui"].isNotNull(), fact("OuiVendor", c["oui"].alias("vendor"))),
     )
     return rows.select(
         "poll",
