@@ -107,7 +107,7 @@ feed as (
     case when record = 'observation' then l2_domain end as l2_domain,
     case when record = 'observation' then vantage end as vantage,
     case when record = 'capability'
-         then case when o.obs_id % 3 = 0 then observed_at - interval 2 hours else observed_at end
+         then case when o.obs_id % 3 = 0 then observed_at - interval 2 days else observed_at end
          end as as_of,
     case when record = 'capability'
          then case when o.obs_id % 2 = 0 then 'all' else 'some' end end as kinds,

@@ -43,33 +43,38 @@ FACT_KEYS = {
 
 def _strange_nested_key() -> Column:
     """A key inside scope or a fact that the schema does not know; from_json would drop it."""
-    scope = F.json_object_keys(F.get_json_object("line", "$.scope"))
-    boxes = F.from_json(F.get_json_object("line", "$.facts"), "array<map<string,string>>")
     known = F.create_map(
         *[x for k, ks in FACT_KEYS.items() for x in (F.lit(k), F.array(*map(F.lit, ks)))]
     )
 
-    def strange(kind: Column, body: Column) -> Column:
-        inner = F.array_except(F.json_object_keys(body), F.try_element_at(known, kind))
+    def strange(entry: Column) -> Column:
+        inner = F.array_except(
+            F.json_object_keys(entry["value"]), F.try_element_at(known, entry["key"])
+        )
         return F.coalesce(F.size(inner) > 0, F.lit(False))
 
-    in_scope = F.size(F.array_except(scope, F.array(*map(F.lit, S.SCOPE_KEYS)))) > 0
-    in_facts = F.exists(boxes, lambda m: F.exists(F.map_entries(m), lambda e: strange(e["key"], e["value"])))
+    in_scope = F.size(F.array_except("_scope_keys", F.array(*map(F.lit, S.SCOPE_KEYS)))) > 0
+    in_facts = F.exists("_boxes", lambda m: F.exists(F.map_entries(m), strange))
     return F.coalesce(in_scope, F.lit(False)) | F.coalesce(in_facts, F.lit(False))
 
 
-
 def line_shape(lines: DataFrame) -> DataFrame:
     """Lines that are no record: malformed, both or neither tag, unknown keys, wrong types.
 
     Only a truly empty line is skipped; a blank one is an error.
     """
-    keys = F.json_object_keys("line")
-    tagged = (
-        lines.where("line <> ''")
-        .withColumn("_json", F.to_json(F.try_parse_json("line")))
-        .withColumn("_keys", keys)
-        .withColumn("_r", F.from_json("line", wire.LINE_SCHEMA))
+    tagged = lines.where("line <> ''").select(
+        "stream",
+        "seq",
+        wire.once_per_row(
+            _json=F.try_parse_json("line").isNotNull(),
+            _keys=F.json_object_keys("line"),
+            _r=F.from_json("line", wire.LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}),
+            _scope_keys=F.json_object_keys(F.get_json_object("line", "$.scope")),
+            _boxes=F.from_json(
+                F.get_json_object("line", "$.facts"), "array<map<string,string>>"
+            ),
+        ),
     )
     has = lambda k: F.array_contains("_keys", k)
     kind = F.col("_r.record")
@@ -100,7 +105,7 @@ def line_shape(lines: DataFrame) -> DataFrame:
         | F.coalesce(octets, F.lit(False)),
     ).when(kind == "capability", wire.utc(F.col("_r.as_of")).isNull()).otherwise(F.lit(False))
     rule = (
-        F.when(F.col("_json").isNull(), "malformed")
+        F.when(~F.col("_json"), "malformed")
         .when(F.col("_keys").isNull(), "unrecognised")
         .when(has("obs_id") & has("record"), "ambiguous")
         .when(~has("obs_id") & ~has("record"), "unrecognised")

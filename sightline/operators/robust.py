@@ -70,9 +70,13 @@ def polled(feed: DataFrame) -> DataFrame:
     )
 
 
+def _listed(kinds: list[str]) -> Column:
+    return F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")
+
+
 def mask_capability(feed: DataFrame, cuts: DataFrame, kinds: list[str], as_of: Column) -> DataFrame:
     """From record k on: a capability record, and facts of the other kinds stripped."""
-    allowed = F.array(*map(F.lit, kinds)).cast("array<string>")
+    allowed = _listed(kinds)
     capability = _inserted(
         feed, cuts, {"record": F.lit("capability"), "kinds": allowed, "as_of": as_of}
     )
@@ -120,7 +124,7 @@ def victim_kind(feed: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def denied_present(feed: DataFrame, cuts: DataFrame, kinds: list[str]) -> DataFrame:
     """Per stream: does any fact from the cut on have a kind outside ``kinds``?"""
-    allowed = F.array(*map(F.lit, kinds)).cast("array<string>")
+    allowed = _listed(kinds)
     denied = F.exists("facts", lambda f: ~F.array_contains(allowed, kind_of(f)))
     test = (F.col("seq") >= F.col("k")) & F.coalesce(denied, F.lit(False))
     return _placed(feed, cuts).groupBy("stream").agg(F.bool_or(test).alias("denied_present"))

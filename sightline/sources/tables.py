@@ -204,9 +204,10 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(seen, F.col("l2_domain")).alias("l2_domain"),
         F.when(seen, F.col("vantage")).alias("vantage"),
         F.when(seen, F.col("facts")).alias("facts"),
+        F.when(seen, F.col("raw")).alias("raw"),
         F.when(
             F.col("record") == "capability",
-            F.when(e % 3 == 0, F.col("observed_at") - F.expr("interval 2 hours")).otherwise(
+            F.when(e % 3 == 0, F.col("observed_at") - F.expr("interval 2 days")).otherwise(
                 F.col("observed_at")
             ),
         ).alias("as_of"),

@@ -58,12 +58,21 @@ def _ingested(f: Column) -> Column:
     )
 
 
+def once_per_row(**columns: Column) -> Column:
+    """Columns computed once per row and then read any number of times.
+
+    A projection over a parse would be merged with it and repeat the parse for
+    every field read; a generator is a boundary the optimizer keeps.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Records of the non-empty lines; every column of other record kinds is NULL."""
-    parsed = lines.where("line <> ''").withColumn(
-        "r", F.from_json("line", LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
-    )
+    read = F.from_json("line", LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.where("line <> ''").select("stream", "seq", "line", once_per_row(r=read))
     code = F.coalesce(F.element_at(F.json_object_keys("r.error"), 1), F.col("r.error"))
+    boxed = F.from_json("r.error", "map<string,struct<detail:string>>")
     return parsed.select(
         "stream",
         "seq",
@@ -80,7 +89,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         utc(F.col("r.as_of")).alias("as_of"),
         "r.kinds",
         code.alias("error_code"),
-        F.get_json_object("r.error", "$.*.detail").alias("error_detail"),
+        F.element_at(F.map_values(boxed), 1)["detail"].alias("error_detail"),
         "line",
     )
 

@@ -101,7 +101,7 @@ def main(argv):
             print(f"FAIL {name} {type(error).__name__} {text[:600]}", flush=True)
             if os.environ.get("TRACE"):
                 traceback.print_exc()
-    print("bad", bad)
+    print("bad", bad, flush=True)
 
 
 if __name__ == "__main__":
