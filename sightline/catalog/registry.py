@@ -161,7 +161,7 @@ answers as (
 
 def with_views(body: str, *ctes: str) -> str:
     """``body`` behind the table views and any further CTEs."""
-    return "with " + ",\n".join([VIEWS.strip(), *[c.strip() for c in ctes]]) + "\n" + body
+    return "with recursive " + ",\n".join([VIEWS.strip(), *[c.strip() for c in ctes]]) + "\n" + body
 
 
 def query(name: str, body: str | None = None, *ctes: str):
