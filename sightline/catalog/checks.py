@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.catalog.registry import query
+from sightline.functions.facts import once_per_row
 from sightline.operators import quality as Q
 from sightline.sources import tables, wire
 
@@ -13,7 +14,7 @@ from sightline.sources import tables, wire
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream, seq, line) of the feed, some lines damaged by their number."""
     feed = tables.feed(spark, sf_dir).withColumn("error_detail", F.lit("no answer"))
-    feed = feed.select("stream", "seq", "record", wire.once_per_row(line=wire.record_json()))
+    feed = feed.select("stream", "seq", "record", once_per_row(line=wire.record_json()))
     line, s = F.col("line"), F.col("seq")
     seen = F.col("record") == "observation"
     way = F.when(seen, s % 60)
@@ -55,7 +56,7 @@ def dq_line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written with a space, a null, or another key order do not come back the same."""
     feed = tables.feed(spark, sf_dir).withColumn("error_detail", F.lit("no answer"))
-    feed = feed.select("stream", "seq", "record", "obs_id", wire.once_per_row(line=wire.record_json()))
+    feed = feed.select("stream", "seq", "record", "obs_id", once_per_row(line=wire.record_json()))
     line, s = F.col("line"), F.col("seq")
     way = F.when(F.col("record") == "observation", s % 7)
     other = (

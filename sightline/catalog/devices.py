@@ -318,21 +318,24 @@ compared0 as (
     """select c.entity_id, c.attr_key as field, c.attr_value as declared, c.observed
        from compared c left join compared0 b on b.entity_id = c.entity_id and b.attr_key = c.attr_key
          and b.status = 'gap'
-       where c.status = 'gap' and b.observed is distinct from c.observed
+       where c.status = 'gap'
+         and (b.observed || case when c.entity_id % 3 = 0 then '-before' else '' end)
+           is distinct from c.observed
          and not (b.entity_id is not null and c.entity_id % 5 = 0)""",
     PERIMETER,
     _BEFORE,
 )
 def b_attention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions were taken on the gaps of the earlier state; some said to keep the declared value."""
+    """Decisions taken on the earlier gaps, some on another value, some to keep the declared one."""
     declared, obs = tables.declared(spark, sf_dir), tables.sightings(spark, sf_dir)
     decided = G.gaps(declared, earlier_sightings(obs)).select(
         "entity_id",
         "field",
-        "observed",
+        F.when(F.col("entity_id") % 3 == 0, F.concat("observed", F.lit("-before")))
+        .otherwise(F.col("observed")).alias("observed"),
         F.when(F.col("entity_id") % 5 == 0, "AlwaysKeepMine").otherwise("Keep").alias("disposition"),
         F.lit(EARLIER).cast("timestamp_ntz").alias("decided_at"),
-    )
+    )
     return P.surfaced(G.gaps(declared, obs), decided)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.schemas import ABSTAINED, DECLARABLE, FACT_KINDS, NIL_ID, OPEN_END
+from sightline.schemas import DECLARABLE, FACT_KINDS, NIL_ID, OPEN_END
 
 MAC_PATTERN = "^([0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}$"
 
@@ -193,5 +193,10 @@ def uuid_shaped(*parts: Column) -> Column:
     )
 
 
-def decided_cause(outcome: Column, cause: Column) -> Column:
-    return F.when(outcome == ABSTAINED, cause)
+def once_per_row(**columns: Column) -> Column:
+    """Columns computed once per row and then read any number of times.
+
+    A projection over a parse is merged with it and repeats the parse for every
+    field read; a generator is a boundary the optimizer keeps.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sightline import schemas as S
 from sightline.functions.address import is_virtual_mac
-from sightline.functions.facts import int_div, is_locally_administered, macs
+from sightline.functions.facts import int_div, is_locally_administered, macs, once_per_row
 from sightline.plans.lineage import cut
 from sightline.plans.skew import lookup
 
@@ -59,7 +59,7 @@ def hostname_verdicts(
     pairs: DataFrame, obs: DataFrame, agree: str = S.SUPPORTS, differ: str = S.OPPOSES
 ) -> DataFrame:
     """Names shared speak for a pair, different names against it; a missing name says nothing."""
-    sides = _sides(pairs, obs.select("obs_id", names().alias("names"))).where(
+    sides = _sides(pairs, obs.select("obs_id", once_per_row(names=names()))).where(
         "size(low_names) > 0 and size(high_names) > 0"
     )
     shared = F.arrays_overlap("low_names", "high_names")
@@ -194,9 +194,7 @@ def interface_edges(obs: DataFrame) -> DataFrame:
     """
     scoped = lambda x: F.concat_ws("/", F.col("l2_domain").cast("string"), x)
     own = F.filter(macs(), lambda m: ~is_virtual_mac(m))
-    rows = obs.select("l2_domain", own.alias("macs"), names().alias("names")).where(
-        "size(macs) > 0"
-    )
+    rows = obs.select("l2_domain", once_per_row(macs=own, names=names())).where("size(macs) > 0")
     first = scoped(F.col("macs")[0])
     others = rows.select(first.alias("a"), F.explode("macs").alias("m"), "l2_domain").select(
         "a", scoped(F.col("m")).alias("b")

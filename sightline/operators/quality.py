@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sightline import schemas as S
 from sightline.functions import address as A
-from sightline.functions.facts import is_locally_administered, kind_of, open_end
+from sightline.functions.facts import is_locally_administered, kind_of, once_per_row, open_end
 from sightline.plans.ordering import running_last, running_max
 from sightline.plans.skew import lookup
 from sightline.sources import wire
@@ -66,7 +66,7 @@ def line_shape(lines: DataFrame) -> DataFrame:
     tagged = lines.where("line <> ''").select(
         "stream",
         "seq",
-        wire.once_per_row(
+        once_per_row(
             _json=F.try_parse_json("line").isNotNull(),
             _keys=F.json_object_keys("line"),
             _r=F.from_json("line", wire.LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions.facts import once_per_row
 from sightline.schemas import FACT_KINDS
 
 FACT_TYPES = {
@@ -71,7 +72,7 @@ def sighting_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").withColumn(
         "k", F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     )
-    return events.select(
+    flat = events.select(
         e.alias("obs_id"),
         F.col("event_type").alias("connector_id"),
         F.col("ts").alias("observed_at"),
@@ -93,6 +94,10 @@ def sighting_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e % 1000 != 11).alias("mac_flag"),
         F.when(k % 4 == 0, F.col("props")).alias("raw"),
     )
+    # A boundary: readers of one fact do not repeat the expressions above for every use.
+    kept = ["obs_id", "connector_id", "observed_at", "l2_domain", "vantage", "raw"]
+    made = [c for c in flat.columns if c not in kept]
+    return flat.select(*kept, once_per_row(**{c: F.col(c) for c in made}))
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:

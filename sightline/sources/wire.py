@@ -12,7 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
-from sightline.functions.facts import is_locally_administered, mac_octets, mac_text
+from sightline.functions.facts import (
+    is_locally_administered,
+    mac_octets,
+    mac_text,
+    once_per_row,
+)
 from sightline.plans.ordering import with_position
 from sightline.sources.tables import FACT_TYPES, fact, facts_where
 
@@ -58,15 +63,6 @@ def _ingested(f: Column) -> Column:
     )
 
 
-def once_per_row(**columns: Column) -> Column:
-    """Columns computed once per row and then read any number of times.
-
-    A projection over a parse would be merged with it and repeat the parse for
-    every field read; a generator is a boundary the optimizer keeps.
-    """
-    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-
-
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Records of the non-empty lines; every column of other record kinds is NULL."""
     read = F.from_json("line", LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
