@@ -4,7 +4,7 @@ from importlib import import_module
 
 from sightline.catalog.registry import ORACLES, QUERIES
 
-for _part in ("feeds", "linking", "reconcile", "checks", "scoring", "devices"):
+for _part in ("feeds", "linking", "reconcile", "checks", "scoring", "devices", "streams"):
     import_module(f"sightline.catalog.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
-from sightline.functions.facts import int_div, open_end, subject_of, uuid_shaped
-from sightline.operators.keys import KEY, key_groups, scoped_keys, seen_window, witnesses_within
+from sightline.functions.facts import int_div, macs, open_end, subject_of, uuid_shaped
+from sightline.operators.keys import KEY, key_groups, seen_window, witnesses_within
 from sightline.plans.lineage import cut
 from sightline.plans.skew import lookup
 
@@ -45,9 +45,23 @@ def contradictions(obs: DataFrame) -> DataFrame:
     )
 
 
-def once(obs: DataFrame) -> DataFrame:
-    """One row per sighting; repeats are equal up to raw text and fact order."""
-    return obs.dropDuplicates(["obs_id"])
+def slim(obs: DataFrame) -> DataFrame:
+    """What a pass needs of each sighting, read once and checkpointed.
+
+    A pass looks at the sightings from several sides; this narrow copy keeps it
+    from reading the wide table again for each.  Repeats of a sighting are equal
+    up to raw text and fact order, so they collapse here.
+    """
+    return cut(
+        obs.select(
+            "obs_id", "observed_at", "l2_domain", F.array_sort(macs()).alias("macs")
+        ).distinct()
+    )
+
+
+def keys_of(rows: DataFrame) -> DataFrame:
+    """Membership rows of slim sightings; no shuffle, they are distinct already."""
+    return rows.select("obs_id", "l2_domain", F.explode("macs").alias("mac"), "observed_at")
 
 
 def minted_id(domain: Column, mac: Column) -> Column:
@@ -150,14 +164,19 @@ def abstentions(batch: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
+def desired_of(
+    rows: DataFrame, resolved: DataFrame, universe: DataFrame | None = None
+) -> DataFrame:
+    placed = placements(keys_of(rows), resolved, universe)
+    return placed.unionByName(abstentions(rows.select("obs_id", "observed_at"), placed))
+
+
 def desired(
     obs: DataFrame, interfaces: DataFrame, universe: DataFrame | None = None
 ) -> DataFrame:
     """Everything the batch implies: placements and abstentions."""
-    keys = scoped_keys(obs)
-    placed = placements(keys, resolved_interfaces(keys, interfaces), universe)
-    batch = once(obs.select("obs_id", "observed_at"))
-    return placed.unionByName(abstentions(batch, placed))
+    rows = slim(obs)
+    return desired_of(rows, resolved_interfaces(keys_of(rows), interfaces), universe)
 
 
 def current(links: DataFrame) -> DataFrame:
@@ -193,13 +212,14 @@ def _held(links: DataFrame) -> DataFrame:
 def diff(wanted: DataFrame, links: DataFrame, batch: DataFrame) -> DataFrame:
     """One action per slot: written, unchanged, superseded or vacated.
 
-    A held slot of a sighting in the batch that the pass did not revisit is
-    vacated; sightings outside the batch are left alone.
+    ``batch`` is (obs_id, observed_at), one row per sighting.  A held slot of a
+    sighting in the batch that the pass did not revisit is vacated; sightings
+    outside the batch are left alone.
     """
     wants = wanted.select(
         *SLOT, F.struct(*DECISION).alias("wants"), F.col("valid_from").alias("wants_from")
     )
-    seen = once(batch.select("obs_id", "observed_at")).select(
+    seen = batch.select(
         F.col("obs_id").alias("observation_id"), F.col("observed_at").alias("batch_at")
     )
     held = _held(links).join(seen, "observation_id")
@@ -266,12 +286,9 @@ def close(links: DataFrame, closing: DataFrame) -> DataFrame:
     )
 
 
-def next_links(links: DataFrame, actions: DataFrame, pass_id: str) -> DataFrame:
-    """The link table after the pass: ends closed, new versions appended."""
-    ending = actions.where("action in ('superseded', 'vacated')").select(
-        F.col("held_link").alias("link_id"), F.col("at").alias("close_at")
-    )
-    fresh = actions.where("action in ('written', 'superseded')").select(
+def fresh_versions(actions: DataFrame, pass_id: str) -> DataFrame:
+    """Versions the pass opens."""
+    return actions.where("action in ('written', 'superseded')").select(
         uuid_shaped(
             F.lit(pass_id), F.col("observation_id").cast("string"), F.col("subject")
         ).alias("link_id"),
@@ -287,10 +304,29 @@ def next_links(links: DataFrame, actions: DataFrame, pass_id: str) -> DataFrame:
         F.col("at").alias("valid_from"),
         open_end().alias("valid_to"),
     )
-    return close(links, ending).select(*S.LINK_COLUMNS).unionByName(fresh)
 
 
-def summary(obs: DataFrame, resolved: DataFrame, actions: DataFrame) -> DataFrame:
+def endings(actions: DataFrame) -> DataFrame:
+    """(link_id, close_at) of the versions the pass ends."""
+    return actions.where("action in ('superseded', 'vacated')").select(
+        F.col("held_link").alias("link_id"), F.col("at").alias("close_at")
+    )
+
+
+def next_links(links: DataFrame, actions: DataFrame, pass_id: str) -> DataFrame:
+    """The link table after the pass: ends closed, new versions appended."""
+    kept = close(links, endings(actions)).select(*S.LINK_COLUMNS)
+    return kept.unionByName(fresh_versions(actions, pass_id))
+
+
+def changed_links(links: DataFrame, actions: DataFrame, pass_id: str) -> DataFrame:
+    """Only the rows the pass touched, for a table kept as a log of changes."""
+    ends = endings(actions)
+    ended = links.join(ends.select("link_id"), "link_id", "left_semi")
+    return close(ended, ends).select(*S.LINK_COLUMNS).unionByName(fresh_versions(actions, pass_id))
+
+
+def summary(rows: DataFrame, resolved: DataFrame, actions: DataFrame) -> DataFrame:
     """Eight counts of a pass, as one row; ``abstained`` is a part of ``written``."""
     def of(test: str) -> Column:
         return F.coalesce(F.sum(F.expr(f"case when {test} then 1 else 0 end")), F.lit(0)).cast(
@@ -298,7 +334,7 @@ def summary(obs: DataFrame, resolved: DataFrame, actions: DataFrame) -> DataFram
         )
 
     n = F.col("observations")
-    pairs = obs.agg(F.count_distinct("obs_id").alias("observations")).select(
+    pairs = rows.agg(F.count("*").alias("observations")).select(
         int_div(n * (n - 1), 2).alias("candidate_pairs")
     )
     met = resolved.agg(of("minted").alias("m"), of("not minted").alias("f"))
@@ -331,6 +367,8 @@ class Pass:
     links: DataFrame
     actions: DataFrame
     summary: DataFrame
+    resolved: DataFrame
+    late: DataFrame
 
 
 def resolve(
@@ -341,33 +379,39 @@ def resolve(
     universe: DataFrame | None = None,
     check: bool = True,
     settle: bool = False,
+    set_late_aside: bool = False,
 ) -> Pass:
     """A whole pass.  With ``check``, refusals are looked for before anything is returned.
 
     With ``settle`` the interfaces met and the actions are checkpointed, so the
-    tables written from them come from one computation.
+    tables written from them come from one computation.  With ``set_late_aside``
+    a replacement dated before the version it would replace is left out of the
+    pass and returned as ``late`` instead of refusing the whole batch.
     """
     if check and not contradictions(obs).isEmpty():
         raise Refused("a sighting id carries two different contents")
-    keys = scoped_keys(obs)
-    resolved = resolved_interfaces(keys, interfaces)
+    rows = slim(obs)
+    resolved = resolved_interfaces(keys_of(rows), interfaces)
     if settle:
         resolved = cut(resolved)
-    batch = once(obs.select("obs_id", "observed_at"))
-    placed = placements(keys, resolved, universe)
-    wanted = placed.unionByName(abstentions(batch, placed))
+    wanted = desired_of(rows, resolved, universe)
     if check and not operator_collisions(wanted, links).isEmpty():
         raise Refused("an operator holds a slot this pass would write")
-    actions = diff(wanted, links, batch)
+    actions = diff(wanted, links, rows)
     if settle:
         actions = cut(actions)
-    if check and not regressed(actions).isEmpty():
+    late = regressed(actions)
+    if set_late_aside:
+        actions = actions.where("action <> 'superseded' or at >= held_from")
+    elif check and not late.isEmpty():
         raise Refused("a replacement is dated before the version it replaces")
     return Pass(
         interfaces=widened_interfaces(interfaces, resolved),
         links=next_links(links, actions, pass_id),
         actions=actions,
-        summary=summary(obs, resolved, actions),
+        summary=summary(rows, resolved, actions),
+        resolved=resolved,
+        late=late,
     )
 
 
