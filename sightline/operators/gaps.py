@@ -29,13 +29,17 @@ def address_fields(obs: DataFrame) -> DataFrame:
     )
 
 
-def address_sightings(obs: DataFrame) -> DataFrame:
-    """Per ipv4: how many sightings carry it."""
+def address_rollup(obs: DataFrame) -> DataFrame:
+    """Per ipv4: how many sightings carry it, and the first and newest of them.
+
+    Ties in time go to the smaller id for the first and the larger for the
+    newest.  Ids are unique in the sightings table.
+    """
+    at = F.struct("observed_at", "obs_id", "connector_id")
     return (
-        obs.select("obs_id", F.explode(addresses()).alias("ipv4"))
-        .distinct()
+        obs.select(F.explode(addresses()).alias("ipv4"), at.alias("at"))
         .groupBy("ipv4")
-        .agg(F.count("*").alias("sightings"))
+        .agg(F.count("*").alias("sightings"), F.min("at").alias("first"), F.max("at").alias("newest"))
     )
 
 
@@ -90,49 +94,53 @@ def gaps(declared: DataFrame, obs: DataFrame) -> DataFrame:
     )
 
 
-def conflicts(declared: DataFrame, obs: DataFrame) -> DataFrame:
-    """Per entity: fields with two or more in-perimeter values, declared or not."""
-    return (
-        field_values(declared, obs)
-        .where("n_values > 1")
-        .groupBy("entity_id")
-        .agg(F.count("*").alias("n"))
-        .select("entity_id", F.lit(S.CONFLICTING).alias("cause"), "n")
-    )
+def entity_fields(declared: DataFrame, obs: DataFrame) -> DataFrame:
+    """Every field an entity declares or is seen with: (entity_id, field, declared, n_values, value)."""
+    said = with_identity(declared).select(
+        "entity_id", F.col("attr_key").alias("field"), F.col("attr_value").alias("declared"),
+        F.lit(True).alias("said"),
+    )
+    return said.join(field_values(declared, obs), ["entity_id", "field"], "full_outer")
 
 
-def absences(declared: DataFrame, obs: DataFrame) -> DataFrame:
-    """Per entity: declared fields with no single value left.
+def cause_counts(fields: DataFrame) -> DataFrame:
+    """Per entity: fields in conflict, declared or not, and declared fields with no single value.
 
-    A declared field in conflict counts here as well as under the conflict.
+    A declared field in conflict counts under both.
     """
-    return (
-        compare(declared, obs)
-        .where(F.col("status").isin(S.NO_VALUE, S.CONFLICTING))
-        .groupBy("entity_id")
-        .agg(F.count("*").alias("n"))
-        .select("entity_id", F.lit(S.NO_VALUE).alias("cause"), "n")
-    )
+    conflict = F.coalesce(F.col("n_values") > 1, F.lit(False))
+    absent = F.col("said").isNotNull() & (conflict | F.col("n_values").isNull())
 
+    def n(test: Column) -> Column:
+        return F.sum(F.when(test, 1).otherwise(0)).cast("bigint")
+
+    return fields.groupBy("entity_id").agg(n(conflict).alias("conflicts"), n(absent).alias("absences"))
 
-def out_of_perimeter(declared: DataFrame, obs: DataFrame) -> DataFrame:
-    """Per entity: sightings that do not carry its address, as total minus carried."""
-    total = obs.agg(F.count("*")).scalar()
-    rows = identities(declared).join(address_sightings(obs), "ipv4", "left")
-    return rows.select(
-        "entity_id",
-        F.lit(S.OUT_OF_PERIMETER).alias("cause"),
-        (total - F.coalesce("sightings", F.lit(0))).alias("n"),
-    ).where("n > 0")
+
+def as_causes(counts: DataFrame, causes: dict[str, str], *carry: str) -> DataFrame:
+    """(entity_id, …carry, cause, n) rows of the counted columns that are not zero."""
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("cause"), F.col(k).alias("n")) for k, c in causes.items()]
+    )
+    return counts.select("entity_id", *carry, F.inline(pairs)).where("n > 0")
 
 
 def abstentions(declared: DataFrame, obs: DataFrame) -> DataFrame:
-    """Counted abstentions per entity, by cause."""
-    return (
-        out_of_perimeter(declared, obs)
-        .unionByName(conflicts(declared, obs))
-        .unionByName(absences(declared, obs))
+    """Counted abstentions per entity, by cause.
+
+    Out-of-perimeter is the total less the sightings carrying the address, so no
+    sighting is visited once per entity.
+    """
+    total = obs.agg(F.count("*")).scalar()
+    carried = address_rollup(obs).select("ipv4", "sightings")
+    counts = (
+        identities(declared)
+        .join(carried, "ipv4", "left")
+        .select("entity_id", (total - F.coalesce("sightings", F.lit(0))).alias("outside"))
+        .join(cause_counts(entity_fields(declared, obs)), "entity_id")
     )
+    causes = {"outside": S.OUT_OF_PERIMETER, "conflicts": S.CONFLICTING, "absences": S.NO_VALUE}
+    return as_causes(counts, causes)
 
 
 def unclaimed(declared: DataFrame, obs: DataFrame) -> DataFrame:
@@ -143,29 +151,14 @@ def unclaimed(declared: DataFrame, obs: DataFrame) -> DataFrame:
 
 def first_new_address(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """First sighting of each unclaimed address, by instant and then id."""
-    first = (
-        obs.select(
-            F.explode(addresses()).alias("ipv4"),
-            F.struct("observed_at", "obs_id", "connector_id").alias("at"),
-        )
-        .groupBy("ipv4")
-        .agg(F.min("at").alias("at"))
-    )
-    return first.join(identities(declared).select("ipv4"), "ipv4", "left_anti").select(
-        "ipv4", "at.observed_at", "at.obs_id", "at.connector_id"
-    )
+    unknown = address_rollup(obs).join(identities(declared).select("ipv4"), "ipv4", "left_anti")
+    return unknown.select("ipv4", "first.observed_at", "first.obs_id", "first.connector_id")
 
 
 def newest_by_address(obs: DataFrame) -> DataFrame:
     """Newest sighting of each address; of equals, the one loaded last (largest id)."""
-    return (
-        obs.select(
-            F.explode(addresses()).alias("ipv4"),
-            F.struct("observed_at", "obs_id", "connector_id").alias("at"),
-        )
-        .groupBy("ipv4")
-        .agg(F.max("at").alias("at"))
-        .select("ipv4", "at.observed_at", "at.obs_id", "at.connector_id")
+    return address_rollup(obs).select(
+        "ipv4", "newest.observed_at", "newest.obs_id", "newest.connector_id"
     )
 
 

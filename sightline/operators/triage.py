@@ -16,6 +16,7 @@ from sightline.functions.facts import (
     source_label,
 )
 from sightline.operators import gaps as G
+from sightline.plans.lineage import cut
 
 # Queue row kinds and the prefix of their ids.
 GAP, ABSENCE, CONFLICT, NEW = "ecart", "absence", "conflit", "nouveau"
@@ -39,18 +40,25 @@ def queue(declared: DataFrame, obs: DataFrame, now: datetime | str) -> DataFrame
     never queued.
     """
     at = instant(now)
-    newest = G.newest_by_address(obs).select("ipv4", "observed_at", "connector_id")
+    # Both are small beside the sightings and read from several sides below.
+    fields = cut(G.entity_fields(declared, obs).join(G.identities(declared), "entity_id"))
+    by_address = cut(
+        G.address_rollup(obs).join(
+            G.identities(declared).select("ipv4", F.lit(True).alias("claimed")).distinct(),
+            "ipv4", "left",
+        )
+    )
     entity = F.col("entity_id").cast("string")
-    gap = G.compare(declared, obs).where("status = 'gap'").select(
-        "entity_id", "ipv4", F.lit(GAP).alias("kind"), F.col("attr_key").alias("field"),
-        F.col("attr_value").alias("declared"), "observed", F.lit(None).cast("bigint").alias("n"),
+    gap = fields.where("said and n_values = 1 and value <> declared").select(
+        "entity_id", "ipv4", F.lit(GAP).alias("kind"), "field", "declared",
+        F.col("value").alias("observed"), F.lit(None).cast("bigint").alias("n"),
     )
-    counted = G.absences(declared, obs).unionByName(G.conflicts(declared, obs))
-    cause = counted.join(G.identities(declared), "entity_id").select(
-        "entity_id", "ipv4",
-        F.when(F.col("cause") == S.NO_VALUE, ABSENCE).otherwise(CONFLICT).alias("kind"),
-        F.lit("").alias("field"), F.lit("").alias("declared"), F.lit("").alias("observed"), "n",
+    counts = G.cause_counts(fields).join(G.identities(declared), "entity_id")
+    cause = G.as_causes(counts, {"absences": ABSENCE, "conflicts": CONFLICT}, "ipv4").select(
+        "entity_id", "ipv4", F.col("cause").alias("kind"), F.lit("").alias("field"),
+        F.lit("").alias("declared"), F.lit("").alias("observed"), "n",
     )
+    newest = by_address.where("claimed").select("ipv4", "newest.observed_at", "newest.connector_id")
     known = (
         gap.unionByName(cause)
         .join(newest, "ipv4", "left")
@@ -64,7 +72,8 @@ def queue(declared: DataFrame, obs: DataFrame, now: datetime | str) -> DataFrame
             .otherwise(_age(at, F.col("observed_at"))).alias("age_seconds"),
         )
     )
-    new = G.first_new_address(declared, obs).select(
+    first = F.col("first.observed_at")
+    new = by_address.where("claimed is null").select(
         F.concat_ws(":", F.lit(NEW), "ipv4").alias("row_id"),
         F.lit(NEW).alias("kind"),
         F.lit(None).cast(declared.schema["entity_id"].dataType).alias("entity_id"),
@@ -73,9 +82,9 @@ def queue(declared: DataFrame, obs: DataFrame, now: datetime | str) -> DataFrame
         F.lit("").alias("declared"),
         F.col("ipv4").alias("observed"),
         F.lit(None).cast("bigint").alias("n"),
-        "connector_id",
-        F.col("observed_at").alias("seen_at"),
-        _age(at, F.col("observed_at")).alias("age_seconds"),
+        "first.connector_id",
+        first.alias("seen_at"),
+        _age(at, first).alias("age_seconds"),
     )
     return known.unionByName(new)
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.functions.facts import once_per_row
 from sightline.schemas import FACT_KINDS
 
 FACT_TYPES = {
@@ -24,8 +23,29 @@ FACT_TYPES = {
 }
 
 
+# Column that spreads a table evenly when its scan has too few splits.
+SPREAD = {
+    "events": "event_id",
+    "lineitem": "l_orderkey",
+    "documents": "doc_id",
+    "pages": "page_id",
+    "customer": "c_custkey",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder.
+
+    A table of one unsplittable file would run every later expression in one
+    task, so such a scan is spread over the cores by key.  A scan that has a
+    split per core, as any large table does, is left as it is.  Filters and
+    column choice still reach the file.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = min(spark.sparkContext.defaultParallelism, 64)
+    if name in SPREAD and cores > 1 and table.rdd.getNumPartitions() * 2 <= cores:
+        return table.repartition(cores, SPREAD[name])
+    return table
 
 
 FACTS_TYPE = "array<struct<" + ",".join(f"{k}:{t}" for k, t in FACT_TYPES.items()) + ">>"
@@ -50,131 +70,107 @@ def facts_where(*tested: tuple[Column | None, Column]) -> Column:
     ])
 
 
-def _two(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 2, "0")
+# The flat form of a sighting: one column per fact it may carry.
+SIGHTING = {
+    "obs_id": "event_id",
+    "connector_id": "event_type",
+    "observed_at": "ts",
+    "l2_domain": "cast(user_id % 4 as int)",
+    "vantage": "cast(k % 3 as int)",
+    "raw": "if(k % 4 = 0, props, null)",
+}
+SIGHTED = {
+    "mac": """case when k % 10 = 0 then null
+        when event_id % 200 = 3 then concat_ws(':', '06', substr(d, 1, 2), substr(d, 3, 2),
+          substr(d, 5, 2), substr(d, 7, 2), substr(d, 9, 2))
+        else concat('02:00:5e:00:', lpad(user_id % 90, 2, '0'), ':', lpad(user_id % 3, 2, '0')) end""",
+    "mac2": "if(event_id % 50 = 1, concat('02:00:5e:01:', lpad(user_id % 90, 2, '0'), ':00'), null)",
+    "ipv4": """if(event_id % 500 = 7, '10.9.9.9',
+        concat_ws('.', '10', user_id div 256, user_id % 256, k % 4))""",
+    "hostname": """case when k % 5 = 0 then null when user_id % 7 = 0 then ''
+        when event_id % 97 = 0 then concat('alias-', user_id)
+        else concat('host-', user_id % 60) end""",
+    "rtt": "if(k % 3 = 0, cast(floor(value) as bigint), null)",
+    "peer_mac": "if(k % 2 = 0, concat('02:00:5e:aa:00:', lpad(user_id % 12, 2, '0')), null)",
+    "peer_port": "concat('ge-0/0/', user_id % 48)",
+    "vendor": "if(user_id % 3 = 0, if(k % 11 = 0, '', event_type), null)",
+    "lease_until": "if(event_type = 'signup', ts + interval 1 hour, null)",
+    "mac_flag": "event_id % 1000 <> 11",
+}
 
 
 def sighting_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat form: one column per fact the sighting may carry."""
-    e, u, k = F.col("event_id"), F.col("user_id"), F.col("k")
-    digits = F.lpad(e.cast("string"), 10, "0")
-    own = F.concat_ws(":", F.lit("06"), *[F.substring(digits, i, 2) for i in (1, 3, 5, 7, 9)])
-    shared = F.concat(F.lit("02:00:5e:00:"), _two(u % 90), F.lit(":"), _two(u % 3))
-    home = F.concat(
-        F.lit("10."), F.floor(u / 256).cast("string"), F.lit("."), (u % 256).cast("string"),
-        F.lit("."), (k % 4).cast("string"),
-    )
-    name = (
-        F.when(u % 7 == 0, "")
-        .when(e % 97 == 0, F.concat(F.lit("alias-"), u.cast("string")))
-        .otherwise(F.concat(F.lit("host-"), (u % 60).cast("string")))
+    events = read_table(spark, sf_dir, "events").selectExpr(
+        "*",
+        "cast(regexp_extract(props, '([0-9]+)', 1) as int) as k",
+        "lpad(event_id, 10, '0') as d",
     )
-    events = read_table(spark, sf_dir, "events").withColumn(
-        "k", F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    # A boundary: readers of one fact do not repeat these expressions for every use.
+    made = ", ".join(f"'{name}', {text}" for name, text in SIGHTED.items())
+    return events.selectExpr(
+        *[f"{text} as {name}" for name, text in SIGHTING.items()],
+        f"inline(array(named_struct({made})))",
     )
-    flat = events.select(
-        e.alias("obs_id"),
-        F.col("event_type").alias("connector_id"),
-        F.col("ts").alias("observed_at"),
-        (u % 4).cast("int").alias("l2_domain"),
-        (k % 3).cast("int").alias("vantage"),
-        F.when(k % 10 != 0, F.when(e % 200 == 3, own).otherwise(shared)).alias("mac"),
-        F.when(
-            e % 50 == 1, F.concat(F.lit("02:00:5e:01:"), _two(u % 90), F.lit(":00"))
-        ).alias("mac2"),
-        F.when(e % 500 == 7, "10.9.9.9").otherwise(home).alias("ipv4"),
-        F.when(k % 5 != 0, name).alias("hostname"),
-        F.when(k % 3 == 0, F.floor("value").cast("bigint")).alias("rtt"),
-        F.when(k % 2 == 0, F.concat(F.lit("02:00:5e:aa:00:"), _two(u % 12))).alias("peer_mac"),
-        F.concat(F.lit("ge-0/0/"), (u % 48).cast("string")).alias("peer_port"),
-        F.when(u % 3 == 0, F.when(k % 11 == 0, "").otherwise(F.col("event_type"))).alias("vendor"),
-        F.when(
-            F.col("event_type") == "signup", F.col("ts") + F.expr("interval 1 hour")
-        ).alias("lease_until"),
-        (e % 1000 != 11).alias("mac_flag"),
-        F.when(k % 4 == 0, F.col("props")).alias("raw"),
-    )
-    # A boundary: readers of one fact do not repeat the expressions above for every use.
-    kept = ["obs_id", "connector_id", "observed_at", "l2_domain", "vantage", "raw"]
-    made = [c for c in flat.columns if c not in kept]
-    return flat.select(*kept, once_per_row(**{c: F.col(c) for c in made}))
+
+
+def _fact_sql(kind: str, fields: str) -> str:
+    parts = [
+        f"'{k}', {f'named_struct({fields})' if k == kind else f'cast(null as {FACT_TYPES[k]})'}"
+        for k in FACT_KINDS
+    ]
+    return f"array(named_struct({', '.join(parts)}))"
+
+
+# Facts in order: the column that must be there, the kind, and its fields.
+FACT_COLUMNS = [
+    ("ipv4", "IpV4", "'addr', ipv4"),
+    ("hostname", "Hostname", "'name', hostname, 'source', 'Dhcp'"),
+    ("mac", "Mac", "'addr', mac, 'locally_administered', mac_flag"),
+    ("mac2", "Mac", "'addr', mac2, 'locally_administered', mac_flag"),
+    ("rtt", "Rtt", "'millis', rtt"),
+    ("peer_mac", "Uplink", "'peer_mac', peer_mac, 'peer_port', peer_port"),
+    ("vendor", "OuiVendor", "'vendor', vendor"),
+    ("lease_until", "DhcpLease", "'ip', ipv4, 'expires_at', lease_until"),
+]
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(obs_id, connector_id, observed_at, l2_domain, vantage, facts, raw)."""
-    c = F.col
-    flat = sighting_columns(spark, sf_dir)
-
-    def given(name: str) -> Column:
-        return c(name).isNotNull()
-
-    facts = facts_where(
-        (None, fact("IpV4", c("ipv4").alias("addr"))),
-        (
-            given("hostname"),
-            fact("Hostname", c("hostname").alias("name"), F.lit("Dhcp").alias("source")),
-        ),
-        (
-            given("mac"),
-            fact("Mac", c("mac").alias("addr"), c("mac_flag").alias("locally_administered")),
-        ),
-        (
-            given("mac2"),
-            fact("Mac", c("mac2").alias("addr"), c("mac_flag").alias("locally_administered")),
-        ),
-        (given("rtt"), fact("Rtt", c("rtt").alias("millis"))),
-        (given("peer_mac"), fact("Uplink", c("peer_mac"), c("peer_port"))),
-        (given("vendor"), fact("OuiVendor", c("vendor"))),
-        (
-            given("lease_until"),
-            fact("DhcpLease", c("ipv4").alias("ip"), c("lease_until").alias("expires_at")),
-        ),
-    )
-    return flat.select(
-        "obs_id", "connector_id", "observed_at", "l2_domain", "vantage", facts.alias("facts"), "raw"
+    none = f"cast(array() as {FACTS_TYPE})"
+    facts = ", ".join(
+        f"if({column} is null, {none}, {_fact_sql(kind, fields)})"
+        for column, kind, fields in FACT_COLUMNS
     )
+    return sighting_columns(spark, sf_dir).selectExpr(
+        "obs_id", "connector_id", "observed_at", "l2_domain", "vantage",
+        f"concat({facts}) as facts", "raw",
+    )
+
+
+DECLARED = {
+    "ipv4": "concat_ws('.', '10', c_custkey div 256, c_custkey % 256, c_custkey % 5)",
+    "hostname": "if(c_custkey % 7 = 0, concat('nas-', c_custkey), concat('host-', c_custkey % 60))",
+    "mac": """if(c_custkey % 4 = 0, null, concat('02:00:5e:00:', lpad(c_custkey % 90, 2, '0'), ':',
+        lpad(if(c_custkey % 6 = 0, 9, c_custkey % 3), 2, '0')))""",
+    "serial": "if(c_mktsegment = 'BUILDING', concat('sn-', c_custkey), null)",
+}
 
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One declared attribute per row, with its provenance; every customer is an entity."""
-    e = F.col("c_custkey")
-    ip = F.concat(
-        F.lit("10."), F.floor(e / 256).cast("string"), F.lit("."), (e % 256).cast("string"),
-        F.lit("."), (e % 5).cast("string"),
-    )
-    host = F.when(e % 7 == 0, F.concat(F.lit("nas-"), e.cast("string"))).otherwise(
-        F.concat(F.lit("host-"), (e % 60).cast("string"))
-    )
-    mac = F.concat(
-        F.lit("02:00:5e:00:"), _two(e % 90), F.lit(":"),
-        _two(F.when(e % 6 == 0, F.lit(9)).otherwise(e % 3)),
-    )
-    serial = F.concat(F.lit("sn-"), e.cast("string"))
-    origin = F.when(e % 3 == 0, "manual").when(e % 3 == 1, "adopted").otherwise("imported")
-    values = {
-        "ipv4": ip,
-        "hostname": host,
-        "mac": F.when(e % 4 != 0, mac),
-        "serial": F.when(F.col("c_mktsegment") == "BUILDING", serial),
-    }
-    attr = F.inline(
-        F.array(*[
-            F.struct(F.lit(k).alias("attr_key"), v.alias("attr_value")) for k, v in values.items()
-        ])
-    )
-    wide = read_table(spark, sf_dir, "customer").select(
-        e.alias("entity_id"),
-        origin.alias("origin"),
-        F.when(origin == "adopted", e).alias("origin_obs_id"),
-        F.concat(F.lit("operator-"), F.col("c_nationkey").cast("string")).alias("actor_id"),
-        (
-            F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-            + F.make_dt_interval(F.lit(0), e.cast("int"))
-        ).alias("updated_at"),
-        attr,
-    )
-    return wide.where("attr_value is not null").select(
-        "entity_id", "attr_key", "attr_value", "origin", "origin_obs_id", "actor_id", "updated_at"
+    said = ", ".join(f"'{name}', {text}" for name, text in DECLARED.items())
+    return (
+        read_table(spark, sf_dir, "customer")
+        .selectExpr(
+            "c_custkey as entity_id",
+            f"stack({len(DECLARED)}, {said}) as (attr_key, attr_value)",
+            "case c_custkey % 3 when 0 then 'manual' when 1 then 'adopted' else 'imported' end as origin",
+            "if(c_custkey % 3 = 1, c_custkey, null) as origin_obs_id",
+            "concat('operator-', c_nationkey) as actor_id",
+            "timestamp_ntz'2024-01-15 00:00:00' + make_dt_interval(0, cast(c_custkey as int))"
+            " as updated_at",
+        )
+        .where("attr_value is not null")
     )
 
 
