@@ -462,20 +462,21 @@ def scd2_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scd2_contradictions",
     """select obs_id, 2::bigint as versions from obs
-       where obs_id % 3 = 0 and (obs_id % 2 = 1 or hostname is not null)""",
+       where obs_id % 3 = 1 or (obs_id % 3 = 0 and hostname is not null)""",
 )
 def scd2_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third sighting comes twice: later, without its name, or only without its raw text."""
+    """Every sighting comes twice: later, without its name, or differing in raw text only."""
     obs = tables.sightings(spark, sf_dir)
     nameless = F.filter("facts", lambda f: f["Hostname"].isNull())
-    again = obs.where("obs_id % 3 = 0").select(
+    way = F.col("obs_id") % 3
+    again = obs.select(
         "obs_id",
         "connector_id",
-        F.when(F.col("obs_id") % 2 == 1, F.col("observed_at") + F.expr("interval 1 second"))
+        F.when(way == 1, F.col("observed_at") + F.expr("interval 1 second"))
         .otherwise(F.col("observed_at")).alias("observed_at"),
         "l2_domain",
         "vantage",
-        F.reverse(F.when(F.col("obs_id") % 2 == 0, nameless).otherwise(F.col("facts"))).alias("facts"),
+        F.reverse(F.when(way == 0, nameless).otherwise(F.col("facts"))).alias("facts"),
         F.lit("another raw").alias("raw"),
     )
     return links.contradictions(obs.unionByName(again))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sightline import schemas as S
 from sightline.functions.facts import addresses, declarable_fields
+from sightline.plans.skew import lookup
 
 IDENTITY = "ipv4"
 
@@ -55,9 +56,22 @@ def with_identity(declared: DataFrame) -> DataFrame:
     return declared.join(identities(declared), "entity_id")
 
 
+def at_address(
+    rows: DataFrame, table: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("ipv4",)
+) -> DataFrame:
+    """Declared rows beside a per-address table; an address very many entities declare is salted."""
+    weights = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return lookup(rows, table, list(keys), "_n", "entity_id", how=how, weights=weights)
+
+
+def claimed(declared: DataFrame) -> DataFrame:
+    """Each declared address once."""
+    return identities(declared).select("ipv4").distinct()
+
+
 def field_values(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """Per (entity, field): distinct in-perimeter values, whether or not it is declared."""
-    return identities(declared).join(address_fields(obs), "ipv4").select(
+    return at_address(identities(declared), address_fields(obs)).select(
         "entity_id", "field", "n_values", "value"
     )
 
@@ -74,7 +88,7 @@ def status_of(n_values: Column, value: Column, wanted: Column) -> Column:
 def compare(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """Every declared field beside what was observed, with its status."""
     seen = address_fields(obs).withColumnRenamed("field", "attr_key")
-    rows = with_identity(declared).join(seen, ["ipv4", "attr_key"], "left")
+    rows = at_address(with_identity(declared), seen, "left", ("ipv4", "attr_key"))
     n, v = F.col("n_values"), F.col("value")
     return rows.select(
         "entity_id",
@@ -134,8 +148,7 @@ def abstentions(declared: DataFrame, obs: DataFrame) -> DataFrame:
     total = obs.agg(F.count("*")).scalar()
     carried = address_rollup(obs).select("ipv4", "sightings")
     counts = (
-        identities(declared)
-        .join(carried, "ipv4", "left")
+        at_address(identities(declared), carried, "left")
         .select("entity_id", (total - F.coalesce("sightings", F.lit(0))).alias("outside"))
         .join(cause_counts(entity_fields(declared, obs)), "entity_id")
     )
@@ -146,12 +159,12 @@ def abstentions(declared: DataFrame, obs: DataFrame) -> DataFrame:
 def unclaimed(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """Observed addresses no declared entity claims."""
     seen = obs.select(F.explode(addresses()).alias("ipv4")).distinct()
-    return seen.join(identities(declared).select("ipv4"), "ipv4", "left_anti")
+    return seen.join(claimed(declared), "ipv4", "left_anti")
 
 
 def first_new_address(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """First sighting of each unclaimed address, by instant and then id."""
-    unknown = address_rollup(obs).join(identities(declared).select("ipv4"), "ipv4", "left_anti")
+    unknown = address_rollup(obs).join(claimed(declared), "ipv4", "left_anti")
     return unknown.select("ipv4", "first.observed_at", "first.obs_id", "first.connector_id")
 
 
@@ -164,7 +177,7 @@ def newest_by_address(obs: DataFrame) -> DataFrame:
 
 def newest_sighting(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """Newest in-perimeter sighting per entity; entities never seen have none."""
-    return identities(declared).join(newest_by_address(obs), "ipv4").select(
+    return at_address(identities(declared), newest_by_address(obs)).select(
         "entity_id", "ipv4", "observed_at", "obs_id", "connector_id"
     )
 

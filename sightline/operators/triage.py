@@ -44,7 +44,7 @@ def queue(declared: DataFrame, obs: DataFrame, now: datetime | str) -> DataFrame
     fields = cut(G.entity_fields(declared, obs).join(G.identities(declared), "entity_id"))
     by_address = cut(
         G.address_rollup(obs).join(
-            G.identities(declared).select("ipv4", F.lit(True).alias("claimed")).distinct(),
+            G.claimed(declared).withColumn("claimed", F.lit(True)),
             "ipv4", "left",
         )
     )
@@ -60,8 +60,7 @@ def queue(declared: DataFrame, obs: DataFrame, now: datetime | str) -> DataFrame
     )
     newest = by_address.where("claimed").select("ipv4", "newest.observed_at", "newest.connector_id")
     known = (
-        gap.unionByName(cause)
-        .join(newest, "ipv4", "left")
+        G.at_address(gap.unionByName(cause), newest, "left")
         .select(
             F.when(
                 F.col("kind") == GAP, F.concat_ws(":", "kind", entity, "field")
@@ -184,7 +183,7 @@ def observed_values(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """Distinct (entity, key, value) shown for the in-perimeter sightings of each entity."""
     carried = obs.select(F.explode(addresses()).alias("ipv4"), "facts")
     shown = display_fields(carried, "ipv4").select("ipv4", "field", "value").distinct()
-    return G.identities(declared).join(shown, "ipv4").select("entity_id", "field", "value")
+    return G.at_address(G.identities(declared), shown).select("entity_id", "field", "value")
 
 
 def reconciled_entities(declared: DataFrame, obs: DataFrame) -> DataFrame:
