@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
-from sightline.functions.facts import int_div, macs, open_end, subject_of, uuid_shaped
+from sightline.functions.facts import int_div, macs, open_end, uuid_shaped
 from sightline.operators.keys import KEY, key_groups, seen_window, witnesses_within
 from sightline.plans.lineage import cut
 from sightline.plans.skew import lookup
