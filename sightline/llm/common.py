@@ -54,14 +54,14 @@ def running(df: DataFrame, group: str, order: list[str], value: str, name: str,
             rows_per_part: int = 100_000, parts: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the earlier rows of the same ``group``.
 
-    ``order`` starts with a bigint column spread evenly over 0 .. 2^62; ``df`` is read twice, so it
+    ``order`` starts with a bigint column spread evenly over 0 .. 2^60; ``df`` is read twice, so it
     should be settled.  Ties in all of ``order`` are broken arbitrarily but the sums stay gapless.
     """
     from pyspark.sql import Window
 
     if parts is None:
         parts = max(1, -(-df.count() // rows_per_part))
-    cut = (F.col(order[0]).cast("double") / float(2**62) * parts).cast("int")
+    cut = (F.col(order[0]).cast("double") / float(2**60) * parts).cast("int")
     cut = F.greatest(F.lit(0), F.least(cut, F.lit(parts - 1)))
     df = df.withColumn("_range", cut)
     sums = df.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
@@ -115,3 +115,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def seeded(seed: str, *columns: str) -> Column:
+    """A number spread evenly over 0 .. 2^60, fixed by the seed and the columns' text."""
+    parts = [F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]]
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def lookup_small(rows: DataFrame, small: DataFrame, key: str, bound: int, spread: str) -> DataFrame:
+    """Null-safe inner join on ``key`` to a settled table with one row per key.
+
+    The table is broadcast only where its row count is within ``bound``; beyond it both sides are
+    salted, so a key with any share of the rows is spread over 64 tasks or more.
+    """
+    known = small.withColumnRenamed(key, "_key")
+    if known.count() <= bound:
+        return rows.join(F.broadcast(known), rows[key].eqNullSafe(known["_key"])).drop("_key")
+    salts = max(64, rows.sparkSession.sparkContext.defaultParallelism)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    right = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    match = left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_s"])
+    return left.join(right, match).drop("_key", "_salt", "_s")
