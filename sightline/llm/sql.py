@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from sightline.llm.decontaminate import N
+from sightline.llm.mixing import BLOCKS, MOST, SEED
+from sightline.llm.ngram_join import PER_CENT
+from sightline.llm.ngram_join import WORDS as SHINGLE
 from sightline.llm.quality_rules import RULES
 from sightline.llm.stats import STOP_FORMS
 
@@ -48,3 +52,88 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
   not base_failed and {" and ".join(_rule(r) for r in RULES)} as kept
 from based
 """
+
+
+# The awards are ranked one by one here, as the method is told.
+ORACLES["op5_mixing"] = rf"""
+with docs as (
+  select doc_id, source, len({WORDS}) as size, coalesce(text, '') as text,
+    cast('0x' || substr(md5('{SEED}/' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
+  from documents),
+sources as (
+  select source, cast(sum(size) as bigint) as source_size,
+    row_number() over (order by source asc nulls last) as place from docs group by 1),
+weighed as (
+  select *, (place - 1) % 3 + 1 as weight, {MOST} * source_size as cap,
+    cast(sum(source_size) over () as bigint) as total from sources),
+levels as (
+  select *, cast(total - (sum(cap) over l - cap) as double)
+    / (sum(weight) over () - sum(weight) over l + weight) as level
+  from weighed window l as (order by cast(cap as double) / weight, place)),
+plan as (
+  select *, least(cast(cap as double), weight * max(level) over ()) as target,
+    greatest(1, total // {BLOCKS}) as block from levels),
+seats as (
+  select source, row_number() over (order by target / (2 * seat + 1) desc, place) as turn,
+    total // block as blocks
+  from plan, unnest(range(0, cast(ceil(target / block) as bigint) + (select count(*) from plan) + 2)) as u(seat)
+  where target > 0),
+won as (select source, count(*) as won from seats where turn <= blocks group by 1),
+placed as (
+  select docs.*, source_size, target,
+    least(coalesce(won.won, 0) * block, {MOST} * source_size) as mass,
+    coalesce(sum(size) over (partition by docs.source order by h, size
+      rows between unbounded preceding and 1 preceding), 0) as start
+  from docs join plan on docs.source is not distinct from plan.source
+  left join won on docs.source is not distinct from won.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+  cast({" + ".join(f"greatest(0, least(mass, start + {i} * source_size + size) - (start + {i} * source_size))" for i in range(3))} as bigint) as taken
+from placed
+"""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LETTERS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op1_decontamination"] = rf"""
+with items as (
+  select cast(item_id as varchar) as item_id, {LETTERS} as w from benchmark where item_id is not null),
+item_windows as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as g
+  from (select *, least({N}, len(w)) as size from items where len(w) > 0),
+    unnest(range(1, len(w) - size + 2)) as u(i)),
+docs as (select row_number() over () as k, doc_id, {LETTERS} as w from documents),
+doc_windows as (
+  select k, i, size, array_to_string(w[i:i + size - 1], ' ') as g
+  from docs, (select distinct size from item_windows),
+    unnest(range(1, greatest(len(w) - size + 2, 1))) as u(i)),
+hits as (select k, i, size, item_id from doc_windows join item_windows using (size, g)),
+words as (
+  select k, count(distinct i + j) as n from (select distinct k, i, size from hits),
+    unnest(range(0, size)) as u(j) group by 1),
+named as (select k, count(distinct item_id) as n, string_agg(distinct item_id, ',' order by item_id) as ids
+  from hits group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(words.n, 0) as bigint) as n_hit,
+  cast(coalesce(named.n, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(words.n, 0) > 0 as contaminated
+from docs left join words using (k) left join named using (k)
+"""
+
+LOWERED = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
+
+ORACLES["op2_ngram_join"] = rf"""
+with recursive docs as (select row_number() over () as r, doc_id, {LOWERED} as w from documents),
+tokens as (
+  select distinct r, array_to_string(w[i:i + {SHINGLE - 1}], ' ') as g
+  from docs, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) as u(i) where len(w) > 0),
+sizes as (select r, count(*) as n from tokens group by 1),
+shared as (
+  select a.r as a, b.r as b, count(*) as n from tokens a join tokens b using (g) where a.r <> b.r group by 1, 2),
+links as (
+  select shared.a, shared.b from shared join sizes x on x.r = a join sizes y on y.r = b
+  where 100 * shared.n >= {PER_CENT} * (x.n + y.n - shared.n)),
+reach as (
+  select r as a, r as b from docs union select reach.a, links.b from reach join links on links.a = reach.b)
+select docs.doc_id, cast(coalesce(any_value(sizes.n), 0) as bigint) as n_shingles, min(other.doc_id) as component_id
+from docs left join sizes using (r) join reach on reach.a = docs.r join docs other on other.r = reach.b
+group by docs.r, docs.doc_id
+"""
