@@ -57,6 +57,16 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 class Windows:
     """One block of windows as sorted hashes over word numbers, for each window length."""
 
+    @classmethod
+    def of(cls, parts) -> Windows:
+        made = cls.__new__(cls)
+        made.numbers, made.codes, made.sizes = parts
+        return made
+
+    def parts(self):
+        """Plain data, for a broadcast."""
+        return self.numbers, self.codes, self.sizes
+
     def __init__(self, rows):
         rng = np.random.default_rng(7)
         numbers: dict[bytes, int] = {}
@@ -108,7 +118,7 @@ class Windows:
 
 def _scan(windows):
     def scan(batches):
-        block = windows.value
+        block = Windows.of(windows.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -179,7 +189,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     schema = found.schema
     for block in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in mine.collect()]))
+        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in mine.collect()]).parts())
         found = found.mapInArrow(_scan(shared), schema)
         if blocks > 1:
             found = settle(found, "scanned")

@@ -7,9 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
-from sightline.llm.common import table
+from sightline.llm import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    suffix_tree,
+    toxicity,
+    warc,
+)
+from sightline.llm.common import crc_of_id, table
 from sightline.llm.sql import ORACLES  # noqa: F401  (read by the entry)
+from sightline.plans.lineage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -60,3 +72,45 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(docs, row=F.lit(None).cast("string")).select(
         "doc_id", "n_shingles", "component_id"
     )
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read(index, payloads=False).select(
+        F.col("page_id").cast("bigint"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint"),
+    )
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).select(
+        "row.doc_id", (crc_of_id("row.doc_id") % 5 == 0).alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, F.struct("doc_id")).select(
+        "row.doc_id", "severity", "grade", "p_toxic", "toxic"
+    )
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.col("cleaned").alias("text")
+    )
+
+
+@query
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

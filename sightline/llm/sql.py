@@ -8,6 +8,7 @@ from sightline.llm.ngram_join import PER_CENT
 from sightline.llm.ngram_join import WORDS as SHINGLE
 from sightline.llm.quality_rules import RULES
 from sightline.llm.stats import STOP_FORMS
+from sightline.llm.warc import REVISIT_FROM
 
 ORACLES: dict[str, str] = {}
 
@@ -137,3 +138,14 @@ select docs.doc_id, cast(coalesce(any_value(sizes.n), 0) as bigint) as n_shingle
 from docs left join sizes using (r) join reach on reach.a = docs.r join docs other on other.r = reach.b
 group by docs.r, docs.doc_id
 """
+
+ORACLES["op3_warc"] = f"""
+with told as (select page_id, coalesce(html, '') as html from pages),
+sized as (
+  select page_id, html, cast(octet_length(encode(html)) as bigint) as size,
+    max(page_id) over (partition by html) as first from told)
+select page_id, size as payload_bytes, sha1(html) as payload_digest,
+  if(size >= {REVISIT_FROM} and first is distinct from page_id, 'revisit', 'response') as record_type,
+  if(size >= {REVISIT_FROM} and first is distinct from page_id, first, null) as refers_to
+from sized
+"""
