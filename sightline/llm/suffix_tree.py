@@ -295,7 +295,7 @@ def score(docs: DataFrame) -> DataFrame:
     )
 
     def based(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        flat = pa.chunked_array([x.values for x in answered["answers"].chunks]).combine_chunks()
+        flat = pa.chunked_array([x.flatten() for x in answered["answers"].chunks]).combine_chunks()
         count = np.zeros(len(flat))
         count[flat.field("place").to_numpy()] = flat.field("c").to_numpy()
         logs = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
