@@ -439,36 +439,62 @@ def agg_resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scd2_close",
     """select observation_id, coalesce(interface_id, '') as interface_id,
-         case when outcome = 'abstained' then null else subject end as current_subject,
-         case when outcome = 'abstained' then valid_from + interval 1 day
-              else timestamp '9999-12-31 23:59:59.999999' end as valid_to
-       from desired""",
+         case when outcome = 'abstained' and observation_id % 5 in (0, 1) then null else subject end
+           as current_subject,
+         case when outcome = 'abstained' and observation_id % 5 in (0, 1)
+              then valid_from + interval 1 day
+              else timestamp '9999-12-31 23:59:59.999999' end as valid_to,
+         null as refused from desired
+       union all
+       select observation_id, '', null, null,
+         case way when 1 then 'already_closed' when 2 then 'open_end' when 3 then 'inverted'
+           else 'unknown_link' end
+         from (select *, observation_id % 5 as way from desired where outcome = 'abstained')
+         where way > 0""",
     DESIRED,
 )
 def scd2_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every abstention closed a day after it was made."""
+    """Abstentions closed a day after they were made, some twice, and closes that are refused."""
     made = engine_links(tables.sightings(spark, sf_dir))
-    closing = made.where("outcome = 'abstained'").select(
-        "link_id", (F.col("valid_from") + F.expr("interval 1 day")).alias("close_at")
+    way = F.col("observation_id") % 5
+    day = F.expr("interval 1 day")
+    asked = made.where("outcome = 'abstained'").select(
+        "observation_id",
+        way.alias("way"),
+        F.when(way == 4, F.concat(F.lit("no-"), "link_id")).otherwise(F.col("link_id")).alias("link_id"),
+        F.when(way == 2, X.open_end())
+        .when(way == 3, F.col("valid_from") - day)
+        .otherwise(F.col("valid_from") + day)
+        .alias("close_at"),
     )
-    return links.close(made, closing).select(
+    closed = links.close(made, asked.select("link_id", "close_at"))
+    # The second time round the rows of way 1 are closed already; those of way 0 do not come again.
+    refused = links.close_refusals(closed, asked.where("way > 0").select("link_id", "close_at"))
+    shown = closed.select(
         "observation_id",
         F.coalesce("interface_id", F.lit("")).alias("interface_id"),
         "current_subject",
         "valid_to",
+        F.lit(None).cast("string").alias("refused"),
+    )
+    named = refused.join(asked, "link_id").select(
+        "observation_id", F.lit("").alias("interface_id"), F.col("reason").alias("refused")
     )
+    return shown.unionByName(named, allowMissingColumns=True)
 
 
 @query(
     "scd2_contradictions",
     """select obs_id, 2::bigint as versions from obs
-       where obs_id % 3 = 1 or (obs_id % 3 = 0 and hostname is not null)""",
+       where obs_id % 4 = 1 or (obs_id % 4 = 0 and hostname is not null)
+         or (obs_id % 4 = 3 and ipv4 is not null)""",
 )
 def scd2_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sighting comes twice: later, without its name, or differing in raw text only."""
+    """Every sighting comes twice: later, without its name, with a fact repeated, or other raw text only."""
     obs = tables.sightings(spark, sf_dir)
     nameless = F.filter("facts", lambda f: f["Hostname"].isNull())
-    way = F.col("obs_id") % 3
+    repeated = F.concat("facts", F.filter("facts", lambda f: f["IpV4"].isNotNull()))
+    way = F.col("obs_id") % 4
     again = obs.select(
         "obs_id",
         "connector_id",
@@ -476,7 +502,9 @@ def scd2_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("observed_at")).alias("observed_at"),
         "l2_domain",
         "vantage",
-        F.reverse(F.when(way == 0, nameless).otherwise(F.col("facts"))).alias("facts"),
+        F.reverse(
+            F.when(way == 0, nameless).when(way == 3, repeated).otherwise(F.col("facts"))
+        ).alias("facts"),
         F.lit("another raw").alias("raw"),
     )
     return links.contradictions(obs.unionByName(again))

@@ -35,12 +35,16 @@ def route(labels: DataFrame) -> DataFrame:
 def answers(labels: DataFrame, obs: DataFrame) -> DataFrame:
     """(case_id, outcome, rule_id, cause, unanswered): what the scoped-key level says."""
     routed = route(labels)
-    decided = decide_l1(routed.where("unanswered is null").select("low", "high"), obs).select(
+    asked = routed.where("unanswered is null").select("case_id", "low", "high")
+    decided = decide_l1(asked.select("low", "high"), obs).select(
         "low", "high", scored_outcome(F.col("outcome")).alias("outcome"), "rule_id", "cause"
     )
-    return routed.join(decided, ["low", "high"], "left").select(
-        "case_id", "outcome", "rule_id", "cause", "unanswered"
+    # Unanswered cases have no key to join on: they would all meet in one task.
+    answered = asked.join(decided, ["low", "high"], "left").select(
+        "case_id", "outcome", "rule_id", "cause", F.lit(None).cast("string").alias("unanswered")
     )
+    silent = routed.where("unanswered is not null").select("case_id", "unanswered")
+    return answered.unionByName(silent, allowMissingColumns=True)
 
 
 def passes(expectation: Column, outcome: Column) -> Column:

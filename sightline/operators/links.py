@@ -30,13 +30,13 @@ class Refused(ValueError):
 def contradictions(obs: DataFrame) -> DataFrame:
     """Ids sighted more than once with different content.
 
-    Content is source, instant, scope and the fact *set*: raw text, fact order
-    and fact repeats do not count.
+    Content is source, instant, scope, the number of facts and the fact *set*:
+    raw text and fact order do not count, nor which fact of equally many repeats.
     """
     content = F.to_json(
         F.struct(
             "connector_id", "observed_at", "l2_domain", "vantage",
-            F.sort_array(F.array_distinct("facts")).alias("facts"),
+            F.size("facts").alias("n"), F.sort_array(F.array_distinct("facts")).alias("facts"),
         )
     )
     versions = obs.select("obs_id", content.alias("_content")).distinct()
@@ -256,12 +256,13 @@ def operator_collisions(wanted: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def close_refusals(links: DataFrame, closing: DataFrame) -> DataFrame:
-    """Why a close is refused: unknown link, already closed, or an open end as its instant."""
-    state = links.select("link_id", "current_subject", F.lit(True).alias("_known"))
+    """Why a close is refused: no such link, closed already, the open end, or an end before its start."""
+    state = links.select("link_id", "current_subject", "valid_from", F.lit(True).alias("_known"))
     reason = (
         F.when(F.col("close_at") == open_end(), "open_end")
         .when(F.col("_known").isNull(), "unknown_link")
         .when(F.col("current_subject").isNull(), "already_closed")
+        .when(F.col("close_at") < F.col("valid_from"), "inverted")
     )
     return (
         closing.join(state, "link_id", "left")
@@ -271,9 +272,14 @@ def close_refusals(links: DataFrame, closing: DataFrame) -> DataFrame:
 
 
 def close(links: DataFrame, closing: DataFrame) -> DataFrame:
-    """Set valid_to and clear the subject of the (link_id, close_at) rows given."""
+    """Set valid_to and clear the subject of the (link_id, close_at) rows given.
+
+    Rows that ``close_refusals`` names change nothing.
+    """
     ends = closing.where(F.col("close_at") < open_end()).select("link_id", "close_at")
-    ending = F.col("close_at").isNotNull() & F.col("current_subject").isNotNull()
+    ending = F.col("current_subject").isNotNull() & F.coalesce(
+        F.col("close_at") >= F.col("valid_from"), F.lit(False)
+    )
     return links.join(ends, "link_id", "left").select(
         *[
             F.when(ending, F.lit(None)).otherwise(F.col(c)).alias(c)

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a private one only when it names none."""
+    """The shared folder the session names; where it names none, one in its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="sightline-")
+    return current or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

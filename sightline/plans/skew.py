@@ -1,9 +1,10 @@
 """Joining rows to one-row-per-key summaries when a key may hold most rows.
 
-The heaviest keys are taken as a top-k of a fixed size, so what is broadcast is
-bounded whatever the data: at most ``HEAVY_KEYS`` rows.  Those keys are salted;
-any other key holds less than ``1 / HEAVY_KEYS`` of all rows by construction.
-The choice only moves rows between tasks and never changes the result.
+The summary is settled and measured.  A small one is broadcast, so the rows do
+not move at all.  Beyond the bound every key gets as many salts as its weight
+asks for, without a limit on the keys or on the salts.  Keys are salted from a
+share of the rows that keeps their table within the broadcast bound.  None of
+this changes a result.
 """
 
 from __future__ import annotations
@@ -11,18 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 256
-HEAVY_ROWS = 100_000
-SALTS = 64
+from sightline.plans.lineage import cut
+
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+ROWS_PER_SALT = 100_000
+
+
+def measured(summary: DataFrame) -> tuple[DataFrame, bool]:
+    """The summary, settled, and whether its rows and bytes are within the broadcast bound."""
+    summary = cut(summary)
+    size = F.sum(F.coalesce(F.length(F.to_json(F.struct("*"))), F.lit(0)))
+    rows, text = summary.agg(F.count("*"), size).first()
+    return summary, rows <= BROADCAST_ROWS and (text or 0) <= BROADCAST_BYTES
 
 
 def heavy_keys(weights: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """At most HEAVY_KEYS keys, by weight; ties are broken by the key itself."""
-    return (
-        weights.where(F.col(weight) >= HEAVY_ROWS)
-        .orderBy(F.col(weight).desc(), *keys)
-        .limit(HEAVY_KEYS)
-        .select(*keys, F.lit(True).alias("_heavy"))
+    """(keys, _salts) of every key that needs more than one task.
+
+    At most BROADCAST_ROWS keys can hold the share of the rows that counts as heavy.
+    """
+    total = weights.agg(F.sum(weight)).first()[0] or 0
+    share = max(ROWS_PER_SALT, -(-total // BROADCAST_ROWS))
+    return weights.where(F.col(weight) > share).select(
+        *keys, F.ceil(F.col(weight) / F.lit(share)).cast("bigint").alias("_salts")
     )
 
 
@@ -40,13 +53,13 @@ def lookup(
     ``weights`` is the frame that holds the row count per key when it is not
     the summary itself.
     """
+    summary, small = measured(summary)
+    if small:
+        return rows.join(F.broadcast(summary), keys, how)
     heavy = F.broadcast(heavy_keys(summary if weights is None else weights, keys, weight))
-    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread_on), F.lit(SALTS))).otherwise(F.lit(0))
-    copies = F.when(
-        F.col("_heavy"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    ).otherwise(F.array(F.lit(0).cast("bigint")))
-    left = rows.join(heavy, keys, "left").withColumn("_salt", salt.cast("bigint")).drop("_heavy")
-    right = (
-        summary.join(heavy, keys, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_on), salts))
+    right = summary.join(heavy, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
     )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")

@@ -130,14 +130,15 @@ def test_heavy_keys_are_salted_and_nothing_changes(spark, monkeypatch):
     left = spark.createDataFrame(rows, "obs_id bigint, key string")
     right = left.groupBy("key").agg(F.count("*").alias("n"), F.min("obs_id").alias("low"))
     plain = sorted(tuple(r) for r in left.join(right, "key").select("obs_id", "key", "n", "low").collect())
-    monkeypatch.setattr(skew, "HEAVY_ROWS", 20)
-    monkeypatch.setattr(skew, "HEAVY_KEYS", 3)
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 20)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
     got = skew.lookup(left, right, ["key"], "n", "obs_id").select("obs_id", "key", "n", "low")
     assert sorted(tuple(r) for r in got.collect()) == plain
 
 
 def test_witness_is_the_smallest_other(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 5)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
     rows = [(f"{i:03d}", i, "d", [f"02:00:00:00:00:0{i % 3}"] * 2, None, None, None) for i in range(40)]
     rows.append(("900", 1, "d", ["02:00:00:00:00:99"], None, None, None))
     members = keys.scoped_keys(sightings(spark, rows))
@@ -234,7 +235,8 @@ def test_lines(spark, tmp_path):
 
 
 def test_components_of_chain_and_star(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HEAVY_ROWS", 10)
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 10)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
     edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("s", f"t{i:02d}") for i in range(40)]
     got = {r.node: r.label for r in devices.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {v for k, v in got.items() if k[0] == "n"} == {"n00"} and got["t39"] == "s"
