@@ -11,9 +11,48 @@ from sightline.operators import quality as Q
 from sightline.sources import tables, wire
 
 
+# Facts put before a line's own: the first list is refused, the second is rare but right.
+WRONG_FACTS = [
+    '{"Hostname":{"name":"a","source":"Foo"}}',
+    '{"Hostname":{"source":"Dhcp"}}',
+    '{"IpV4":{"addr":"999.1.1.1"}}',
+    '{"IpV4":{"addr":"hello"}}',
+    '{"IpV4":{"addr":5}}',
+    '{"Mac":{"addr":[300,1,2,3,4,5],"locally_administered":false}}',
+    '{"Mac":{"addr":[0,1,2,3,4,5]}}',
+    '{"Rtt":{"millis":-5}}',
+    '{"Rtt":{"millis":4294967296}}',
+    '{"Rtt":{}}',
+    '{"DhcpLease":{"ip":"10.0.0.1","expires_at":"soon"}}',
+    '{"OuiVendor":{"vendor":5}}',
+    '{"Uplink":{"peer_mac":[1,2,3,4,5],"peer_port":"x"}}',
+    '{"OuiVendor":{"vendor":"a"},"Rtt":{"millis":1}}',
+    "{}",
+    "null",
+]
+RARE_FACTS = [
+    '{"DhcpLease":{"ip":"10.0.0.1","expires_at":null}}',
+    '{"DhcpLease":{"ip":"10.0.0.1"}}',
+    '{"Hostname":{"name":"","source":"Mdns"}}',
+    '{"Rtt":{"millis":4294967295}}',
+]
+# Errors of failure records: all but the last four are refused.
+ERRORS = [
+    '"Foo"',
+    "5",
+    '{"RemoteFault":{"detail":"x"}}',
+    '{"RemoteFault":{"status":70000,"detail":"x"}}',
+    '{"Unauthorized":{"detail":"x","code":1}}',
+    '"Timeout"',
+    '{"RemoteFault":{"status":503,"detail":"x"}}',
+    '{"SchemaMismatch":{"detail":"x","os_version_hint":"9"}}',
+    '{"SchemaMismatch":{"detail":"x"}}',
+]
+
+
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream, seq, line) of the feed, some lines damaged by their number."""
-    feed = tables.feed(spark, sf_dir).withColumn("error_detail", F.lit("no answer"))
+    feed = tables.feed(spark, sf_dir)
     feed = feed.select("stream", "seq", "record", once_per_row(line=wire.record_json()))
     line, s = F.col("line"), F.col("seq")
     seen = F.col("record") == "observation"
@@ -31,18 +70,40 @@ def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(way == 10, F.lit("  "))
         .when(way == 11, F.replace(line, F.lit('"IpV4":{'), F.lit('"IpV4":{"mask":24,')))
         .when(way == 12, F.regexp_replace(line, r'"facts":\[.*\]', '"facts":"none"'))
-        .otherwise(line)
+        .when(way == 13, F.regexp_replace(line, r',"vantage":"[^"]*"', ""))
+        .when(way == 14, F.regexp_replace(line, r'"obs_id":"[^"]*"', '"obs_id":null'))
+        .when(way == 15, F.regexp_replace(line, r'"obs_id":"[^"]*"', '"obs_id":5'))
+        .when(way == 16, F.regexp_replace(line, r'"obs_id":"[^"]*"', '"obs_id":"no id"'))
+        .when(way == 17, F.regexp_replace(line, r'"connector_id":"[^"]*"', '"connector_id":5'))
     )
+    for i, bad in enumerate(WRONG_FACTS + RARE_FACTS):
+        damaged = damaged.when(way == 18 + i, F.replace(line, F.lit('"facts":['), F.lit(f'"facts":[{bad},')))
+    told = F.when(F.col("record") == "capability", s % 3)
+    damaged = (
+        damaged.when(told == 1, F.replace(line, F.lit('"kinds":['), F.lit('"kinds":["Foo",')))
+        .when(told == 2, F.replace(line, F.lit('"kinds":['), F.lit('"kinds":[null,')))
+    )
+    for i, error in enumerate(ERRORS):
+        damaged = damaged.when(
+            (F.col("record") == "failure") & (s % len(ERRORS) == i),
+            F.lit(f'{{"record":"failure","error":{error}}}'),
+        )
+    damaged = damaged.otherwise(line)
     return feed.select("stream", "seq", damaged.alias("line"))
 
 
 @query(
     "dq_line_shape",
-    """select stream, seq, case seq % 60 when 1 then 'malformed' when 2 then 'unrecognised'
+    f"""select stream, seq, case seq % 60 when 1 then 'malformed' when 2 then 'unrecognised'
          when 3 then 'ambiguous' when 4 then 'unrecognised' when 5 then 'unknown_key'
          when 6 then 'unknown_key' when 7 then 'missing_key' when 8 then 'wrong_type'
-         when 10 then 'malformed' when 11 then 'unknown_key' when 12 then 'wrong_type' end as rule
-       from feed where record = 'observation' and seq % 60 between 1 and 12 and seq % 60 <> 9""",
+         when 10 then 'malformed' when 11 then 'unknown_key' else 'wrong_type' end as rule
+       from feed where record = 'observation' and seq % 60 between 1 and {17 + len(WRONG_FACTS)}
+         and seq % 60 <> 9
+       union all
+       select stream, seq, 'wrong_type' from feed
+       where record = 'capability' and seq % 3 > 0
+         or record = 'failure' and seq % {len(ERRORS)} < {len(ERRORS) - 4}""",
 )
 def dq_line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.line_shape(rendered_lines(spark, sf_dir))
@@ -54,8 +115,13 @@ def dq_line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
        where record = 'observation' and seq % 7 in (1, 2, 3)""",
 )
 def dq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written with a space, a null, or another key order do not come back the same."""
-    feed = tables.feed(spark, sf_dir).withColumn("error_detail", F.lit("no answer"))
+    """Lines written with a space, a null, or another key order do not come back the same.
+
+    Failures with a status or a hint do.
+    """
+    feed = tables.feed(spark, sf_dir)
+    code = F.when(F.col("seq") % 2 == 0, "RemoteFault").otherwise("SchemaMismatch")
+    feed = feed.withColumn("error_code", F.when(F.col("record") == "failure", code))
     feed = feed.select("stream", "seq", "record", "obs_id", once_per_row(line=wire.record_json()))
     line, s = F.col("line"), F.col("seq")
     way = F.when(F.col("record") == "observation", s % 7)

@@ -57,7 +57,7 @@ l2 as (
 def b_l2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = tables.sightings(spark, sf_dir)
     asked = pairs_of(tables.labelled_pairs(spark, sf_dir))
-    return V.decide(D.l2_verdicts(asked, obs), pairs=asked).drop("ruleset_version")
+    return V.decide(D.l2_verdicts(asked, obs), pairs=asked).drop("ruleset_version", "verdicts")
 
 
 _NODES = """

@@ -21,8 +21,8 @@ def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     is many files and no task writes a whole one.
     """
     path = scratch_path(spark, "lines")
-    feed = tables.feed(spark, sf_dir).withColumn("raw", F.lit(None).cast("string"))
-    lines = feed.withColumn("error_detail", F.lit("no answer")).select(
+    feed = tables.feed(spark, sf_dir)
+    lines = feed.select(
         "stream", "seq", wire.record_json().alias("value")
     )
     ordered = lines.repartitionByRange("stream", "seq").sortWithinPartitions("stream", "seq")
@@ -31,7 +31,7 @@ def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARSED = """
-select f.record, cast(f.obs_id as varchar) as obs_id, f.connector_id,
+select f.stream, if(f.record = 'observation', f.raw, null) as raw, f.record, cast(f.obs_id as varchar) as obs_id, f.connector_id,
   cast(f.l2_domain as varchar) as l2_domain, cast(f.vantage as varchar) as vantage,
   cast(n.n as int) as n_facts, n.claims,
   case f.kinds when 'all' then 7 when 'some' then 3 end as n_kinds, f.error_code
@@ -42,16 +42,17 @@ from feed f left join (
 
 
 def _parsed(records: DataFrame) -> DataFrame:
+    name = F.regexp_extract("stream", "stream=([^/]+)/", 1)
     return records.select(
-        "record", "obs_id", "connector_id", "l2_domain", "vantage",
+        name.alias("stream"), "raw", "record", "obs_id", "connector_id", "l2_domain", "vantage",
         F.size("facts").alias("n_facts"),
         F.array_join(F.transform("facts", robust.fact_text), ";").alias("claims"),
         F.size("kinds").alias("n_kinds"),
         "error_code",
     ).select(
         *[F.when(F.col(c) >= 0, F.col(c)).alias(c) if c.startswith("n_") else c for c in (
-            "record", "obs_id", "connector_id", "l2_domain", "vantage", "n_facts", "claims",
-            "n_kinds", "error_code")]
+            "stream", "raw", "record", "obs_id", "connector_id", "l2_domain", "vantage", "n_facts",
+            "claims", "n_kinds", "error_code")]
     )
 
 

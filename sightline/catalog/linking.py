@@ -198,7 +198,8 @@ decided as (
     max(case when v.verdict = 'Disqualifying' then 1 else 0 end) as dq,
     max(case when v.verdict = 'Decisive' then 1 else 0 end) as dc,
     max(case when v.verdict = 'Supports' then 1 else 0 end) as su,
-    max(case when v.verdict = 'Opposes' then 1 else 0 end) as op
+    max(case when v.verdict = 'Opposes' then 1 else 0 end) as op,
+    coalesce(string_agg(v.rule || '=' || v.verdict, ';' order by v.rule, v.verdict), '') as verdicts
   from pairs p left join vector v using (low, high) group by 1, 2)"""
 
 
@@ -209,7 +210,7 @@ decided as (
            as outcome,
          case when dq = 1 then 'l1-distinct-mac' when dc = 1 and op = 0 then 'l1-exact-mac' end as rule_id,
          case when dq = 1 or (dc = 1 and op = 0) then null when dc = 1 or su = 1 then 'ambiguous'
-              else 'absence_of_proof' end as cause, 1 as ruleset_version
+              else 'absence_of_proof' end as cause, 1 as ruleset_version, verdicts
        from decided""",
     _VECTOR,
     _DECIDED,
@@ -221,7 +222,8 @@ def pair_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = verdicts.l1_verdicts(verdicts.pair_sides(asked, obs)).unionByName(
         devices.hostname_verdicts(asked, obs)
     )
-    return verdicts.decide(said, pairs=asked)
+    told = F.transform("verdicts", lambda v: F.concat(v["rule"], F.lit("="), v["verdict"]))
+    return verdicts.decide(said, pairs=asked).withColumn("verdicts", F.array_join(told, ";"))
 
 
 @query(
@@ -597,20 +599,29 @@ def scd2_guard_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dq_link_constraints",
     """select observation_id, rule from (
-         select observation_id, case observation_id % 8 when 0 then 'outcome' when 1 then 'decided_by'
+         select if(observation_id % 10 = 8, -observation_id, observation_id) as observation_id,
+           case observation_id % 10 when 0 then 'outcome' when 1 then 'decided_by'
            when 2 then 'rule_xor_cause' when 3 then 'rule_not_empty'
            when 4 then 'abstained_has_no_interface' when 5 then 'current_subject'
-           when 6 then 'interval' else 'interface_fk' end as rule, outcome from desired)
-       where outcome = 'match'""",
+           when 6 then 'interval' when 7 then 'interface_fk' when 8 then 'observation_fk' end as rule,
+           outcome from desired)
+       where outcome = 'match' and rule is not null
+       union all
+       select observation_id, 'one_current' from desired
+       where outcome = 'match' and observation_id % 10 in (4, 5, 7)
+       group by 1 having count(*) > 1""",
     DESIRED,
 )
 def dq_link_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placements damaged in eight ways, one per row, and the rule each breaks."""
+    """Placements damaged in nine ways, one per row, and the rules they break.
+
+    A sighting on two keys, damaged alike, also has one slot twice.
+    """
     obs = tables.sightings(spark, sf_dir)
     first = links.resolve(
         obs, links.empty_interfaces(obs), links.empty_links(obs), "only", check=False
     )
-    way = F.when(F.col("outcome") == S.MATCH, F.col("observation_id") % 8)
+    way = F.when(F.col("outcome") == S.MATCH, F.col("observation_id") % 10)
     strange = F.lit("11111111-1111-8111-8111-111111111111")
 
     def damaged(column: str, n: int, value: Column) -> Column:
@@ -618,7 +629,7 @@ def dq_link_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     broken = first.links.withColumn("_way", way).select(
         "link_id",
-        "observation_id",
+        damaged("observation_id", 8, -F.col("observation_id")).alias("observation_id"),
         F.when(F.col("_way") == 7, strange)
         .when(F.col("_way") == 4, F.lit(None)).otherwise(F.col("interface_id")).alias("interface_id"),
         F.when(F.col("_way") == 7, strange).when(F.col("_way") == 4, F.lit(S.NIL_ID))
@@ -635,8 +646,7 @@ def dq_link_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = Q.link_constraints(broken, obs, first.interfaces)
     owner = broken.select(F.col("link_id").alias("row_id"), "observation_id")
-    # A sighting on two keys damaged alike shares one bad slot; that is the same damage.
-    return found.where("rule <> 'one_current'").join(owner, "row_id").select("observation_id", "rule")
+    return found.join(owner, "row_id").select("observation_id", "rule")
 
 
 @query(

@@ -5,35 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.catalog.linking import DESIRED, ids
+from sightline.catalog.linking import ids, placed_sql
 from sightline.catalog.registry import query
 from sightline.plans.lineage import scratch_path
 from sightline.sources import tables, wire
 from sightline.streaming import ingest as I
 
 
-def _replayed(df: DataFrame, files: int, files_per_batch: int) -> DataFrame:
-    """The rows as a file stream."""
+ROWS_PER_FILE = 5_000
+PER_BATCH = 4
+
+
+def _replayed(df: DataFrame) -> DataFrame:
+    """The rows as a file stream of small files, several micro-batches of them."""
     spark = df.sparkSession
     path = scratch_path(spark, "stream")
-    df.repartition(files).write.parquet(path)
+    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
     return (
-        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(path)
+    )
+
+
+def _poll(name: str, way: str) -> tuple[str, str, str]:
+    """SQL of what one poll asks for: its sightings are judged among themselves."""
+    return (
+        f"obs_{name} as (select * from obs where {way})",
+        f"keys_{name} as (select k.* from keys k join obs_{name} o using (obs_id))",
+        placed_sql(f"desired_{name}", f"keys_{name}", f"obs_{name}"),
     )
 
 
 @query(
     "stream_ingest_resolve",
-    "select observation_id, subject, outcome, rule_id, evidence, valid_from from desired",
-    DESIRED,
+    """select observation_id, subject, outcome, rule_id, evidence, valid_from from desired_even
+       union all
+       select observation_id, subject, outcome, rule_id, evidence, valid_from from desired_odd""",
+    *_poll("even", "obs_id % 16 < 14 and obs_id % 2 = 0"),
+    *_poll("odd", "obs_id % 16 < 14 and obs_id % 2 = 1"),
 )
 def stream_ingest_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sighting as a line, ingested as one poll batch and resolved."""
+    """Every sighting as a line of one of four polls: two land, one fails, one goes on after failing."""
     source, root = scratch_path(spark, "polls"), scratch_path(spark, "store")
-    obs = tables.sightings(spark, sf_dir).withColumn(
+    e = F.col("obs_id")
+    poll = (
+        F.when(e % 16 == 14, "fails").when(e % 16 == 15, "runs-on").when(e % 2 == 0, "even").otherwise("odd")
+    )
+    obs = tables.sightings(spark, sf_dir).withColumn("poll", poll).withColumn(
         "obs_id", F.lpad(F.col("obs_id").cast("string"), 19, "0")
     )
-    obs.select(wire.observation_json().alias("value")).write.text(source)
+    lines = obs.select("poll", F.col("obs_id").alias("at"), wire.observation_json().alias("value"))
+    failure = F.lit('{"record":"failure","error":"Timeout"}')
+    ends = spark.range(2).select(
+        F.when(F.col("id") == 0, "fails").otherwise("runs-on").alias("poll"),
+        F.when(F.col("id") == 0, "9").otherwise("0").alias("at"),
+        failure.alias("value"),
+    )
+    # A poll is one file, so each is written by one task, in order.
+    for name in ("even", "odd", "fails", "runs-on"):
+        part = lines.unionByName(ends).where(F.col("poll") == name)
+        part.repartition(1).sortWithinPartitions("at").select("value").write.mode("append").text(source)
     I.ingest(spark, source, root).awaitTermination()
     number = F.transform("evidence", lambda e: e.cast("bigint"))
     return I.read_links(spark, root).select(
@@ -56,7 +86,7 @@ def stream_ingest_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
              from feed f join obs o on o.obs_id = f.seq group by 1, 2) p where not p.failed""",
 )
 def stream_poll_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One poll per source and day."""
+    """One poll per source and day; its records come in several micro-batches."""
     root = scratch_path(spark, "store")
     days = tables.read_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd").alias("day")
@@ -69,10 +99,8 @@ def stream_poll_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
             "kinds",
         )
     )
-    I.stream_poll_summary(_replayed(records, 8, 8), root).awaitTermination()
-    return spark.read.parquet(f"{root}/polls").select(
-        "poll", F.size("kinds").alias("n_kinds"), "scopes"
-    )
+    I.stream_poll_summary(_replayed(records), root).awaitTermination()
+    return I.summarised_polls(spark, root).select("poll", F.size("kinds").alias("n_kinds"), "scopes")
 
 
 @query("stream_dedup", "select obs_id, connector_id, observed_at from obs")
@@ -81,8 +109,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "store")
     obs = tables.sightings(spark, sf_dir).select("obs_id", "connector_id", "observed_at")
     thrice = obs.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("_copy")
-    I.stream_deduplicated(_replayed(thrice, 8, 4), root, "60 days").awaitTermination()
-    return spark.read.parquet(f"{root}/once")
+    I.stream_deduplicated(_replayed(thrice), root).awaitTermination()
+    return spark.read.parquet(f"{root}/once").drop("batch", "day")
 
 
 _WINDOWS = """select l2_domain, mac, min(observed_at) as first_seen_at, max(observed_at) as last_seen_at,
@@ -93,7 +121,7 @@ _WINDOWS = """select l2_domain, mac, min(observed_at) as first_seen_at, max(obse
 def stream_seen_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "store")
     obs = tables.sightings(spark, sf_dir).select("l2_domain", "facts", "observed_at")
-    I.stream_seen_window(_replayed(obs, 8, 4), root).awaitTermination()
+    I.stream_seen_window(_replayed(obs), root).awaitTermination()
     return I.newest_windows(spark, root)
 
 
@@ -102,5 +130,5 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings arrive in no order of time, over several batches, and none is dropped."""
     root = scratch_path(spark, "store")
     obs = tables.sightings(spark, sf_dir).select("obs_id", "l2_domain", "facts", "observed_at")
-    I.stream_widened(_replayed(obs, 8, 3), root).awaitTermination()
+    I.stream_widened(_replayed(obs), root).awaitTermination()
     return I.merged_windows(spark, root)

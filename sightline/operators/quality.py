@@ -58,22 +58,86 @@ def _strange_nested_key() -> Column:
     return F.coalesce(in_scope, F.lit(False)) | F.coalesce(in_facts, F.lit(False))
 
 
-def line_shape(lines: DataFrame) -> DataFrame:
-    """Lines that are no record: malformed, both or neither tag, unknown keys, wrong types.
-
-    Only a truly empty line is skipped; a blank one is an error.
+# JSON types of each fact kind, members by name, as a variant's schema prints them.
+_MAC = "ARRAY<BIGINT>"
+FACT_SHAPES = {
+    "DhcpLease": r"OBJECT<(expires_at: (STRING|VOID), )?ip: STRING>",
+    "Hostname": "OBJECT<name: STRING, source: STRING>",
+    "IpV4": "OBJECT<addr: STRING>",
+    "Mac": f"OBJECT<addr: {_MAC}, locally_administered: BOOLEAN>",
+    "OuiVendor": "OBJECT<vendor: STRING>",
+    "Rtt": "OBJECT<millis: BIGINT>",
+    "Uplink": f"OBJECT<peer_mac: {_MAC}, peer_port: STRING>",
+}
+ERROR_SHAPES = {
+    "Unauthorized": "OBJECT<detail: STRING>",
+    "Unreachable": "OBJECT<detail: STRING>",
+    "Misconfigured": "OBJECT<detail: STRING>",
+    "SchemaMismatch": r"OBJECT<detail: STRING(, os_version_hint: (STRING|VOID))?>",
+    "RemoteFault": "OBJECT<detail: STRING, status: BIGINT>",
+}
+BARE_ERRORS = ["Timeout", "Cancelled"]
+_FACTS = "|".join(f"{k}: {v}" for k, v in FACT_SHAPES.items())
+_ERRORS = "|".join(f"OBJECT<{k}: {v}>" for k, v in ERROR_SHAPES.items())
+OBSERVATION_SHAPE = (
+    rf"^OBJECT<connector_id: STRING, facts: ARRAY<(VOID|OBJECT<(({_FACTS})(, )?)+>)>, obs_id: STRING, "
+    r"observed_at: STRING, (raw: (STRING|VOID), )?scope: OBJECT<l2_domain: STRING, vantage: STRING>>$"
+)
+CAPABILITY_SHAPE = r"^OBJECT<as_of: STRING, kinds: ARRAY<(STRING|VOID)>, record: STRING>$"
+FAILURE_SHAPE = rf"^OBJECT<error: (STRING|{_ERRORS}), record: STRING>$"
+ID_PATTERN = r"^[0-9A-Za-z_.:-]+$"
+
+
+def _bad_fact(f: Column) -> Column:
+    """Whether a fact is not one kind, lacks a member, or holds a value outside its range."""
+    def bad_mac(octets: Column) -> Column:
+        return (F.size(octets) != 6) | F.exists(octets, lambda o: o.isNull() | (o < 0) | (o > 255))
+
+    def lacks(box: Column, *members: str) -> Column:
+        return reduce(lambda a, b: a | b, [box[m].isNull() for m in members])
+
+    lease, name, mac, up = f["DhcpLease"], f["Hostname"], f["Mac"], f["Uplink"]
+    tests = {
+        "DhcpLease": lacks(lease, "ip") | ~A.is_ipv4(lease["ip"])
+        | (lease["expires_at"].isNotNull() & wire.utc(lease["expires_at"]).isNull()),
+        "Hostname": lacks(name, "name", "source") | ~name["source"].isin(S.HOSTNAME_SOURCES),
+        "IpV4": lacks(f["IpV4"], "addr") | ~A.is_ipv4(f["IpV4"]["addr"]),
+        "Mac": lacks(mac, "addr", "locally_administered") | bad_mac(mac["addr"]),
+        "OuiVendor": lacks(f["OuiVendor"], "vendor"),
+        "Rtt": lacks(f["Rtt"], "millis") | (f["Rtt"]["millis"] < 0) | (f["Rtt"]["millis"] > 4294967295),
+        "Uplink": lacks(up, "peer_mac", "peer_port") | bad_mac(up["peer_mac"]),
+    }
+    kinds = reduce(lambda a, b: a + b, [f[k].isNotNull().cast("int") for k in S.FACT_KINDS])
+    wrong = F.lit(False)
+    for kind, test in tests.items():
+        wrong = wrong | F.coalesce(f[kind].isNotNull() & test, F.lit(False))
+    return F.coalesce((kinds != 1) | wrong, F.lit(True))
+
+
+def _bad_error(raw: Column, status: Column) -> Column:
+    boxed = raw.startswith("{")
+    outside = F.coalesce((status < 0) | (status > 65535), F.lit(False))
+    return F.when(boxed, outside).otherwise(~raw.isin(BARE_ERRORS))
+
+
+def line_shape(lines: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
+    """Lines that are no record: malformed, both or neither tag, unknown keys, wrong types or values.
+
+    Only an empty line is passed over; spaces alone are malformed.  Types are those of the JSON text,
+    not what they could be read as; closed lists and ranges are checked.
     """
     tagged = lines.where("line <> ''").select(
         "stream",
         "seq",
         once_per_row(
-            _json=F.try_parse_json("line").isNotNull(),
+            _shape=F.schema_of_variant(F.try_parse_json("line")),
             _keys=F.json_object_keys("line"),
             _r=F.from_json("line", wire.LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}),
             _scope_keys=F.json_object_keys(F.get_json_object("line", "$.scope")),
             _boxes=F.from_json(
                 F.get_json_object("line", "$.facts"), "array<map<string,string>>"
             ),
+            _status=F.get_json_object("line", "$.error.RemoteFault.status").try_cast("bigint"),
         ),
     )
     has = lambda k: F.array_contains("_keys", k)
@@ -88,24 +152,26 @@ def line_shape(lines: DataFrame) -> DataFrame:
         .when(kind == "capability", F.array(*map(F.lit, S.CAPABILITY_KEYS)))
         .when(kind == "failure", F.array(*map(F.lit, S.FAILURE_KEYS)))
     )
-    one_key = F.exists(
-        "_r.facts", lambda f: reduce(
-            lambda a, b: a + b, [f[k].isNotNull().cast("int") for k in S.FACT_KINDS]
-        ) != 1,
-    )
-    octets = F.exists(
-        "_r.facts",
-        lambda f: F.coalesce(F.size(f["Mac"]["addr"]) != 6, F.lit(False))
-        | F.coalesce(F.size(f["Uplink"]["peer_mac"]) != 6, F.lit(False)),
+    shape = F.col("_shape")
+    bad_kind = F.exists("_r.kinds", lambda k: k.isNull() | ~k.isin(S.FACT_KINDS))
+    wrong = (
+        F.when(
+            has("obs_id"),
+            ~shape.rlike(OBSERVATION_SHAPE)
+            | ~F.col("_r.obs_id").rlike(id_pattern)
+            | ~F.col("_r.connector_id").rlike(id_pattern)
+            | wire.utc(F.col("_r.observed_at")).isNull()
+            | F.exists("_r.facts", _bad_fact),
+        )
+        .when(
+            kind == "capability",
+            ~shape.rlike(CAPABILITY_SHAPE) | wire.utc(F.col("_r.as_of")).isNull() | bad_kind,
+        )
+        .otherwise(~shape.rlike(FAILURE_SHAPE) | _bad_error(F.col("_r.error"), F.col("_status")))
     )
-    wrong_type = F.col("_r._corrupt").isNotNull() | F.when(
-        has("obs_id"),
-        wire.utc(F.col("_r.observed_at")).isNull()
-        | F.coalesce(one_key, F.lit(True))
-        | F.coalesce(octets, F.lit(False)),
-    ).when(kind == "capability", wire.utc(F.col("_r.as_of")).isNull()).otherwise(F.lit(False))
+    wrong_type = F.col("_r._corrupt").isNotNull() | F.coalesce(wrong, F.lit(True))
     rule = (
-        F.when(~F.col("_json"), "malformed")
+        F.when(shape.isNull(), "malformed")
         .when(F.col("_keys").isNull(), "unrecognised")
         .when(has("obs_id") & has("record"), "ambiguous")
         .when(~has("obs_id") & ~has("record"), "unrecognised")

@@ -83,13 +83,17 @@ def conclusion(
 def decide(
     verdicts: DataFrame, by: list[str] | None = None, pairs: DataFrame | None = None
 ) -> DataFrame:
-    """One decision per pair.  With ``pairs``, a pair no rule spoke about abstains."""
+    """One decision per pair, with the verdicts it rests on (at most one per rule).
+
+    With ``pairs``, a pair no rule spoke about abstains.
+    """
     by = by or PAIR
     summed = verdicts.groupBy(*by).agg(
         _smallest_rule(S.DISQUALIFYING).alias("_dq"),
         _smallest_rule(S.DECISIVE).alias("_dc"),
         _any(S.SUPPORTS).alias("_su"),
         _any(S.OPPOSES).alias("_op"),
+        _vector().alias("verdicts"),
     )
     if pairs is not None:
         summed = pairs.select(*by).distinct().join(summed, by, "left")
@@ -99,14 +103,13 @@ def decide(
         *by,
         *[parts[c].alias(c) for c in ("outcome", "rule_id", "cause")],
         F.lit(S.RULESET_VERSION).alias("ruleset_version"),
+        F.coalesce("verdicts", F.array().cast("array<struct<rule:string,verdict:string>>")).alias("verdicts"),
     )
 
 
-def verdict_vector(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
+def _vector() -> Column:
     """The verdicts of a pair as one sorted array; bounded by the number of rules."""
-    return verdicts.groupBy(*(by or PAIR)).agg(
-        F.sort_array(F.collect_set(F.struct("rule", "verdict"))).alias("verdict_vector")
-    )
+    return F.sort_array(F.collect_set(F.struct("rule", "verdict")))
 
 
 def decide_l1(pairs: DataFrame, obs: DataFrame) -> DataFrame:

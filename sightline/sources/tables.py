@@ -214,6 +214,9 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("as_of"),
         F.when(F.col("record") == "capability", kinds).alias("kinds"),
         F.when(F.col("record") == "failure", code).alias("error_code"),
+        F.when(F.col("record") == "failure", "no answer").alias("error_detail"),
+        F.when(F.col("record") == "failure", (e % 600).cast("int")).alias("error_status"),
+        F.when((F.col("record") == "failure") & (e % 2 == 0), "os 9").alias("error_hint"),
     )
 
 

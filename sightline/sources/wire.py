@@ -68,7 +68,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     read = F.from_json("line", LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
     parsed = lines.where("line <> ''").select("stream", "seq", "line", once_per_row(r=read))
     code = F.coalesce(F.element_at(F.json_object_keys("r.error"), 1), F.col("r.error"))
-    boxed = F.from_json("r.error", "map<string,struct<detail:string>>")
+    boxed = F.from_json("r.error", "map<string,struct<detail:string,status:int,os_version_hint:string>>")
+    told = F.element_at(F.map_values(boxed), 1)
     return parsed.select(
         "stream",
         "seq",
@@ -85,7 +86,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         utc(F.col("r.as_of")).alias("as_of"),
         "r.kinds",
         code.alias("error_code"),
-        F.element_at(F.map_values(boxed), 1)["detail"].alias("error_detail"),
+        told["detail"].alias("error_detail"),
+        told["status"].alias("error_status"),
+        told["os_version_hint"].alias("error_hint"),
         "line",
     )
 
@@ -152,10 +155,15 @@ def capability_json() -> Column:
 
 
 def failure_json() -> Column:
+    """A failure record; its status and hint are written for the codes that have them."""
     code = F.col("error_code")
-    boxed = F.to_json(F.map_from_arrays(F.array(code), F.array(F.struct(
-        F.coalesce("error_detail", F.lit("")).alias("detail")
-    ))))
+    detail = F.coalesce("error_detail", F.lit("")).alias("detail")
+    box = (
+        F.when(code == "RemoteFault", F.to_json(F.struct(F.col("error_status").alias("status"), detail)))
+        .when(code == "SchemaMismatch", F.to_json(F.struct(detail, F.col("error_hint").alias("os_version_hint"))))
+        .otherwise(F.to_json(F.struct(detail)))
+    )
+    boxed = F.concat(F.lit('{"'), code, F.lit('":'), box, F.lit("}"))
     error = F.when(code.isin("Timeout", "Cancelled"), F.concat(F.lit('"'), code, F.lit('"')))
     return F.concat(F.lit('{"record":"failure","error":'), F.coalesce(error, boxed), F.lit("}"))
 

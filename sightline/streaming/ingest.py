@@ -34,20 +34,32 @@ def _write(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def read_links(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The link table: the newest row of every version."""
+def read_links(
+    spark: SparkSession, root: str, before: int | None = None, only: DataFrame | None = None
+) -> DataFrame | None:
+    """The link table: the newest row of every version; ``only`` (observation_id) narrows the log first."""
     log = _read(spark, f"{root}/links", before)
     if log is None:
         return None
-    newest = log.groupBy("link_id").agg(F.max("batch").alias("batch"))
-    return log.join(newest, ["link_id", "batch"]).select(*S.LINK_COLUMNS)
+    if only is not None:
+        log = log.join(only, "observation_id", "left_semi")
+    row = F.struct(*[c for c in S.LINK_COLUMNS if c != "link_id"])
+    newest = log.groupBy("link_id").agg(F.max_by(row, "batch").alias("_row"))
+    return newest.select("link_id", "_row.*").select(*S.LINK_COLUMNS)
 
 
-def read_interfaces(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The interface table: windows widen only, so the log merges by least and greatest."""
+def read_interfaces(
+    spark: SparkSession, root: str, before: int | None = None, only: DataFrame | None = None
+) -> DataFrame | None:
+    """The interface table: windows widen only, so the log merges by least and greatest.
+
+    ``only`` (l2_domain, mac) narrows the log first.
+    """
     log = _read(spark, f"{root}/interfaces", before)
     if log is None:
         return None
+    if only is not None:
+        log = log.join(only, ["l2_domain", "mac"], "left_semi")
     return log.groupBy("interface_id", "l2_domain", "mac").agg(
         F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at")
     )
@@ -61,64 +73,112 @@ def numbered(batch: DataFrame) -> DataFrame:
     )
 
 
+POLLS_PER_BATCH = 10_000  # units a micro-batch may number; more files wait for the next one
+
+
 def land(batch: DataFrame, batch_id: int, root: str) -> None:
-    """One micro-batch: set bad rows aside, append the new sightings, resolve only those."""
-    spark = batch.sparkSession
-    lines = cut(numbered(batch))
+    """The polls of a micro-batch, each a unit of its own, in order of arrival.
+
+    How files fall into micro-batches decides nothing: a poll is resolved alone,
+    against what the polls before it left.
+    """
+    polls = batch.select("stream", "_arrived").distinct().orderBy("_arrived", "stream").collect()
+    for i, poll in enumerate(polls):
+        mine = batch.where(F.col("stream") == poll["stream"]).drop("_arrived")
+        land_poll(mine, batch_id * POLLS_PER_BATCH + i, root)
+
+
+def _poll_state(records: DataFrame) -> tuple[bool, bool]:
+    """Whether the poll failed, and whether a record follows the failure."""
+    end = F.min(F.when(F.col("record") == "failure", F.col("seq")))
+    last, failed = records.agg(F.max("seq"), end).first()
+    return failed is not None, failed is not None and last > failed
+
+
+def land_poll(poll: DataFrame, unit: int, root: str) -> None:
+    """One poll: set bad rows aside, append the new sightings, resolve only those, and count.
+
+    A poll with a failure record lands nothing, and neither does one that goes on
+    after it.  A sighting whose id is stored or repeated with other content is
+    set aside; one with the same content is counted as a repeat.
+    """
+    spark = poll.sparkSession
+    lines = cut(numbered(poll))
     bad = cut(Q.line_shape(lines))
-    records = wire.parse_lines(lines.join(bad, ["stream", "seq"], "left_anti"))
-    obs = cut(wire.observations_only(records).drop("line"))
-    clash = links.contradictions(obs)
+    records = cut(wire.parse_lines(lines.join(bad, ["stream", "seq"], "left_anti")))
+    failed, runs_on = _poll_state(records)
+    obs = wire.observations_only(records).drop("line")
+    columns = ["obs_id", "connector_id", "observed_at", "l2_domain", "vantage", "facts", "raw"]
+    stored = _read(spark, f"{root}/observations", unit)
+    known_ids = None
+    versions = obs.select(*columns)
+    if stored is not None:
+        known_ids = stored.join(obs.select("obs_id").distinct(), "obs_id", "left_semi")
+        known_ids = cut(known_ids.select(*columns))
+        versions = versions.unionByName(known_ids)
+    clash = cut(links.contradictions(versions).select("obs_id"))
+    clashing = obs.join(clash, "obs_id", "left_semi")
     _write(
         bad.join(lines, ["stream", "seq"]).select("stream", "seq", "rule", "line").unionByName(
-            obs.join(clash, "obs_id", "left_semi").select(
+            clashing.select(
                 "stream", "seq", F.lit("contradiction").alias("rule"),
                 F.col("obs_id").alias("line"),
             )
         ),
         f"{root}/quarantine",
-        batch_id,
+        unit,
     )
-    fresh = obs.join(clash, "obs_id", "left_anti").dropDuplicates(["obs_id"])
-    stored = _read(spark, f"{root}/observations", batch_id)
-    if stored is not None:
-        fresh = fresh.join(stored.select("obs_id"), "obs_id", "left_anti")
-    columns = ["obs_id", "connector_id", "observed_at", "l2_domain", "vantage", "facts", "raw"]
-    _write(fresh.select(*columns), f"{root}/observations", batch_id)
+    fresh = obs.join(clash, "obs_id", "left_anti").dropDuplicates(["obs_id"]).select(*columns)
+    if known_ids is not None:
+        fresh = fresh.join(known_ids.select("obs_id"), "obs_id", "left_anti")
+    if failed:
+        fresh = fresh.where("false")
+    _write(fresh, f"{root}/observations", unit)
+    landed = spark.read.parquet(f"{root}/observations/batch={unit}")
+    counts = lines.agg(F.first("stream").alias("poll"), F.count("*").alias("lines")).select(
+        "poll", "lines",
+        obs.agg(F.count("*")).scalar().alias("sightings"),
+        landed.agg(F.count("*")).scalar().alias("ingested"),
+        clashing.agg(F.count("*")).scalar().alias("contradicting"),
+        bad.agg(F.count("*")).scalar().alias("malformed"),
+        F.lit("runs on after its failure" if runs_on else "failed" if failed else "landed").alias("state"),
+    )
+    _write(counts, f"{root}/counts", unit)
+    if failed:
+        return
 
-    landed = spark.read.parquet(f"{root}/observations/batch={batch_id}")
-    held = read_links(spark, root, batch_id)
-    known = read_interfaces(spark, root, batch_id)
+    own = landed.select(F.col("obs_id").alias("observation_id"))
+    met = keys.scoped_keys(landed).select("l2_domain", "mac").distinct()
+    held = read_links(spark, root, unit, own)
+    known = read_interfaces(spark, root, unit, met)
     held = links.empty_links(landed) if held is None else held
     known = links.empty_interfaces(landed) if known is None else known
     try:
-        done = links.resolve(
-            landed, known, held, f"batch-{batch_id}", settle=True, set_late_aside=True
-        )
+        done = links.resolve(landed, known, held, f"batch-{unit}", settle=True, set_late_aside=True)
     except links.Refused as refusal:
         # The landed rows stay; the pass wrote nothing.
         reason = spark.range(1).select(F.lit(str(refusal)).alias("reason"))
-        _write(reason, f"{root}/refused", batch_id)
+        _write(reason, f"{root}/refused", unit)
         return
-    _write(done.resolved.select(*S.INTERFACE_COLUMNS), f"{root}/interfaces", batch_id)
-    _write(
-        links.changed_links(held, done.actions, f"batch-{batch_id}"), f"{root}/links", batch_id
-    )
-    _write(done.late, f"{root}/late", batch_id)
-    _write(done.summary, f"{root}/summary", batch_id)
+    _write(done.resolved.select(*S.INTERFACE_COLUMNS), f"{root}/interfaces", unit)
+    _write(links.changed_links(held, done.actions, f"batch-{unit}"), f"{root}/links", unit)
+    _write(done.late, f"{root}/late", unit)
+    _write(done.summary, f"{root}/summary", unit)
 
 
-def ingest(
-    spark: SparkSession, source: str, root: str, files_per_batch: int = 100_000
-) -> StreamingQuery:
-    """Run over the polls (JSON Lines files) that are there, then stop; run again for new ones."""
+def ingest(spark: SparkSession, source: str, root: str, files_per_batch: int = 16) -> StreamingQuery:
+    """Run over the polls (JSON Lines files) that are there, then stop; run again for new ones.
+
+    ``files_per_batch`` is a matter of cost only.
+    """
     lines = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        spark.readStream.option("maxFilesPerTrigger", min(files_per_batch, POLLS_PER_BATCH))
         .text(source)
         .select(
             F.col("value").alias("line"),
             F.col("_metadata.file_path").alias("stream"),
             F.col("_metadata.file_block_start").alias("_split"),
+            F.col("_metadata.file_modification_time").alias("_arrived"),
         )
     )
     return (
@@ -158,28 +218,57 @@ def poll_summary(records: DataFrame, initial: list[str] | None = None) -> DataFr
 
 
 def stream_poll_summary(records: DataFrame, root: str) -> StreamingQuery:
-    """Summaries of the polls in each micro-batch."""
+    """Logs what each micro-batch tells of its polls; a poll may span any number of them."""
+    told = ["poll", "seq", "record", "l2_domain", "vantage", "kinds"]
+
+    def log(batch: DataFrame, n: int) -> None:
+        kept = batch.select(*told).groupBy("poll", "record", "l2_domain", "vantage").agg(
+            F.max(F.when(F.col("kinds").isNotNull(), F.struct("seq", "kinds"))).alias("told"),
+            F.max("seq").alias("last"),
+        )
+        rows = kept.select(
+            "poll", F.coalesce("told.seq", "last").alias("seq"), "record", "l2_domain", "vantage",
+            "told.kinds",
+        )
+        _write(rows, f"{root}/polls", n)
+
     return (
-        records.writeStream.foreachBatch(
-            lambda df, n: _write(poll_summary(cut(df)), f"{root}/polls", n)
-        )
+        records.writeStream.foreachBatch(log)
         .option("checkpointLocation", f"{root}/_stream")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def deduplicated(obs: DataFrame, delay: str) -> DataFrame:
-    """One row per sighting id, for repeats that arrive within ``delay`` of each other."""
-    timed = obs.withColumn("_at", F.col("observed_at").cast("timestamp"))
-    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["obs_id"]).drop("_at")
+def summarised_polls(spark: SparkSession, root: str) -> DataFrame:
+    """Summaries of the polls logged so far, whatever batches their records came in."""
+    return poll_summary(spark.read.parquet(f"{root}/polls").drop("batch"))
+
+
+def stream_deduplicated(obs: DataFrame, root: str) -> StreamingQuery:
+    """One row per sighting id, however far apart its repeats arrive; ``refused`` counts the repeats.
 
+    What is stored is kept by day, and a batch looks only at the days it brings.
+    """
+
+    def keep(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn("day", F.to_date("observed_at"))
+        once = batch.dropDuplicates(["obs_id"])
+        stored = _read(spark, f"{root}/once", n)
+        if stored is not None:
+            days = F.broadcast(batch.select("day").distinct())  # a calendar's worth at most
+            held = stored.join(days, "day", "left_semi").select("obs_id")
+            once = once.join(held, "obs_id", "left_anti")
+        once.write.mode("overwrite").partitionBy("day").parquet(f"{root}/once/batch={n}")
+        kept = spark.read.parquet(f"{root}/once/batch={n}") if once.take(1) else once
+        counts = batch.agg(F.count("*").alias("arrived")).select(
+            "arrived", (F.col("arrived") - kept.agg(F.count("*")).scalar()).alias("refused")
+        )
+        _write(counts, f"{root}/refused", n)
 
-def stream_deduplicated(obs: DataFrame, root: str, delay: str) -> StreamingQuery:
     return (
-        deduplicated(obs, delay)
-        .writeStream.format("parquet")
-        .option("path", f"{root}/once")
+        obs.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{root}/_stream")
         .trigger(availableNow=True)
         .start()
