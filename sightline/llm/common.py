@@ -38,24 +38,14 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str, rows_per_part: int = 100_000,
-             parts: int | None = None) -> DataFrame:
-    """Adds ``name``: a gapless number from 0 within ``group``, following ``order``'s first column.
-
-    The rows of a group are cut into ranges of a seeded hash (the first column of ``order``, a
-    non-negative bigint), numbered inside each range, and moved up by the counts of the earlier
-    ranges, so no group has to fit in one task.
-    """
-    return running(df.withColumn("_one", F.lit(1).cast("bigint")), group, order, "_one", name,
-                   rows_per_part, parts).drop("_one")
-
-
 def running(df: DataFrame, group: str, order: list[str], value: str, name: str,
-            rows_per_part: int = 100_000, parts: int | None = None) -> DataFrame:
+            rows_per_part: int = 10_000, parts: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the earlier rows of the same ``group``.
 
-    ``order`` starts with a bigint column spread evenly over 0 .. 2^60; ``df`` is read twice, so it
-    should be settled.  Ties in all of ``order`` are broken arbitrarily but the sums stay gapless.
+    ``order`` starts with a bigint column spread evenly over 0 .. 2^60, which is cut into ranges; sums
+    are made inside a range and moved up by those of the earlier ranges, so no group has to fit in one
+    task.  ``df`` is read several times, so it should be settled.  Ties in all of ``order`` are broken
+    arbitrarily.
     """
     from pyspark.sql import Window
 
@@ -73,7 +63,8 @@ def running(df: DataFrame, group: str, order: list[str], value: str, name: str,
         Window.partitionBy(group, "_range").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    df = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    # Dealt by range alone, every task gets as many rows, whatever share one group has.
+    df = df.repartition("_range").withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     match = df[group].eqNullSafe(sums["_group"]) & (df["_range"] == sums["_r"])
     return (
         df.join(sums, match)
