@@ -8,7 +8,7 @@ file is divided between tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
@@ -18,7 +18,7 @@ from sightline.functions.facts import (
     mac_text,
     once_per_row,
 )
-from sightline.plans.ordering import with_position
+from sightline.plans.skew import lookup
 from sightline.sources.tables import FACT_TYPES, fact, facts_where
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -36,9 +36,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_in_split"),
     )
-    return with_position(lines, ["stream"], ["_split", "_in_split"]).select(
-        "stream", "seq", "line"
+    return numbered(lines)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """(stream, seq, line) of lines with ``_split``, the start of their part of the file, and ``_in_split``.
+
+    ``_in_split`` grows by one from line to line of a part.  Only a count and a first value per part
+    are gathered; the lines stay where they were read.
+    """
+    parts = lines.groupBy("stream", "_split").agg(
+        F.count("*").alias("_n"), F.min("_in_split").alias("_first")
     )
+    before = Window.partitionBy("stream").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = lookup(lines, starts, ["stream", "_split"], "_n", "_in_split")
+    seq = F.col("_start") + F.col("_in_split") - F.col("_first")
+    return placed.select("stream", seq.cast("bigint").alias("seq"), "line")
 
 
 def utc(text: Column) -> Column:

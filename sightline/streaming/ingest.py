@@ -15,7 +15,6 @@ from sightline import schemas as S
 from sightline.operators import keys, links
 from sightline.operators import quality as Q
 from sightline.plans.lineage import cut
-from sightline.plans.ordering import with_position
 from sightline.sources import wire
 
 
@@ -65,12 +64,9 @@ def read_interfaces(
     )
 
 
-def numbered(batch: DataFrame) -> DataFrame:
-    """Lines of a micro-batch with their place in their file; a file is never split over batches."""
-    placed = batch.withColumn("_in_split", F.monotonically_increasing_id())
-    return with_position(placed, ["stream"], ["_split", "_in_split"]).select(
-        "stream", "seq", "line"
-    )
+def numbered(poll: DataFrame) -> DataFrame:
+    """Lines of a poll with their place in its file; a file is never split over batches."""
+    return wire.numbered(poll.withColumn("_in_split", F.monotonically_increasing_id()))
 
 
 POLLS_PER_BATCH = 10_000  # units a micro-batch may number; more files wait for the next one
