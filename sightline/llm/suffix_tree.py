@@ -4,7 +4,8 @@ A text is its lower-case words joined by spaces, then an end symbol, so its byte
 for each other and the model's probability of the bytes is one of the words.  Contexts of up to
 ``DEPTH`` bytes are counted over all training texts.  A context is kept if it is frequent and its
 next-symbol distribution diverges from that of its suffix, or if a longer kept one ends with it.
-Each distribution is smoothed towards its suffix's, and a symbol is scored in the longest kept suffix.
+Each distribution is smoothed towards its suffix's, by as much as it has distinct symbols (Witten and
+Bell 1991), and a symbol is scored in the longest kept suffix.
 
 The kept contexts have at least ``LEAST_SHARE`` of all symbols each, so there are at most
 ``DEPTH / LEAST_SHARE`` of them whatever the corpus: that is what bounds the broadcast model.  Word
@@ -27,13 +28,12 @@ from pyspark.sql import functions as F
 from sightline.llm.common import crc_of_id, settle
 from sightline.llm.shingles import lowered_words
 
-DEPTH = 6
-LEAST_SHARE = 4e-6
-LEAST_COUNT = 8
-DIVERGENCE = 10.0  # count times Kullback-Leibler divergence, in nats
-SMOOTHING = 16.0
+DEPTH = 5
+LEAST_SHARE = 2e-6
+LEAST_COUNT = 4
+DIVERGENCE = 4.0  # count times Kullback-Leibler divergence, in nats
 CHUNK_TOKENS = 1_000_000
-BUFFER_BYTES = 2 << 20
+BUFFER_BYTES = 1 << 20
 END = b"\n"  # no word holds it
 
 
@@ -83,9 +83,11 @@ def counted(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             return found
 
         def rows(part):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part[0].view(np.int64)), pa.array(part[1].astype(np.int64))], ["code", "n"]
-            )
+            for low in range(0, len(part[0]), 100_000):
+                code, n = (x[low : low + 100_000] for x in part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"]
+                )
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -95,25 +97,26 @@ def counted(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
                     if size >= BUFFER_BYTES:
                         parts.append(flush())
                         held += len(parts[-1][0])
-                        if held > 4_000_000:  # bounds the memory of a task, not what it counts
+                        if held > 2_000_000:  # bounds the memory of a task, not what it counts
                             parts = [_merged(parts)]
                             held = len(parts[0][0])
-                            if held > 3_000_000:
-                                yield rows(parts[0])
+                            if held > 1_500_000:
+                                yield from rows(parts[0])
                                 parts, held = [], 0
         if texts:
             parts.append(flush())
         if parts:
-            yield rows(_merged(parts))
+            yield from rows(_merged(parts))
 
     return texts.mapInArrow(work, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class Tree(NamedTuple):
-    """By depth: kept contexts and their totals; (context, symbol) pairs and their counts."""
+    """By depth: kept contexts, their totals and distinct symbols; (context, symbol) pairs and counts."""
 
     contexts: list[np.ndarray]
     totals: list[np.ndarray]
+    kinds: list[np.ndarray]
     pairs: list[np.ndarray]
     counts: list[np.ndarray]
 
@@ -123,10 +126,12 @@ class Tree(NamedTuple):
         inside = np.ones(len(code), bool)
         for depth, known in enumerate(self.contexts):
             pair = code & np.uint64((1 << 8 * (depth + 1)) - 1)
-            total = _find(known, self.totals[depth], pair >> np.uint64(8))
+            context = pair >> np.uint64(8)
+            total = _find(known, self.totals[depth], context)
+            kinds = _find(known, self.kinds[depth], context)
             inside &= total > 0  # the kept contexts are closed under suffixes
             n = _find(self.pairs[depth], self.counts[depth], pair)
-            p = np.where(inside, (n + SMOOTHING * p) / (total + SMOOTHING), p)
+            p = np.where(inside, (n + kinds * p) / np.maximum(total + kinds, 1), p)
         return np.log10(p)
 
 
@@ -175,17 +180,20 @@ def learn(texts: DataFrame, depth: int = DEPTH) -> Tree:
     )
     found = kept.select("depth", "context", "code", "n", "total").toArrow()
     by = {c: found[c].to_numpy() for c in found.column_names}
-    contexts, sums, pairs, counts = [], [], [], []
+    contexts, sums, kinds, pairs, counts = [], [], [], [], []
     for d in range(depth + 1):
         mine = by["depth"] == d
         code = by["code"][mine].view(np.uint64)
         order = np.argsort(code)
         pairs.append(code[order])
         counts.append(by["n"][mine][order].astype(float))
-        context, first = np.unique(by["context"][mine].view(np.uint64), return_index=True)
+        context, first, several = np.unique(
+            by["context"][mine].view(np.uint64), return_index=True, return_counts=True
+        )
         contexts.append(context)
+        kinds.append(several.astype(float))
         sums.append(by["total"][mine][first].astype(float))
-    return Tree(contexts, sums, pairs, counts)
+    return Tree(contexts, sums, kinds, pairs, counts)
 
 
 TOLD = (
