@@ -76,9 +76,3 @@ def add_manual(entries: DataFrame, declared: DataFrame) -> DataFrame:
         entries.join(declared.select("entity_id", "attr_key"), ["entity_id", "attr_key"], "left_anti")
         .select("entity_id", "attr_key", "attr_value", F.lit("manual").alias("origin"))
     )
-
-
-def refused_manual(entries: DataFrame, declared: DataFrame) -> DataFrame:
-    return entries.join(
-        declared.select("entity_id", "attr_key"), ["entity_id", "attr_key"], "left_semi"
-    ).select("entity_id", "attr_key")

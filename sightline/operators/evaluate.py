@@ -180,10 +180,3 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def run_buckets(compared: DataFrame) -> DataFrame:
     return compared.groupBy("bucket").agg(F.count("*").alias("cases"))
-
-
-def is_unchanged(compared: DataFrame) -> DataFrame:
-    """One row: do all cases match?"""
-    return compared.agg(
-        F.coalesce(F.bool_and(F.col("bucket") == "identical"), F.lit(True)).alias("unchanged")
-    )

@@ -212,8 +212,3 @@ def object_state(declared: DataFrame, obs: DataFrame, shared: DataFrame | None =
         F.col("ipv4").alias("object_id"), "ipv4", F.lit("undeclared").alias("state")
     )
     return known.unionByName(new)
-
-
-def addresses_on_many_macs(obs: DataFrame) -> DataFrame:
-    """Addresses carried together with two or more own macs."""
-    return address_fields(obs).where("field = 'mac' and n_values > 1").select("ipv4", "n_values")

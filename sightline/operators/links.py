@@ -395,7 +395,7 @@ def resolve(
     pass and returned as ``late`` instead of refusing the whole batch.
     """
     if check and not contradictions(obs).isEmpty():
-        raise Refused("a sighting id carries two different contents")
+        raise Refused("sightings of one id differ")
     rows = slim(obs)
     resolved = resolved_interfaces(keys_of(rows), interfaces)
     if settle:

@@ -18,7 +18,6 @@ from sightline.plans.skew import lookup
 from sightline.sources import wire
 
 
-
 def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -364,20 +363,6 @@ def text_addresses(texts: DataFrame) -> DataFrame:
     )
 
 
-def first_violation(violations: DataFrame) -> DataFrame:
-    """The violation a strict reader meets first in each stream."""
-    return violations.groupBy("stream").agg(
-        F.min(F.struct("seq", "rule", "detail")).alias("v")
-    ).select("stream", "v.*")
-
-
-def demand_clean(violations: DataFrame) -> None:
-    """Strict mode: raise naming one violation."""
-    row = violations.limit(1).collect()
-    if row:
-        raise ValueError(f"violation: {row[0].asDict()}")
-
-
 # ---------------------------------------------------------------- labels
 
 

@@ -57,19 +57,6 @@ def cut(feed: DataFrame, cuts: DataFrame) -> DataFrame:
     return _shifted(_placed(feed, cuts), feed.columns).unionByName(failure)
 
 
-def polled(feed: DataFrame) -> DataFrame:
-    """What a poll emits: the sightings before the first failure of their stream."""
-    ends = feed.groupBy("stream").agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("record") == "failure", F.col("seq"))).alias("_end")
-    )
-    before = F.col("_end").isNull() | (F.col("seq") < F.col("_end"))
-    return (
-        lookup(feed, ends, ["stream"], "n", "seq")
-        .where((F.col("record") == "observation") & before)
-        .select(*feed.columns)
-    )
-
-
 def _listed(kinds: list[str]) -> Column:
     return F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")
 

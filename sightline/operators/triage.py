@@ -146,13 +146,6 @@ def detail(
     )
 
 
-def selected_row(rows: DataFrame, selected: str | None = None) -> DataFrame:
-    """The row asked for, or the first in default order when that id is not queued."""
-    if selected is not None and not rows.where(F.col("row_id") == selected).isEmpty():
-        return rows.where(F.col("row_id") == selected)
-    return by_entity(rows).limit(1)
-
-
 def declared_provenance(declared: DataFrame, obs: DataFrame) -> DataFrame:
     """Gap rows with the origin and date of their declared side, and the entity's newest write."""
     sides = F.struct("updated_at", "origin")

@@ -11,11 +11,6 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def observation_by_id(obs: DataFrame, obs_id) -> DataFrame:
-    """One sighting; the filter reaches the Parquet scan."""
-    return obs.where(F.col("obs_id") == F.lit(obs_id))
-
-
 def append_observations(obs: DataFrame, path: str) -> None:
     """Append sightings whose id is not stored yet; repeats inside the batch count once.
 
@@ -38,10 +33,6 @@ def write_snapshot(links: DataFrame, path: str) -> DataFrame:
     return links.sparkSession.read.parquet(path)
 
 
-def declared_in_order(declared: DataFrame) -> DataFrame:
-    return declared.select("entity_id", "attr_key", "attr_value").orderBy("entity_id", "attr_key")
-
-
 def declared_with_provenance(declared: DataFrame) -> DataFrame:
     return declared.select(
         "entity_id", "attr_key", "attr_value", "origin", "updated_at"
