@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,48 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read back; a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.settled_at = path
+    for made in _collecting:
+        made.append(found)
+    return found
+
+
+_collecting: list[list[DataFrame]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[DataFrame]]:
+    """Lists the tables settled meanwhile, for ``discard`` once what was made of them is written."""
+    made: list[DataFrame] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.remove(made)
+
+
+def discard(*settled: DataFrame) -> None:
+    """Removes settled tables that nothing reads any more; one that is gone already is passed over."""
+    for df in settled:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart by all their columns; equal rows share it."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def attached(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(row, the columns of ``told``): for each row of ``told`` the row of ``docs`` with its ``row_hash``.
+
+    ``told`` (row_hash, ...) has a row for each row of ``docs`` that is wanted, so equal rows come back
+    as often as they are told.  Texts are shuffled once.
+    """
+    once = docs.select(row_hash(docs).alias("row_hash"), F.struct("*").alias("row")).dropDuplicates(["row_hash"])
+    return once.join(told, "row_hash").drop("row_hash")
 
 
 def words(text: Column | str) -> Column:
@@ -95,6 +139,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             F.struct(F.col("a"), F.col("m").alias("b")),
         )).alias("e")).select("e.*").where("a <> b").distinct()
         small = settle(small, "edges")
+        discard(edges)
         # Done when every node hangs on exactly one root and no root hangs on anything.
         roots = small.select(F.col("b").alias("a")).distinct()
         many = small.groupBy("a").count().where("count > 1").select("a").limit(1)

@@ -12,7 +12,8 @@ is joined once.  Two classes link when they share ``T`` per cent of their tokens
    size of the set, so the combinations stay in proportion to its tokens.
 3. Verify.  Within an index key, all classes are first held against one of them; keys whose
    classes are then in one component are done.  In the others, pairs of different components that
-   pass the size and bitmap bounds are verified, a spanning forest at a time, until none is left.
+   pass size and bitmap bounds and share enough 32-bit tokens are verified in full, a spanning
+   forest at a time, until none is left.
    Large keys are cut into blocks, and every pair of blocks is looked at.  No pair that could be a
    new link is left out, and no key lists all its pairs.
 """
@@ -26,14 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import components, settle
-from sightline.llm.shingles import lowered_words, parity, shingle_hashes
+from sightline.llm.common import SPACES, attached, components, row_hash, settle
+from sightline.llm.shingles import lowered_words, parity, shingle_hashes, shortened
 
 WORDS = 4
 PER_CENT = 85
 SAMPLE = 0.3
-RARE = 32
-BLOCK = 512
+RARE = 2048
+BLOCK = 1024
+BITS = 4  # of a bitmap, for each token
 BROADCAST_CLASSES = 1_000_000
 
 
@@ -45,27 +47,30 @@ def _lists(arrays) -> pa.Array:
 
 
 def _described(docs: DataFrame, row: Column, size: int) -> DataFrame:
-    """(row, k, n, low): the class, its number of tokens, and those in the sampled share."""
+    """(row, k, line, n, low): the class, a hash of the words, the number of tokens, and the sampled ones."""
     bound = np.int64(round((SAMPLE - 0.5) * 2**64))
 
     def work(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                keys, counts, low = [], [], []
+                keys, lines, counts, low = [], [], [], []
                 for text in part.column("_text").to_pylist():
-                    found = shingle_hashes(lowered_words(text), size)
+                    words = lowered_words(text)
+                    found = shingle_hashes(words, size)
                     keys.append(_class(found))
+                    lines.append(_line(words))
                     counts.append(len(found))
                     low.append(found[found < bound])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), _lists(low)],
-                    ["row", "k", "n", "low"],
+                    [part.column("row"), pa.array(keys, pa.int64()), pa.array(lines, pa.int64()),
+                     pa.array(counts, pa.int64()), _lists(low)],
+                    ["row", "k", "line", "n", "low"],
                 )
 
     packed = docs.select(row.alias("row"), F.col("text").cast("binary").alias("_text"))
     schema = packed.select("row", *[F.lit(None).cast(t).alias(c) for c, t in (
-        ("k", "bigint"), ("n", "bigint"), ("low", "array<bigint>"))]).schema
+        ("k", "bigint"), ("line", "bigint"), ("n", "bigint"), ("low", "array<bigint>"))]).schema
     return packed.mapInArrow(work, schema)
 
 
@@ -76,43 +81,54 @@ def _class(tokens: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
+def _line(words: list[bytes]) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
+
+
 def _token_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
-    """(k, tokens, bits) once per class of ``asked`` (k)."""
+    """(k, tokens, bits, short) of each class of ``asked`` (k, line), from a text with that line.
+
+    ``bits`` and ``short`` are a parity bitmap and 32-bit forms of the tokens.
+    """
     small = asked.count() <= BROADCAST_CLASSES
     wanted = None
     if small:  # at most 8 MB
-        keys = np.sort(np.array([r["k"] for r in asked.collect()], np.int64))
-        wanted = docs.sparkSession.sparkContext.broadcast(keys)
+        lines = np.sort(np.array([r["line"] for r in asked.select("line").collect()], np.int64))
+        wanted = docs.sparkSession.sparkContext.broadcast(lines)
 
     def work(batches):
         seen = set()
         known = wanted.value if wanted else None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                keys, tokens, bits = [], [], []
+                keys, lines, tokens, bits, short = [], [], [], [], []
                 for text in batch.slice(start, 256).column(0).to_pylist():
-                    found = shingle_hashes(lowered_words(text), size)
-                    k = _class(found)
-                    if k is None or k in seen:
+                    words = lowered_words(text)
+                    line = _line(words)
+                    if not words or line in seen:
                         continue
                     if known is not None:
-                        at = np.searchsorted(known, k)
-                        if at == len(known) or known[at] != k:
+                        at = np.searchsorted(known, line)
+                        if at == len(known) or known[at] != line:
                             continue
-                        seen.add(k)  # at most as many as were broadcast
-                    keys.append(k)
+                        seen.add(line)  # at most as many as were broadcast
+                    found = shingle_hashes(words, size)
+                    keys.append(_class(found))
+                    lines.append(line)
                     tokens.append(found)
-                    bits.append(parity(found))
+                    short.append(shortened(found))
+                    bits.append(parity(short[-1], BITS * len(found)).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), _lists(tokens), pa.array(bits, pa.binary())],
-                    ["k", "tokens", "bits"],
-                )
+                    [pa.array(keys, pa.int64()), pa.array(lines, pa.int64()), _lists(tokens),
+                     pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in short], pa.binary())],
+                    ["k", "line", "tokens", "bits", "short"],
+                )
 
     found = docs.select(F.col("text").cast("binary")).mapInArrow(
-        work, "k bigint, tokens array<bigint>, bits binary"
+        work, "k bigint, line bigint, tokens array<bigint>, bits binary, short binary"
     )
-    found = found if small else found.join(asked, "k", "left_semi")
-    return found.dropDuplicates(["k"])
+    found = found if small else found.join(asked.select("line"), "line", "left_semi")
+    return found.drop("line").dropDuplicates(["k"])
 
 
 def _needed(n: int, per_cent: int) -> int:
@@ -126,28 +142,26 @@ def _bands(n: int, per_cent: int) -> list[int]:
     return list(range(low.bit_length() - 1, high.bit_length()))
 
 
-def index_keys(n: int, shared: list[tuple[int, int]], rare: int, per_cent: int) -> list[int]:
-    """Index keys of a set of ``n`` tokens, ``shared`` being (frequency, token) of those not alone."""
-    alone, spare = n - len(shared), n - _needed(n, per_cent)
-    need = spare + 1 - alone
+def index_keys(n: int, frequency: np.ndarray, token: np.ndarray, rare: int, per_cent: int) -> list[int]:
+    """Index keys of a set of ``n`` tokens, given those not alone in it with their frequencies."""
+    need = n - _needed(n, per_cent) + 1 - (n - len(token))
     if need <= 0:
         return []
-    shared.sort()
-    singles = [h for f, h in shared if f <= rare][:need]
-    keys = list(singles)
-    need -= len(singles)
+    token = token[np.lexsort((token, frequency))]
+    singles = int((frequency <= rare).sum())
+    keys = token[: min(need, singles)].tolist()
+    need -= len(keys)
     if need <= 0:
         return keys
-    frequent = [h for f, h in shared if f > rare]
+    frequent = token[singles:].tolist()
     for band in _bands(n, per_cent):
         groups = max(1, (1 << band) >> 4)
         members: dict[int, list[int]] = {}
         left = need
         for h in frequent:
             mine = members.setdefault((h >> 7) % groups, [])
-            pairs = [_pair(h, other, band) for other in mine]
+            keys += [_pair(h, other, band) for other in mine]
             left -= bool(mine)
-            keys += pairs
             mine.append(h)
             if left <= 0:
                 break
@@ -170,16 +184,18 @@ def _indexed(sets: DataFrame, rare: int, per_cent: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                out: list[tuple] = []
-                for k, n, had in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    found = index_keys(n, [(x["f"], x["h"]) for x in had], rare, per_cent)
-                    out += [(key, k, n, n - len(had)) for key in set(found)]
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], ["key", "k", "n", "alone"]
-                )
+            ks, ns, lists = (batch.column(c) for c in ("k", "n", "shared"))
+            ends = lists.offsets.to_numpy()
+            inside = lists.values
+            frequency, token = inside.field("f").to_numpy(), inside.field("h").to_numpy()
+            out: list[tuple] = []
+            for k, n, a, b in zip(ks.to_pylist(), ns.to_pylist(), ends, ends[1:], strict=False):
+                found = index_keys(n, frequency[a:b], token[a:b], rare, per_cent)
+                out += [(key, k, n, n - int(b - a)) for key in set(found)]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns], ["key", "k", "n", "alone"]
+            )
 
     rows = settle(told.mapInArrow(work, "key bigint, k bigint, n bigint, alone bigint"), "index")
     many = rows.groupBy("key").count().where("count > 1").select("key")
@@ -195,40 +211,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", (100 * both >= per_cent * either).alias("linked"))
 
 
-def _forests(rows: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b): likely links that would join different components, a spanning forest per block."""
+def _near(n, label, side, bits, per_cent):
+    """(r, rows): for each row the later ones of other labels that size and bitmap bounds let pass."""
     ratio = per_cent / (100 + per_cent)
+    size = np.array([len(x) for x in bits])
+    for width in np.unique(size):
+        own = np.flatnonzero(size == width)
+        twice = np.flatnonzero(size == 2 * width)
+        rest = np.concatenate([own, twice])
+        maps = np.array([bits[i] for i in own] + [bits[i][:width] ^ bits[i][width:] for i in twice])
+        for at, r in enumerate(own):
+            s = rest[at + 1 :]
+            fits = (label[s] != label[r]) & (100 * n[r] >= per_cent * n[s])
+            if side[r] >= 0:  # two different blocks: pairs inside either are looked at elsewhere
+                fits &= side[s] != side[r]
+            s, near = s[fits], maps[at + 1 :][fits]
+            total = n[s] + n[r]
+            apart = np.bitwise_count(near ^ maps[at]).sum(axis=1)
+            s = s[apart <= total - 2 * np.ceil(ratio * total - 1e-9)]
+            if len(s):
+                yield r, s
+
+
+def _sorted(table: pa.Table):
+    t = table.sort_by([("n", "ascending"), ("k", "ascending")])
+    labels, label = np.unique(t["label"].to_numpy(), return_inverse=True)
+    return t, t["k"].to_numpy(), t["n"].to_numpy(), label, t["side"].to_numpy()
+
+
+def _plausible(rows: DataFrame, per_cent: int) -> DataFrame:
+    """(key, i, j, k): the rows of blocks that have a partner by their bitmaps."""
+
+    def look(table: pa.Table) -> pa.Table:
+        t, _, n, label, side = _sorted(table)
+        bits = [np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()]
+        seen = np.zeros(len(n), bool)
+        for r, s in _near(n, label, side, bits, per_cent):
+            seen[r] = seen[s] = True
+        return t.select(["key", "i", "j", "k"]).filter(pa.array(seen))
+
+    kept = rows.select("key", "i", "j", "k", "n", "label", "side", "bits")
+    return kept.groupBy("key", "i", "j").applyInArrow(look, "key bigint, i int, j int, k bigint")
+
+
+def _forests(rows: DataFrame, per_cent: int) -> DataFrame:
+    """(key, i, j, a, b): likely links that would join different components, a spanning forest per block."""
 
     def forest(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("n", "ascending"), ("k", "ascending")])
-        k, n = t["k"].to_numpy(), t["n"].to_numpy()
-        labels, label = np.unique(t["label"].to_numpy(), return_inverse=True)
+        t, k, n, label, side = _sorted(table)
         refused = [set(x or ()) for x in t["refused"].to_pylist()]
-        side = t["side"].to_numpy()
-        bits = [np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()]
-        size = np.array([len(x) for x in bits])
+        short = [np.frombuffer(x, np.uint32) for x in t["short"].to_pylist()]
+        # Equal low halves within a set may hide a shared token: so many at most.
+        hidden = n - np.array([len(x) for x in short])
+        bits = [parity(x, 16 * m) for x, m in zip(short, n, strict=True)]
         out: list[tuple[int, int]] = []
-        for width in np.unique(size):
-            own = np.flatnonzero(size == width)
-            twice = np.flatnonzero(size == 2 * width)
-            rest = np.concatenate([own, twice])
-            maps = np.array([bits[i] for i in own] + [bits[i][:width] ^ bits[i][width:] for i in twice])
-            for at, r in enumerate(own):
-                s = rest[at + 1 :]
-                fits = (label[s] != label[r]) & (100 * n[r] >= per_cent * n[s])
-                if side[r] >= 0:  # two different blocks: pairs inside either are looked at elsewhere
-                    fits &= side[s] != side[r]
-                s, near = s[fits], maps[at + 1 :][fits]
-                apart = np.bitwise_count(near ^ maps[at]).sum(axis=1)
-                total = n[s] + n[r]
-                for j in s[apart <= total - 2 * np.ceil(ratio * total - 1e-9)]:
-                    if label[j] != label[r] and k[j] not in refused[r] and k[r] not in refused[j]:
-                        out.append((k[r], k[j]))
-                        label[label == label[j]] = label[r]
+        for r, s in _near(n, label, side, bits, per_cent):
+            for j in s:
+                if label[j] == label[r] or k[j] in refused[r] or k[r] in refused[j]:
+                    continue
+                both = len(np.intersect1d(short[r], short[j], assume_unique=True)) + min(hidden[r], hidden[j])
+                if (100 + per_cent) * both >= per_cent * (n[r] + n[j]):
+                    out.append((k[r], k[j]))
+                    label[label == label[j]] = label[r]
         a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        here = {c: pa.array([t[c][0].as_py()] * len(out), t.schema.field(c).type) for c in ("key", "i", "j")}
+        return pa.table(here | {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(forest, "a bigint, b bigint")
+    return rows.groupBy("key", "i", "j").applyInArrow(forest, "key bigint, i int, j int, a bigint, b bigint")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,37 +291,53 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def links(sets: DataFrame, per_cent: int = PER_CENT, rare: int = RARE, block: int = BLOCK):
-    """(links (a, b), roots (node, root)) of the settled classes ``sets`` (k, tokens, bits)."""
+    """(links (a, b), roots (node, root)) of the settled classes ``sets`` (k, tokens, short)."""
     index = _indexed(sets, rare, per_cent)
     pivot = index.groupBy("key").agg(F.min(F.struct("alone", "k", "n")).alias("p"))
     fits = 100 * F.least("n", F.col("p.n")) >= per_cent * F.greatest("n", F.col("p.n"))
     pairs = index.join(pivot, "key").where(F.col("k") != F.col("p.k")).where(fits)
     pairs = settle(pairs.select(F.col("p.k").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
     judged = settle(_verified(pairs, sets, per_cent), "judged")
+    again = None
     while True:
         roots, rows = _labelled(index, judged.where("linked").select("a", "b"))
+        if again is not None and again.isEmpty():
+            return judged.where("linked").select("a", "b"), roots
         rows = settle(rows, "labelled")
         mixed = rows.groupBy("key").agg(
             F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")
         ).where("x <> y").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-        # A refusal is kept at its second class: it is not the one that many are held against.
-        refused = judged.where("not linked").groupBy("b").agg(F.collect_list("a").alias("refused"))
         open_ = (
             rows.join(mixed, "key")
             .join(sets.select("k", "bits"), "k")
-            .join(refused, F.col("k") == F.col("b"), "left").drop("b")
             .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
             .withColumn("side", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("block")))
         )
-        found = _forests(
-            open_.select("key", "i", "j", "k", "n", "label", "bits", "refused", "side"), per_cent
-        )
-        found = settle(found.distinct(), "pairs")
+        # A block whose likely links all held has no other left; those with a refusal come again.
+        open_ = open_ if again is None else open_.join(again, ["key", "i", "j"], "left_semi")
+        near = settle(_plausible(open_, per_cent), "near")
+        # A refusal is kept at its second class: it is not the one that many are held against.
+        refused = judged.where("not linked").groupBy("b").agg(F.collect_list("a").alias("refused"))
+        about = (
+            near.select("k").distinct()
+            .join(sets.select("k", "short"), "k")
+            .join(refused, F.col("k") == F.col("b"), "left").drop("b")
+        )
+        some = rows.select("key", "k", "n", "label")
+        side = F.when(F.col("i") == F.col("j"), -1).otherwise(F.pmod(F.xxhash64("k"), F.col("blocks")))
+        near = near.join(some, ["key", "k"]).join(mixed, "key").withColumn("side", side.cast("int"))
+        found = settle(_forests(
+            near.join(about, "k").select("key", "i", "j", "k", "n", "label", "short", "refused", "side"),
+            per_cent,
+        ), "pairs")
         if found.isEmpty():
             return judged.where("linked").select("a", "b"), roots
-        judged = settle(judged.unionByName(_verified(found, sets, per_cent)), "judged")
+        new = settle(_verified(found.select("a", "b").distinct(), sets, per_cent), "verified")
+        again = found.join(new.where("not linked"), ["a", "b"]).select("key", "i", "j").distinct()
+        again = settle(again, "again")
+        judged = settle(judged.unionByName(new), "judged")
 
 
 def join(docs: DataFrame, row: Column | None = None, words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
@@ -285,16 +350,17 @@ def join(docs: DataFrame, row: Column | None = None, words: int = WORDS, per_cen
     """
     carried = F.struct(F.col("doc_id"), (F.struct("*") if row is None else row).alias("row"))
     told = settle(_described(docs, carried, words), "described")
-    told = told.select("row.row", "row.doc_id", "k", "n", "low")
+    told = told.select("row.row", "row.doc_id", "k", "line", "n", "low")
     lone = (
         told.select("k", F.explode("low").alias("h"))
         .groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("y")).where("k = y")
         .groupBy("k").agg(F.count("*").alias("lone"))
     )
     spare = F.col("n") - F.ceil(F.col("n") * per_cent / 100)
-    classes = told.where("n > 0").groupBy("k").agg(F.max("n").alias("n"))
+    classes = told.where("n > 0").groupBy("k").agg(F.max("n").alias("n"), F.min("line").alias("line"))
     asked = settle(
-        classes.join(lone, "k", "left").where(F.coalesce("lone", F.lit(0)) <= spare).select("k"), "asked"
+        classes.join(lone, "k", "left").where(F.coalesce("lone", F.lit(0)) <= spare).select("k", "line"),
+        "asked",
     )
     sets = settle(_token_sets(docs, asked, words), "sets")
     _, roots = links(sets, per_cent)
@@ -309,11 +375,12 @@ def join(docs: DataFrame, row: Column | None = None, words: int = WORDS, per_cen
 
 
 def first_of_each(docs: DataFrame, words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, the first text among equals."""
-    found = join(docs, words=words, per_cent=per_cent)
-    lone = found.where("label is null").select("row.*")
-    key = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(F.col("row").getField("text")))
-    best = found.where("label is not null").groupBy("label").agg(F.min_by("row", key).alias("row"))
-    return lone.unionByName(best.select("row.*"))
-
+    """``docs`` with one row of each component: that of the smallest id, the least hash among equals.
 
+    Texts without words link with nothing, so all of them stay.
+    """
+    bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == ""
+    found = join(docs.where(~bare), row_hash(docs), words, per_cent)
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    best = found.groupBy("label").agg(F.min_by("row", key).alias("row_hash")).select("row_hash")
+    return attached(docs.where(~bare), best).select("row.*").unionByName(docs.where(bare))

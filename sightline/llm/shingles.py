@@ -26,11 +26,16 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.array(found, np.uint64).view(np.int64))
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """A bitmap of two bits a hash or more; a bit is set where an odd number of hashes fall.
+def shortened(hashes: np.ndarray) -> np.ndarray:
+    """The distinct low halves of the hashes, sorted."""
+    return np.unique(hashes.view(np.uint64).astype(np.uint32))
 
-    Two sets differ in at least as many hashes as their bitmaps differ in bits.
+
+def parity(values: np.ndarray, least: int) -> np.ndarray:
+    """A bitmap of a power of two bits, ``least`` or more; set where an odd number of values fall.
+
+    Two sets differ in at least as many values as their bitmaps differ in bits.
     """
-    bits = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
-    odd = np.bincount((hashes.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    bits = max(64, 1 << int(least - 1).bit_length())
+    odd = np.bincount(values.astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
