@@ -7,35 +7,61 @@ written as Parquet and read again as the next one's docs.  All but the last keep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from sightline.llm.common import settle, table
+from sightline.llm.common import collecting, discard, settle, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_scratch: list[DataFrame] = []
+
+
+def stage(work: Stage) -> Stage:
+    """A stage starts once the one before it is written, so it removes that one's scratch tables."""
+
+    @wraps(work)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(*_scratch)
+        _scratch.clear()
+        with collecting() as made:
+            out = work(spark, docs, sf_dir)
+        _scratch.extend(made)
+        return out
+
+    return begun
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labelled ones, does not reject."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal or similar ones: that of the smallest id."""
     return ngram_join.first_of_each(docs)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, to the nearest whole time."""
     return mixing.mixed(docs)
 
 
+@stage
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and their slot in it; equal texts share a shard."""
-    return sharding.shard(docs).select("row.*", "shard", "slot")
+    return sharding.sharded(docs).select("row.*", "shard", "slot")
 
 
 STAGES = [
@@ -52,6 +78,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+    for name, work in STAGES:
+        docs = settle(work(spark, docs, sf_dir), name)
     return docs

@@ -9,10 +9,10 @@ takes that many blocks, the next ones of the seeded stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import lookup_small, running, seeded, settle, word_count
+from sightline.llm.common import attached, lookup_small, row_hash, running, seeded, settle, word_count
 
 MOST = 3  # times a document may be taken
 BLOCKS = 1 << 20  # about so many blocks in all; a block has at least one token
@@ -85,14 +85,14 @@ def quotas(plan: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataF
 
 
 def mix(sized: DataFrame, shards: int = SHARDS, seed: str = SEED, blocks: int = BLOCKS) -> DataFrame:
-    """Adds source_size, target, shard_words and taken to (row, doc_id, source, size, tie).
+    """Adds source_size, target, shard_words and taken to (row_hash, doc_id, source, size).
 
-    ``row`` is any column to carry along; ``sized`` must be settled, as it is read several times.
-    A null source is a source of its own; a document without words is never taken; an empty table
-    gives an empty result.  Rows with the same id follow each other by size and ``tie``.
+    ``sized`` must be settled, as it is read several times.  A null source is a source of its own; a
+    document without words is never taken; an empty table gives an empty result.  Rows with the same
+    id follow each other by size and ``row_hash``.
     """
     placed = running(
-        sized.withColumn("_h", seeded(seed, "doc_id")), "source", ["_h", "size", "tie"], "size", "_start"
+        sized.withColumn("_h", seeded(seed, "doc_id")), "source", ["_h", "size", "row_hash"], "size", "_start"
     )
     plan = settle(quotas(targets(sized), shards, blocks), "quotas")
     placed = lookup_small(placed, plan, "source", BROADCAST_SOURCES, "_h")
@@ -117,18 +117,16 @@ def mix(sized: DataFrame, shards: int = SHARDS, seed: str = SEED, blocks: int =
     )
 
 
-def sized(docs: DataFrame, row: Column) -> DataFrame:
-    """(row, doc_id, source, size, tie) of every document, settled; a null text has no words."""
+def sized(docs: DataFrame) -> DataFrame:
+    """(row_hash, doc_id, source, size) of every document, settled; a null text has no words."""
     return settle(docs.select(
-        row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"),
+        row_hash(docs).alias("row_hash"), "doc_id", "source", word_count(F.col("text")).alias("size")
     ), "sized")
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as documents: every row as often as it is taken, to the nearest whole time."""
-    drawn = mix(sized(docs, F.struct("*")), seed=seed)
-    times = F.expr("cast(round(taken / size) as int)")
-    return drawn.where("size > 0 and 2 * taken >= size").select(
-        "row", F.explode(F.sequence(F.lit(1), times)).alias("_time")
-    ).select("row.*")
+    drawn = mix(sized(docs), seed=seed).where("size > 0 and 2 * taken >= size")
+    times = drawn.select("row_hash", F.expr("cast(round(taken / size) as int) as _times"))
+    found = attached(docs, times)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

@@ -42,7 +42,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.sized(table(spark, sf_dir, "documents"), F.lit(None).cast("string"))
+    sized = mixing.sized(table(spark, sf_dir, "documents"))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -60,7 +60,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return sharding.shard(docs, row=F.lit(None).cast("string")).select(
+    return sharding.shard(docs).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

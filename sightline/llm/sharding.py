@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import running, seeded, settle
+from sightline.llm.common import attached, row_hash, running, seeded, settle
 
 SHARDS = 8
 BINS = 512
@@ -109,18 +109,17 @@ def _split(groups: DataFrame, leaves: dict[int, int]) -> dict[int, tuple[str, in
     return {n: (s["dim"], s["cut"]) for n, s in state.items()}
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, row: Column | None = None,
-          target_bytes: int | None = None) -> DataFrame:
-    """(row, doc_id, size, text_crc32, group, shard, slot) for every row of ``docs``.
+def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
+    """(row_hash, doc_id, size, text_crc32, group, shard, slot) for every row of ``docs``.
 
-    ``row`` packs the input's columns unless another column is given.  ``size`` is the UTF-8 bytes of
-    the text (a null text has none) plus 1.  With ``target_bytes`` the number of shards follows from
-    the total.  A group of equal texts larger than a shard stays whole; repeated rows count each; an
-    empty table gives an empty result.  Slots follow a seeded order and have no gaps.
-    """
+    ``size`` is the UTF-8 bytes of the text (a null text has none) plus 1.  With ``target_bytes`` the
+    number of shards follows from the total.  A group of equal texts larger than a shard stays whole;
+    repeated rows count each; an empty table gives an empty result.  Slots follow a seeded order and
+    have no gaps.
+    """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = settle(docs.select(
-        (F.struct("*") if row is None else row).alias("row"), "doc_id", "lang", "source",
+        row_hash(docs).alias("row_hash"), "doc_id", "lang", "source",
         (F.octet_length(body) + 1).cast("bigint").alias("size"),
         F.crc32(body).alias("text_crc32"), F.sha2(body, 256).alias("group"),
     ), "rows")
@@ -145,4 +144,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, row: Column | None = None,
     placed = settle(placed.withColumn("_h", seeded("slot", "doc_id", "text_crc32")), "placed")
     return running(
         placed.withColumn("_one", F.lit(1).cast("bigint")), "shard", ["_h", "size"], "_one", "slot"
-    ).select("row", "doc_id", "size", "text_crc32", "group", "shard", "slot")
+    ).select("row_hash", "doc_id", "size", "text_crc32", "group", "shard", "slot")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(row, shard, slot): the rows of ``docs`` with their places."""
+    return attached(docs, shard(docs, shards).select("row_hash", "shard", "slot"))

@@ -64,7 +64,7 @@ def test_toxicity_on_unseen_texts(spark, documents, text):
     docs = documents(texts(200))
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
-    other = documents([*texts(50), None, "", text(20_000), "zergnew word", "row"], [*range(54), None])
+    other = documents([*texts(50), None, "", text(20_000), "zerg zergnew word", "row"], [*range(54), None])
     got = {r["row"]["doc_id"]: r for r in toxicity.score(other, model).collect()}
     assert len(got) == 55 and [got[i]["toxic"] for i in range(50)] == [i % 5 == 0 for i in range(50)]
     assert not any(got[i]["toxic"] for i in (50, 51, 52, None)) and got[53]["toxic"]

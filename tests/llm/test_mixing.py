@@ -45,7 +45,7 @@ def test_quotas_follow_the_highest_quotients(documents, text):
     for (_, s), n in zip(rows, sizes([t for t, _ in rows]), strict=True):
         by_source[s] += n
     names, target = brute_targets(by_source)
-    sized = mixing.sized(docs, F.lit(None).cast("string"))
+    sized = mixing.sized(docs)
     for blocks, shards in ((1 << 20, 4), (97, 5), (3, 2)):
         plan = mixing.quotas(mixing.targets(sized), shards, blocks).collect()
         assert all(abs(r["target"] - target[r["source"]]) < 1e-6 for r in plan)
@@ -58,7 +58,7 @@ def test_quotas_follow_the_highest_quotients(documents, text):
 
 def test_taken_nears_the_targets(documents, text):
     docs, rows = made(documents, text)
-    drawn = mixing.mix(mixing.sized(docs, F.lit(None).cast("string")), shards=4)
+    drawn = mixing.mix(mixing.sized(docs), shards=4)
     got = drawn.collect()
     assert len(got) == len(rows)
     assert all(0 <= r["taken"] <= 3 * r["size"] and sum(r["shard_words"]) == r["taken"] for r in got)
@@ -67,7 +67,7 @@ def test_taken_nears_the_targets(documents, text):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
     assert all(abs(taken[s] - target[s]) <= 1.5 for s in target)
-    again = mixing.mix(mixing.sized(docs.repartition(7), F.lit(None).cast("string")), shards=4).collect()
+    again = mixing.mix(mixing.sized(docs.repartition(7)), shards=4).collect()
     key = lambda r: (r["doc_id"] or -1, r["source"] or "", r["size"], r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again))
 
@@ -77,7 +77,7 @@ def test_mixed_keeps_columns(documents, text):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() > 0
     assert mixing.mixed(docs.where("false")).count() == 0
-    plan = mixing.mix(mixing.sized(docs, F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+    plan = mixing.mix(mixing.sized(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 

@@ -23,10 +23,13 @@ def test_near_equal_bytes_and_whole_groups(documents, text):
     for shards in (8, 3, 1):
         got = sharding.shard(docs, shards).collect()
         assert len(got) == 643
-        for r in got:
-            body = (r["row"]["text"] or "").encode()
-            assert (r["size"], r["text_crc32"]) == (len(body) + 1, zlib.crc32(body))
         check(got, shards, 2500)
+        want = sorted((len(b) + 1, zlib.crc32(b)) for b in ((t or "").encode() for t in texts))
+        assert sorted((r["size"], r["text_crc32"]) for r in got) == want
+    placed = sharding.sharded(docs)
+    assert placed.count() == 643 and placed.select("row.*").columns == docs.columns
+    assert placed.select("shard", "slot").distinct().count() == 643
+    assert sorted(r[0] or "" for r in placed.select("row.text").collect()) == sorted(t or "" for t in texts)
     by_bytes = sharding.shard(docs, target_bytes=30_000)
     assert by_bytes.agg(F.max("shard")).first()[0] > 2
 
