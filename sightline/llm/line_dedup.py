@@ -1,9 +1,14 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by content-defined chunks of lines and by repeated passages.
 
 A rolling hash over the hashes of the last ``ROLL`` lines ends a chunk wherever it hits one residue
 of ``PERIOD``, so boundaries move with the content and an insertion shifts none behind it.  Chunks of
-several lines that occur again anywhere are removed but for the first occurrence, after their bytes
-were compared with it.
+several lines that occur again anywhere are removed but for the first occurrence.
+
+Chunks at the ends of a passage are cut together with what surrounds it.  Passages need no boundaries:
+every line starts the shortest run of lines of more than so many words, and ends one.  Any longer run
+is covered by such runs inside it, so a run that occurs again is found whole, wherever it stands.
+
+Each line to be removed is compared byte by byte with the one that it repeats.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from sightline.llm.common import settle
 
 ROLL = 2
 PERIOD = 3
+PASSAGE = 50  # words that a repeated passage has more than
 
 
 def chunks(lines: list[bytes], roll: int = ROLL, period: int = PERIOD) -> list[tuple[int, int]]:
@@ -45,46 +51,68 @@ def _lines(text: bytes | None) -> list[bytes]:
 def _keyed(docs: DataFrame) -> DataFrame:
     """(key, first, row, text): ``key`` is the same for rows of the same id and text only."""
     text = F.coalesce("text", F.lit(""))
+    named = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
     return docs.select(
-        F.sha2(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text), 256)
-        .alias("key"),
+        F.unhex(F.sha2(named, 256)).alias("key"),
         F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
         text.cast("binary").alias("text"),
     )
 
 
-def _all_chunks(batches):
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            out = []
-            for key, doc_id, text in zip(*[c.to_pylist() for c in batch.slice(start, 256).columns], strict=True):
-                lines = _lines(text)
-                for i, (a, b) in enumerate(chunks(lines)):
-                    if _several(lines[a:b]):
-                        digest = xxhash.xxh3_128_digest(b"\n".join(lines[a:b]))
-                        out.append((key, doc_id, i, digest))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc_id", "i", "digest"]
-            )
+def runs(lines: list[bytes], over: int) -> set[tuple[int, int]]:
+    """(first line, end) of the shortest runs of more than ``over`` words from each line on and up to each line."""
+    words = np.cumsum([0, *[len(x.split()) for x in lines]])
+    start = np.arange(len(words))
+    ends = np.searchsorted(words, words + over + 1)
+    begins = np.searchsorted(words, words - over - 1, "right") - 1
+    found = {(int(a), int(b)) for a, b in zip(start, ends, strict=True) if b < len(words)}
+    return found | {(int(a), int(b)) for a, b in zip(begins, start, strict=True) if a >= 0}
+
+
+def _told(over: int | None):
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def work(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                out = []
+                for key, doc_id, text in zip(*[c.to_pylist() for c in batch.slice(start, 256).columns], strict=True):
+                    lines = _lines(text)
+                    found = {(a, b) for a, b in chunks(lines) if _several(lines[a:b])}
+                    if over is not None:
+                        found |= runs(lines, over)
+                    out += [(key, doc_id, a, b - a, xxhash.xxh3_128_digest(b"\n".join(lines[a:b]))) for a, b in found]
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "doc_id", "i", "n", "digest"]
+                )
+
+    return work
 
 
 def _bytes_of(batches):
+    """Each line asked for, once: as one that others repeat, and with the one that it repeats itself."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             out = []
             for key, text, asked in zip(*[c.to_pylist() for c in batch.slice(start, 256).columns], strict=True):
                 lines = _lines(text)
-                places = chunks(lines)
+                origins, repeats = set(), {}
                 for x in asked:
-                    a, b = places[x["i"]]
-                    out.append((key, x["i"], x["digest"], x["first"], b"\n".join(lines[a:b])))
+                    i, n, at, of = x["i"], x["n"], x["at_i"], x["at_key"]
+                    if of == key and at == i:
+                        origins.update(range(i, i + n))
+                        continue
+                    # A run that overlaps its first occurrence leaves that one whole.
+                    for j in range(max(0, at + n - i) if of == key else 0, n):
+                        repeats.setdefault(i + j, set()).add((of, at + j))
+                out += [(key, i, key, i, lines[i]) for i in origins]
+                out += [(*min(of), key, i, lines[i]) for i, of in repeats.items()]
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.int32(), pa.binary(), pa.bool_(), pa.binary()]
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["key", "i", "digest", "first", "chunk"],
+                ["of_key", "of_i", "key", "i", "line"],
             )
 
 
@@ -97,8 +125,9 @@ def _cut(batches):
                 lines = _lines(text)
                 places = chunks(lines)
                 gone = set(gone or ())
-                kept = [x for i, (a, b) in enumerate(places) if i not in gone for x in lines[a:b]]
-                out.append((len(lines), len(places), len(gone), len(lines) - len(kept), b"\n".join(kept).decode()))
+                kept = [x for i, x in enumerate(lines) if i not in gone]
+                whole = sum(gone.issuperset(range(a, b)) for a, b in places)
+                out.append((len(lines), len(places), whole, len(gone), b"\n".join(kept).decode()))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -107,32 +136,37 @@ def _cut(batches):
             )
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, over: int | None = None) -> DataFrame:
     """(row, n_lines, n_chunks, removed_chunks, removed_lines, cleaned) for every row of ``docs``.
 
-    The first occurrence is that of the smallest doc_id (null ids last), then the earliest in the
-    text.  Chunks with fewer than two lines that hold a word are never removed.  A null or empty text
-    has no lines.  Rows of the same id and text are one document and share its result.
+    With ``over``, every run of lines of more than so many words that occurs again is removed besides
+    the chunks, a single line too; without it chunks alone are.  The first occurrence is that of the
+    smallest doc_id (null ids last), then the earliest in the text; a run that overlaps its first
+    occurrence is removed from where that one ends.  Chunks with fewer than two lines that hold a word
+    count only as runs.  ``removed_chunks`` counts the chunks of which no line is left.  A null or empty
+    text has no lines.  Rows of the same id and text are one document and share its result.
     """
     keyed = _keyed(docs)
     told = settle(
-        keyed.select("key", "doc_id", "text").mapInArrow(_all_chunks, "key string, doc_id bigint, i int, digest binary"),
+        keyed.select("key", "doc_id", "text")
+        .mapInArrow(_told(over), "key binary, doc_id bigint, i int, n int, digest binary"),
         "chunks",
     )
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "i")
-    again = told.groupBy("digest").agg(F.min(where).alias("at"), F.count("*").alias("n")).where("n > 1")
-    first = (F.col("key") == F.col("at.key")) & (F.col("i") == F.col("at.i"))
+    again = told.groupBy("digest").agg(F.min(where).alias("at"), F.count("*").alias("times")).where("times > 1")
     asked = (
-        told.join(again, "digest").select("key", F.struct("i", "digest", first.alias("first")).alias("x"))
+        told.join(again, "digest")
+        .select("key", F.struct("i", "n", F.col("at.key").alias("at_key"), F.col("at.i").alias("at_i")).alias("x"))
         .groupBy("key").agg(F.collect_set("x").alias("asked"))
     )
     texts = keyed.join(asked, "key").select("key", "text", "asked")
     shown = settle(
-        texts.mapInArrow(_bytes_of, "key string, i int, digest binary, first boolean, chunk binary"), "shown"
+        texts.mapInArrow(_bytes_of, "of_key binary, of_i int, key binary, i int, line binary"), "shown"
     )
-    # Rows of the same id and text are one document, so the first occurrence is one per digest.
-    origin = shown.where("first").groupBy("digest").agg(F.first("chunk").alias("origin"))
-    same = shown.where("not first").join(origin, "digest").where(F.col("chunk") == F.col("origin"))
+    # Rows of the same id and text are one document, so a line that others repeat is one per key and place.
+    first = (F.col("key") == F.col("of_key")) & (F.col("i") == F.col("of_i"))
+    origin = shown.where(first).groupBy("of_key", "of_i").agg(F.first("line").alias("origin"))
+    same = shown.where(~first).join(origin, ["of_key", "of_i"]).where(F.col("line") == F.col("origin"))
     gone = same.groupBy("key").agg(F.collect_set("i").alias("gone"))
     rows = keyed.join(gone, "key", "left").select("row", "text", "gone")
     schema = rows.select("row", *[F.lit(None).cast(k).alias(c) for c, k in (

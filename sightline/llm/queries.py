@@ -103,7 +103,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), over=line_dedup.PASSAGE)
     return found.select(
         "row.doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.col("cleaned").alias("text")
     )

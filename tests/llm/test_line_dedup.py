@@ -38,3 +38,54 @@ def test_boundaries_resist_shifts(text):
 
 def test_empty(documents):
     assert line_dedup.dedup(documents(["a"]).where("false")).count() == 0
+
+
+def repeated_runs(rows, over):
+    """Places of lines in a run of more than ``over`` words that stands earlier too; told without chunks()."""
+    docs = sorted(set(rows))
+    lines = [t.split("\n") for _, t in docs]
+    gone = set()
+    for d, mine in enumerate(lines):
+        for e in range(d + 1):
+            for i in range(len(mine)):
+                for j in range(len(lines[e]) if e < d else i):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(lines[e]) and mine[i + n] == lines[e][j + n]:
+                        n += 1
+                    if e == d:
+                        n = min(n, i - j)
+                    if len(" ".join(mine[i : i + n]).split()) > over:
+                        gone |= {(d, i + k) for k in range(n)}
+    return {docs[d] + (i,) for d, i in gone}
+
+
+def test_repeated_passages_go_whole_wherever_they_stand(documents, text):
+    one_line, short, edge = text(60, 60), text(56, 14), text(50, 10)
+    uneven = "\n".join([text(51, 60), "", text(20, 20), text(3, 3)])
+    texts = [
+        "\n".join([text(30, 7), p, text(26, 9)]) for p in (one_line, short, uneven, edge) for _ in range(4)
+    ] + [one_line + "\n" + one_line, short, text(400, 11)]
+    got = line_dedup.dedup(documents(texts), over=50).collect()
+    want = repeated_runs(list(enumerate(texts)), 50)
+    assert len(want) == 4 + 1 + 4 * 4 + 3 * 4
+    for r in got:
+        i, lines = r["row"]["doc_id"], texts[r["row"]["doc_id"]].split("\n")
+        gone = {k for d, _, k in want if d == i}
+        if edge not in texts[i]:  # only chunks can go of a passage that is not over the bound
+            assert r["cleaned"].split("\n") == [x for k, x in enumerate(lines) if k not in gone] or (
+                r["cleaned"] == "" and len(gone) == len(lines)
+            )
+            assert r["removed_lines"] == len(gone)
+        else:
+            assert not gone and r["removed_lines"] <= 5
+
+
+def test_the_query_removes_every_repeated_passage(spark):
+    from sightline.llm.queries import QUERIES
+
+    rows = QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    want = {}
+    for d, _, i in repeated_runs([(k, v) for k, v in docs.items() if k is not None], 50):
+        want.setdefault(d, set()).add(i)
+    assert all(r["removed_lines"] >= len(want.get(r["doc_id"], ())) for r in rows)
