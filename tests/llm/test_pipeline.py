@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from sightline.llm import decontaminate, ngram_join, toxicity
 from sightline.llm.common import settle, table
@@ -34,3 +36,42 @@ def test_stages_take_effect_on_whole_inputs(spark):
     last = seen["sharding"][1]
     assert last.count() == seen["mixing"][1].count() and last.select("shard", "slot").distinct().count() == last.count()
     assert corpus_pipeline.run(spark, SF).count() == last.count()
+
+
+def least_of_each(texts, size=5, share=0.8):
+    """The smallest id of each group linked by the share of common shingles."""
+    sets, having = {}, {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+        for s in sets[i]:
+            having.setdefault(s, []).append(i)
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, mine in sets.items():
+        common = Counter(j for s in mine for j in having[s] if j < i)
+        for j, n in common.items():
+            if n >= share * (len(mine) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {top(i) for i in texts}
+
+
+def test_near_copies_are_judged_on_five_words(spark, documents, text):
+    base = text(104).replace("\n", " ").split()
+    scattered = list(base)
+    scattered[50], scattered[80] = "changed", "too"
+    texts = [base, [*base, *text(23).split()], [*base, *text(26).split()], scattered, text(90).split()]
+    docs = dict(enumerate(" ".join(t) for t in texts))
+    got = corpus_pipeline.drop_near_copies(spark, documents(list(docs.values())), SF)
+    assert {r["doc_id"] for r in got.collect()} == least_of_each(docs) == {0, 2, 4}
+
+    given = table(spark, "/root/testdata/sf0.01", "documents")
+    got = corpus_pipeline.drop_near_copies(spark, given, SF)
+    want = least_of_each({r["doc_id"]: r["text"] for r in given.collect()})
+    assert {r["doc_id"] for r in got.collect()} == want
