@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The rows, written once to the shared folder and read back; a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.settled_at = path
     for made in _collecting:

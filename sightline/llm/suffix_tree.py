@@ -7,32 +7,31 @@ next-symbol distribution diverges from that of its suffix, or if a longer kept o
 Each distribution is smoothed towards its suffix's, by as much as it has distinct symbols (Witten and
 Bell 1991), and a symbol is scored in the longest kept suffix.
 
-The kept contexts have at least ``LEAST_SHARE`` of all symbols each, so there are at most
-``DEPTH / LEAST_SHARE`` of them whatever the corpus: that is what bounds the broadcast model.  Word
-counts have no such bound; texts look them up by chunks: a chunk of texts asks once for each of its
-words, the words meet the counts in a shuffle, and each chunk gets its answers back.
+What is frequent is an absolute count, so the model grows with the corpus, and no task holds it whole.
+Texts look up words and contexts by chunks: a chunk of texts lists its distinct words and its distinct
+codes (contexts with their symbols) once.  Codes meet the kept contexts that end with the same two bytes,
+words meet their counts, both in shuffles, and each chunk gets its answers back.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import crc_of_id, settle
+from sightline.llm.common import collecting, crc_of_id, discard, settle
 from sightline.llm.shingles import lowered_words
 
 DEPTH = 5
-LEAST_SHARE = 2e-6
 LEAST_COUNT = 4
 DIVERGENCE = 4.0  # count times Kullback-Leibler divergence, in nats
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 6_000_000
 BUFFER_BYTES = 1 << 20
 END = b"\n"  # no word holds it
 
@@ -144,18 +143,24 @@ def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray
 
 
 def learn(texts: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of ``texts`` (text as bytes)."""
-    level = settle(counted(texts, depth), "codes")
-    symbols = level.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, symbols * LEAST_SHARE)
+    """The tree of ``texts`` (text as bytes), on the driver: for corpora whose model fits there."""
+    found = kept(settle(counted(texts, depth), "codes"), depth)
+    return _tree(found.select(*KEPT).toArrow(), range(depth + 1))
+
+
+KEPT = ["depth", "context", "code", "n", "total"]
+
+
+def kept(level: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(depth, context, code, n, total) of the kept contexts and their symbols, from (code, n)."""
     levels = []
     for d in range(depth, -1, -1):
         pair = F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
         level = settle(level.groupBy(pair.alias("code")).agg(F.sum("n").alias("n")), "level")
         context = F.shiftrightunsigned("code", 8)
         totals = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
-        kept = totals.where(F.lit(d == 0) | (F.col("total") >= least))
-        rows = level.withColumn("context", context).join(kept, "context")
+        often = totals.where(F.lit(d == 0) | (F.col("total") >= LEAST_COUNT))
+        rows = level.withColumn("context", context).join(often, "context")
         levels.append(rows.select(F.lit(d).alias("depth"), "context", "code", "n", "total"))
     frequent = levels[0]
     for rows in levels[1:]:
@@ -175,13 +180,15 @@ def learn(texts: DataFrame, depth: int = DEPTH) -> Tree:
         .select("depth", F.col("context").bitwiseAND(F.expr("shiftleft(1L, 8 * depth) - 1")).alias("context"))
         .distinct()
     )
-    kept = frequent.where("depth = 0").unionByName(
+    return frequent.where("depth = 0").unionByName(
         frequent.join(diverging, ["depth", "context"], "left_semi")
     )
-    found = kept.select("depth", "context", "code", "n", "total").toArrow()
+
+
+def _tree(found: pa.Table, depths: range) -> Tree:
     by = {c: found[c].to_numpy() for c in found.column_names}
     contexts, sums, kinds, pairs, counts = [], [], [], [], []
-    for d in range(depth + 1):
+    for d in depths:
         mine = by["depth"] == d
         code = by["code"][mine].view(np.uint64)
         order = np.argsort(code)
@@ -197,87 +204,107 @@ def learn(texts: DataFrame, depth: int = DEPTH) -> Tree:
 
 
 TOLD = (
-    "chunk bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double, "
-    "word array<int>, times array<int>, hashes array<bigint>, training array<bigint>"
+    "chunk bigint, doc_id bigint, held_out boolean, line binary, "
+    "word boolean, keys array<bigint>, training array<bigint>"
 )
 SCORED = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 )
+LISTED = 100_000  # keys in a row of a list
+LOW = 2  # depths below hold at most 256 + 256^2 pairs, whatever the corpus
+
 
+def _hashes(words) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
 
-def _told(texts: DataFrame, tree) -> DataFrame:
-    """Rows of texts (their words as places in the chunk's list) and, per chunk, a row of its list."""
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.int32()),
-             pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+def _told(texts: DataFrame, depth: int) -> DataFrame:
+    """Rows of texts, normalised, and per chunk rows of its distinct words and codes with their training counts."""
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [x.split()[0] for x in TOLD.split(", ")]
 
     def batch_of(rows):
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def scores(lines):
-        code, lengths = codes(lines)
-        seen, back = np.unique(code, return_inverse=True)
-        each = Tree(*tree.value).log10(seen)[back]
-        return np.add.reduceat(each, np.cumsum(lengths) - lengths)
-
     def work(batches):
-        places: dict[bytes, int] = {}
-        training: list[int] = []
-        chunk, tokens = _fresh(), 0
-
-        def listed():
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in places], np.uint64).view(np.int64)
-            return batch_of([(chunk, None, None, None, None, None, None, hashes, training)])
-
-        rows, lines, size = [], [], 0
+        words: Counter = Counter()
+        parts, held = [], 0
+        chunk, tokens = TaskContext.get().partitionId() << 32, 0  # small numbers, as each key carries one
+        rows, size = [], 0
 
         def flush():
-            nonlocal rows, lines, size
-            found = [(*r[:4], float(s), *r[4:]) for r, s in zip(rows, scores(lines), strict=True)]
-            rows, lines, size = [], [], 0
-            return batch_of(found)
+            nonlocal rows, size, parts, held
+            for out in (False, True):
+                code, n = np.unique(codes([r[3] for r in rows if r[2] == out], depth)[0], return_counts=True)
+                parts.append((code, n * (not out)))
+                held += len(code)
+            if held > 2_000_000:
+                parts = [_merged(parts)]
+                held = len(parts[0][0])
+            done = batch_of(rows)
+            rows, size = [], 0
+            return done
+
+        def listed():
+            code, n = _merged(parts)
+            for word, keys, counts in (
+                (True, _hashes(words), np.array(list(words.values()), np.int64)), (False, code.view(np.int64), n)
+            ):
+                for low in range(0, len(keys), LISTED):
+                    high = low + LISTED
+                    yield batch_of([(chunk, None, None, None, word, keys[low:high], counts[low:high])])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 for doc_id, held_out, text in zip(
                     *[c.to_pylist() for c in batch.slice(start, 256).columns], strict=True
                 ):
-                    words = lowered_words(text)
-                    bag = Counter(words)
-                    bag[b""] = 1  # the end, which no word equals
-                    at = []
-                    for w, n in bag.items():
-                        i = places.setdefault(w, len(places))
-                        at.append(i)
-                        if i == len(training):
-                            training.append(0)
-                        if not held_out:
-                            training[i] += n
-                    rows.append((chunk, doc_id, held_out, len(words) + 1, at, list(bag.values()), None, None))
-                    lines.append(normalised(words))
-                    size += len(lines[-1])
-                    tokens += len(words) + 1
+                    mine = [*lowered_words(text), b""]  # the end, which no word equals
+                    if held_out:
+                        words.update(dict.fromkeys(mine, 0))
+                    else:
+                        words.update(mine)
+                    rows.append((chunk, doc_id, held_out, normalised(mine[:-1]), None, None, None))
+                    size += len(rows[-1][3])
+                    tokens += len(mine)
                     if size >= BUFFER_BYTES:
                         yield flush()
                     if tokens >= CHUNK_TOKENS:
                         if rows:
                             yield flush()
-                        yield listed()
-                        places, training, chunk, tokens = {}, [], _fresh(), 0
+                        yield from listed()
+                        words, parts, held, chunk, tokens = Counter(), [], 0, chunk + 1, 0
         if rows:
             yield flush()
-        if places:
-            yield listed()
+        if parts:
+            yield from listed()
 
     return texts.mapInArrow(work, TOLD)
 
 
-def _fresh() -> int:
-    return uuid.uuid4().int >> 65
+def _logs(asked: DataFrame, model: DataFrame, depth: int) -> DataFrame:
+    """(h, v): log10 of the probability of each code ``h``; ``model`` (rows of ``kept``) must be settled.
+
+    A code meets the contexts that end with the two bytes before its symbol; shallower ones are broadcast.
+    """
+    low = min(LOW, depth + 1)
+    shallow = _tree(model.where(F.col("depth") < low).select(*KEPT).toArrow(), range(low))
+    shared = asked.sparkSession.sparkContext.broadcast(tuple(shallow))
+
+    def work(asked: pa.Table, found: pa.Table) -> pa.Table:
+        deep = _tree(found, range(low, depth + 1))
+        tree = Tree(*[a + b for a, b in zip(shared.value, deep, strict=True)])
+        h = asked["h"].to_numpy()
+        return pa.table({"h": h, "v": tree.log10(h.view(np.uint64))})
+
+    last = (1 << 8 * LOW) - 1
+    asked = asked.select("h", F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(last)).alias("ending"))
+    deep = model.where(F.col("depth") >= low).select(*KEPT, F.col("context").bitwiseAND(F.lit(last)).alias("end"))
+    return asked.groupBy("ending").cogroup(deep.groupBy("end")).applyInArrow(work, "h bigint, v double")
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     ``held_out`` rows, by the crc of the id (a null id counts as the empty text), teach nothing.  A null
@@ -288,38 +315,73 @@ def score(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), (crc_of_id() % 10 == 0).alias("held_out"),
         F.col("text").cast("binary").alias("text"),
     )
-    tree = learn(told.where(~F.col("held_out")).select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(tree))  # plain arrays, bounded as told above
-    rows = settle(_told(told, shared), "told")
-    listed = rows.where("hashes is not null").select(
-        "chunk", F.posexplode(F.arrays_zip("hashes", "training")).alias("place", "w")
-    ).select("chunk", "place", F.col("w.hashes").alias("h"), F.col("w.training").alias("n"))
-    counts = settle(listed.groupBy("h").agg(F.sum("n").alias("c")), "counts")
-    whole = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    rows = settle(_told(told, depth), "told", "zstd")
+    listed = rows.where("keys is not null").select(
+        "chunk", "word", F.explode(F.arrays_zip("keys", "training")).alias("w")
+    ).select("chunk", "word", F.col("w.keys").alias("h"), F.col("w.training").alias("n"))
+    counts = settle(listed.groupBy("word", "h").agg(F.sum("n").alias("c")), "counts")
+    known = counts.where("word and c > 0")
+    whole = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(whole["n"]), int(whole["v"])
-    answers = (
-        listed.select(F.col("chunk").alias("asker"), "place", "h").join(counts, "h").groupBy("asker")
-        .agg(F.collect_list(F.struct("place", "c")).alias("answers"))  # one list per bounded chunk
-    )
+    asked = counts.where("not word")
+    taught = asked.where("c > 0").select(F.col("h").alias("code"), F.col("c").alias("n"))
+    with collecting() as levels:
+        contexts = kept(taught, depth)
+    model = settle(contexts, "model")
+    discard(*levels)
+    values = counts.where("word").select("word", "h", F.col("c").cast("double").alias("v")).unionByName(
+        _logs(asked, model, depth).select(F.lit(False).alias("word"), "h", "v")
+    )
+    values = settle(values, "values")
+    discard(counts, model)
+    docs.sparkSession._jvm.System.gc()  # Spark removes the shuffle files of what nothing refers to any more
+    answers = listed.select(F.col("chunk").alias("asker"), "word", "h").join(values, ["word", "h"])
+
+    def scored(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        def answer(word):
+            mine = answered["word"].to_numpy() == word
+            h, v = answered["h"].to_numpy()[mine], answered["v"].to_numpy()[mine]
+            order = np.argsort(h)
+            return h[order], v[order]
+
+        logs, (keys, values) = [], answer(False)
+        lines, size = [], 0
+        places: dict[bytes, int] = {}
+        at, times, kinds_of, tokens = [], [], [], []
 
-    def based(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        flat = pa.chunked_array([x.flatten() for x in answered["answers"].chunks]).combine_chunks()
-        count = np.zeros(len(flat))
-        count[flat.field("place").to_numpy()] = flat.field("c").to_numpy()
-        logs = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
-        known, base = [], []
-        for word, times in zip(texts["word"].to_pylist(), texts["times"].to_pylist(), strict=True):
-            at, n = np.array(word), np.array(times)
-            known.append(int(n[count[at] > 0].sum()))
-            base.append(float((n * logs[at]).sum()))
+        def flush():
+            code, lengths = codes(lines, depth)
+            each = values[np.searchsorted(keys, code.view(np.int64))]
+            logs.append(np.add.reduceat(each, np.cumsum(lengths) - lengths))
+
+        for batch in texts["line"].chunks:
+            for start in range(0, len(batch), 256):
+                for line in batch.slice(start, 256).to_pylist():
+                    words = line.split()
+                    bag = Counter(words)
+                    bag[b""] = 1
+                    at += [places.setdefault(w, len(places)) for w in bag]
+                    times += bag.values()
+                    kinds_of.append(len(bag))
+                    tokens.append(len(words) + 1)
+                    lines.append(line)
+                    size += len(line)
+                    if size >= BUFFER_BYTES:
+                        flush()
+                        lines, size = [], 0
+        if lines:
+            flush()
+        keys, values = answer(True)
+        count = values[np.searchsorted(keys, _hashes(places))][np.array(at)]
+        n = np.array(times)
+        first = np.cumsum(kinds_of) - kinds_of
+        base = n * np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
         return pa.table({
-            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": texts["n_tokens"],
-            "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": texts["score"],
+            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(tokens, pa.int64()),
+            "n_known": np.add.reduceat(n * (count > 0), first), "base_score": np.add.reduceat(base, first),
+            "score": np.concatenate(logs),
         })
 
-    texts = rows.where("hashes is null").select(
-        "chunk", "doc_id", "held_out", "n_tokens", "score", "word", "times"
-    )
-    scored = texts.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(based, SCORED)
-    return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
+    texts = rows.where("keys is null").select("chunk", "doc_id", "held_out", "line")
+    found = texts.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(scored, SCORED)
+    return found.withColumn("train_tokens", F.lit(total).cast("bigint"))

@@ -88,3 +88,26 @@ def test_empty_and_nothing_to_learn_from(documents):
     alone = suffix_tree.score(documents(["some text"], [None])).collect()  # held out
     assert [(r["held_out"], r["n_known"], r["train_tokens"]) for r in alone] == [(True, 0, 0)]
     assert alone[0]["score"] == pytest.approx(-10 * math.log10(256))
+
+
+def test_scores_are_those_of_the_whole_tree(documents, text, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 300)
+    texts = [text(80) for _ in range(60)] + [None, "", "never seen bytes: \x01 Ünï"]
+    docs = documents(texts)
+    taught = [t for i, t in enumerate(texts) if not held(i)]
+    tree = suffix_tree.learn(documents(taught).selectExpr("cast(text as binary) as text"))
+    got = suffix_tree.score(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        code, _ = suffix_tree.codes([suffix_tree.normalised(words(texts[r["doc_id"]]))])
+        assert r["score"] == pytest.approx(tree.log10(code).sum())
+
+
+def test_contexts_are_kept_by_count_at_every_size(spark):
+    """2.5 million symbols, in which a context that stands there four times is still kept."""
+    level = spark.sql(
+        """select stack(4, shiftleft(97L, 8) + 98, 2500000L, shiftleft(120L, 8) + 121, 4L,
+           shiftleft(97L, 8) + 121, 10L, shiftleft(119L, 8) + 98, 3L) as (code, n)"""
+    )
+    contexts = {r["context"] for r in suffix_tree.kept(level, depth=1).where("depth = 1").collect()}
+    assert ord("x") in contexts and ord("w") not in contexts
