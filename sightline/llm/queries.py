@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import (
+    conversation_repair,
     decontaminate,
+    imatch,
     line_dedup,
+    merkle,
     mixing,
     ngram_join,
     quality_classifier,
@@ -114,3 +117,19 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.checked(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compared(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.checked(docs)
