@@ -264,7 +264,7 @@ def folded(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, lambda d, p: F.sha2(F.concat(p["left"], d, p["right"]), 256))
 
 
-def checked(docs: DataFrame) -> DataFrame:
+def checked(docs: DataFrame, fan_levels: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row of ``docs``.
 
     ``folded_root`` is what the proof gives for the row as it is read back: every third row, by a hash
@@ -276,7 +276,7 @@ def checked(docs: DataFrame) -> DataFrame:
     leaves = docs.select(
         "doc_id", "lang", leaf.alias("leaf"), F.when(crc_of_id() % 3 == 0, other).otherwise(leaf).alias("read")
     )
-    return manifest(leaves).select(
+    return manifest(leaves, fan_levels).select(
         "row.doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"),
         folded(F.col("row.read"), F.col("proof")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
