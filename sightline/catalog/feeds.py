@@ -167,6 +167,23 @@ def sink_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_observations(spark, path).select("obs_id", "connector_id", "l2_domain")
 
 
+@query(
+    "sink_refused",
+    """select obs_id, case when obs_id % 4 = 0 then 'contradicting' else 'repeated' end as reason, 1 as rows
+       from obs where obs_id % 2 = 0
+       union all select obs_id, 'repeated', 1 from obs where obs_id % 10 = 1""",
+)
+def sink_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even ids come again, every other one dated a day later, and some new ones twice at once."""
+    path = scratch_path(spark, "append")
+    obs = tables.sightings(spark, sf_dir)
+    store.append_observations(obs.where("obs_id % 2 = 0"), path)
+    moved = F.when(F.col("obs_id") % 4 == 0, F.col("observed_at") + F.expr("interval 1 day"))
+    again = obs.withColumn("observed_at", F.coalesce(moved, "observed_at"))
+    refused = store.append_observations(again.unionByName(obs.where("obs_id % 10 = 1")), path)
+    return refused.select("obs_id", "reason", F.col("rows").cast("int").alias("rows"))
+
+
 @query(
     "gen_subnet_hosts",
     """select cidr, case when error is null then

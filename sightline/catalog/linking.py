@@ -69,7 +69,8 @@ def _uuid(expression: str) -> str:
 INTERFACE = _uuid("cast(k.l2_domain as varchar) || chr(1) || k.mac")
 
 
-def placed_sql(name: str, key_table: str, batch: str) -> str:
+def placed_sql(name: str, key_table: str, batch: str, within: str = "") -> str:
+    """Placements and abstentions; ``within`` narrows who may witness whom."""
     return f"""
 {name} as (
   select k.obs_id as observation_id, {INTERFACE} as subject, {INTERFACE} as interface_id,
@@ -81,7 +82,7 @@ def placed_sql(name: str, key_table: str, batch: str) -> str:
   from {key_table} k left join (
     select a.obs_id, a.l2_domain, a.mac, min(b.obs_id) as witness
     from {key_table} a join {key_table} b on a.l2_domain = b.l2_domain and a.mac = b.mac
-      and a.obs_id <> b.obs_id group by 1, 2, 3) w
+      and a.obs_id <> b.obs_id {within} group by 1, 2, 3) w
     on w.obs_id = k.obs_id and w.l2_domain = k.l2_domain and w.mac = k.mac
   union all
   select o.obs_id, '{S.NIL_ID}', null, 'abstained', null, 'absence_of_proof', '', o.observed_at
@@ -388,6 +389,39 @@ def sink_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _link_rows(store.write_snapshot(done.links, scratch_path(spark, "links")))
 
 
+_CANDIDATES = f"""
+candidates as (
+  select d.low as observation_id, {INTERFACE} as interface_id, d.high,
+    row_number() over (partition by d.low order by {INTERFACE}, d.high) as place
+  from decided d join keys k on k.obs_id = d.high
+  where d.dq = 0 and (d.op = 1 or d.dc = 0) and (d.dc = 1 or d.su = 1))"""
+
+
+@query(
+    "sink_link_candidates",
+    f"""select observation_id, 'ambiguous' as cause, interface_id,
+          cast(least(observation_id, high) as varchar) || '|' || cast(greatest(observation_id, high) as varchar)
+            as evidence
+        from candidates where place <= {links.MOST_CANDIDATES}""",
+    _VECTOR,
+    _DECIDED,
+    _CANDIDATES,
+)
+def sink_link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ambiguous decisions written as links with their candidate interfaces, and read back."""
+    obs = tables.sightings(spark, sf_dir)
+    asked = pairs_of(tables.labelled_pairs(spark, sf_dir))
+    said = verdicts.l1_verdicts(verdicts.pair_sides(asked, obs)).unionByName(
+        devices.hostname_verdicts(asked, obs)
+    )
+    interfaces = links.resolved_interfaces(keys.scoped_keys(obs), links.empty_interfaces(obs))
+    made = links.ambiguous_links(verdicts.decide(said, pairs=asked), obs, interfaces, "judged")
+    table = store.write_snapshot(made, scratch_path(spark, "candidates"))
+    return links.candidates_of(table).select(
+        "observation_id", "cause", "interface_id", ids("evidence").alias("evidence")
+    )
+
+
 @query(
     "src_link_snapshot",
     f"""select observation_id, interface_id, current_subject as subject, outcome, rule_id,

@@ -26,45 +26,53 @@ def _replayed(df: DataFrame) -> DataFrame:
     )
 
 
-def _poll(name: str, way: str) -> tuple[str, str, str]:
-    """SQL of what one poll asks for: its sightings are judged among themselves."""
-    return (
-        f"obs_{name} as (select * from obs where {way})",
-        f"keys_{name} as (select k.* from keys k join obs_{name} o using (obs_id))",
-        placed_sql(f"desired_{name}", f"keys_{name}", f"obs_{name}"),
-    )
+# A poll per source, day and fate; the fate goes by the sighting's number.
+FATE = "case obs_id % 16 when 14 then 'fails' when 15 then 'runs-on' else 'lands' end"
+_POLLS = (
+    f"""polls as (select *, connector_id || '/' || strftime(observed_at, '%Y-%m-%d') || '/' || {FATE} as poll
+       from obs)""",
+    "landed as (select * from polls where obs_id % 16 < 14)",
+    "keys_in_polls as (select k.*, o.poll from keys k join landed o using (obs_id))",
+    placed_sql("desired_in_polls", "keys_in_polls", "landed", "and a.poll = b.poll"),
+)
+
+
+def _polled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(poll, obs_id, …): every sighting with the poll it comes in, its id as text."""
+    day = F.date_format("observed_at", "yyyy-MM-dd")
+    return tables.sightings(spark, sf_dir).select(
+        F.concat_ws("_", "connector_id", day, F.expr(FATE)).alias("poll"),
+        F.expr(FATE).alias("fate"), "*",
+    ).withColumn("obs_id", F.lpad(F.col("obs_id").cast("string"), 19, "0"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """Lands every sighting as a line of its poll, some of which fail or go on after failing."""
+    source, root = scratch_path(spark, "polls"), scratch_path(spark, "store")
+    obs = _polled(spark, sf_dir)
+    lines = obs.select("poll", F.col("obs_id").alias("at"), wire.observation_json().alias("value"))
+    failure = F.lit('{"record":"failure","error":"Timeout"}')
+    ends = obs.where("fate <> 'lands'").select(
+        "poll", F.when(F.col("fate") == "fails", "9").otherwise("0").alias("at"), failure.alias("value")
+    ).distinct()
+    # A poll is one file: many polls, each written by one task in order.
+    dealt = lines.unionByName(ends).repartition("poll").sortWithinPartitions("poll", "at")
+    dealt.select("poll", "value").write.partitionBy("poll").text(source)
+    I.ingest(spark, f"{source}/*", root, POLLS_AT_ONCE).awaitTermination()
+    return root
+
+
+POLLS_AT_ONCE = 1_000
 
 
 @query(
     "stream_ingest_resolve",
-    """select observation_id, subject, outcome, rule_id, evidence, valid_from from desired_even
-       union all
-       select observation_id, subject, outcome, rule_id, evidence, valid_from from desired_odd""",
-    *_poll("even", "obs_id % 16 < 14 and obs_id % 2 = 0"),
-    *_poll("odd", "obs_id % 16 < 14 and obs_id % 2 = 1"),
+    "select observation_id, subject, outcome, rule_id, evidence, valid_from from desired_in_polls",
+    *_POLLS,
 )
 def stream_ingest_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sighting as a line of one of four polls: two land, one fails, one goes on after failing."""
-    source, root = scratch_path(spark, "polls"), scratch_path(spark, "store")
-    e = F.col("obs_id")
-    poll = (
-        F.when(e % 16 == 14, "fails").when(e % 16 == 15, "runs-on").when(e % 2 == 0, "even").otherwise("odd")
-    )
-    obs = tables.sightings(spark, sf_dir).withColumn("poll", poll).withColumn(
-        "obs_id", F.lpad(F.col("obs_id").cast("string"), 19, "0")
-    )
-    lines = obs.select("poll", F.col("obs_id").alias("at"), wire.observation_json().alias("value"))
-    failure = F.lit('{"record":"failure","error":"Timeout"}')
-    ends = spark.range(2).select(
-        F.when(F.col("id") == 0, "fails").otherwise("runs-on").alias("poll"),
-        F.when(F.col("id") == 0, "9").otherwise("0").alias("at"),
-        failure.alias("value"),
-    )
-    # A poll is one file, so each is written by one task, in order.
-    for name in ("even", "odd", "fails", "runs-on"):
-        part = lines.unionByName(ends).where(F.col("poll") == name)
-        part.repartition(1).sortWithinPartitions("at").select("value").write.mode("append").text(source)
-    I.ingest(spark, source, root).awaitTermination()
+    """Every sighting as a line of a poll of its source and day; some polls fail, some go on after failing."""
+    root = _ingested(spark, sf_dir)
     number = F.transform("evidence", lambda e: e.cast("bigint"))
     return I.read_links(spark, root).select(
         F.col("observation_id").cast("bigint").alias("observation_id"),
@@ -110,7 +118,27 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = tables.sightings(spark, sf_dir).select("obs_id", "connector_id", "observed_at")
     thrice = obs.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("_copy")
     I.stream_deduplicated(_replayed(thrice), root).awaitTermination()
-    return spark.read.parquet(f"{root}/once").drop("batch", "day")
+    return spark.read.parquet(f"{root}/once").drop("batch")
+
+
+@query(
+    "stream_dedup_days",
+    """select connector_id, count(*) as kept, min(observed_at) as first_seen_at,
+         (select count(*) from obs) as refused from obs group by 1""",
+)
+def stream_dedup_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sighting arrives again dated three days later, in another batch; the repeats are refused."""
+    source, root = scratch_path(spark, "stream"), scratch_path(spark, "store")
+    obs = tables.sightings(spark, sf_dir).select("obs_id", "connector_id", "observed_at")
+    later = obs.withColumn("observed_at", F.col("observed_at") + F.expr("interval 3 days"))
+    for rows in (obs, later):
+        rows.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(rows.schema).parquet(source)
+        I.stream_deduplicated(arriving, root).awaitTermination()
+    refused = spark.read.parquet(f"{root}/refused").agg(F.sum("refused")).scalar()
+    return spark.read.parquet(f"{root}/once").groupBy("connector_id").agg(
+        F.count("*").alias("kept"), F.min("observed_at").alias("first_seen_at"), F.first(refused).alias("refused")
+    )
 
 
 _WINDOWS = """select l2_domain, mac, min(observed_at) as first_seen_at, max(observed_at) as last_seen_at,

@@ -24,29 +24,29 @@ def scoped_keys(obs: DataFrame) -> DataFrame:
     )
 
 
-def key_groups(keys: DataFrame) -> DataFrame:
-    """Per key: members, seen window, and the two smallest member ids.
+def key_groups(keys: DataFrame, by: list[str] = KEY) -> DataFrame:
+    """Per key: members, seen window, and the two smallest member ids; ``by`` may tell parts of a key apart.
 
     The two smallest ids come from a ranked window limited to two rows, which
     Spark also applies before the shuffle, so a heavy key sends at most two
     rows per map task.
     """
-    ranked = Window.partitionBy(*KEY).orderBy("obs_id")
+    ranked = Window.partitionBy(*by).orderBy("obs_id")
     lowest = (
         keys.withColumn("_rank", F.row_number().over(ranked))
         .where("_rank <= 2")
-        .groupBy(*KEY)
+        .groupBy(*by)
         .agg(
             F.min(F.when(F.col("_rank") == 1, F.col("obs_id"))).alias("first_id"),
             F.min(F.when(F.col("_rank") == 2, F.col("obs_id"))).alias("second_id"),
         )
     )
-    return seen_window(keys).join(lowest, KEY)
+    return seen_window(keys, by).join(lowest, by)
 
 
-def seen_window(keys: DataFrame) -> DataFrame:
+def seen_window(keys: DataFrame, by: list[str] = KEY) -> DataFrame:
     """Per key: member count and first and last instant."""
-    return keys.groupBy(*KEY).agg(
+    return keys.groupBy(*by).agg(
         F.count("*").alias("members"),
         F.min("observed_at").alias("first_seen_at"),
         F.max("observed_at").alias("last_seen_at"),
@@ -56,7 +56,7 @@ def seen_window(keys: DataFrame) -> DataFrame:
 def witnesses(keys: DataFrame) -> DataFrame:
     """Each member with its witness: the smallest other member, or itself when alone."""
     groups = key_groups(keys).select(*KEY, "members", "first_id", "second_id")
-    found = lookup(keys, groups, KEY, "members", "obs_id", weights=seen_window(keys))
+    found = lookup(keys, groups, KEY, "members", "obs_id")
     return found.select(
         *keys.columns,
         "members",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
@@ -27,19 +27,23 @@ class Refused(ValueError):
     """A pass that must not write."""
 
 
+def content() -> Column:
+    """What a sighting says, as text."""
+    return F.to_json(
+        F.struct(
+            "connector_id", "observed_at", "l2_domain", "vantage",
+            F.size("facts").alias("n"), F.sort_array(F.array_distinct("facts")).alias("facts"),
+        )
+    )
+
+
 def contradictions(obs: DataFrame) -> DataFrame:
     """Ids sighted more than once with different content.
 
     Content is source, instant, scope, the number of facts and the fact *set*:
     raw text and fact order do not count, nor which fact of equally many repeats.
     """
-    content = F.to_json(
-        F.struct(
-            "connector_id", "observed_at", "l2_domain", "vantage",
-            F.size("facts").alias("n"), F.sort_array(F.array_distinct("facts")).alias("facts"),
-        )
-    )
-    versions = obs.select("obs_id", content.alias("_content")).distinct()
+    versions = obs.select("obs_id", content().alias("_content")).distinct()
     return (
         versions.groupBy("obs_id").agg(F.count("*").alias("versions")).where("versions > 1")
     )
@@ -69,15 +73,16 @@ def minted_id(domain: Column, mac: Column) -> Column:
     return uuid_shaped(domain.cast("string"), mac)
 
 
-def resolved_interfaces(keys: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """One row per scoped key of the batch: the interface found or minted, and its window."""
+def resolved_interfaces(keys: DataFrame, interfaces: DataFrame, by: list[str] = KEY) -> DataFrame:
+    """One row per scoped key of the batch (per key and part with a longer ``by``): the interface found or
+    minted, and its window."""
     held = interfaces.groupBy(*KEY).agg(
         F.min_by(
             F.struct("interface_id", "first_seen_at", "last_seen_at"), F.col("interface_id")
         ).alias("held")
     )
-    return key_groups(keys).join(held, KEY, "left").select(
-        *KEY,
+    return key_groups(keys, by).join(held, KEY, "left").select(
+        *by,
         "members",
         "first_id",
         "second_id",
@@ -115,23 +120,21 @@ def _evidence(member: Column, witness: Column) -> Column:
 
 
 def placements(
-    keys: DataFrame, resolved: DataFrame, universe: DataFrame | None = None
+    keys: DataFrame, resolved: DataFrame, universe: DataFrame | None = None, by: list[str] = KEY
 ) -> DataFrame:
-    """A row per (sighting, interface) the batch places."""
+    """A row per (sighting, interface) the batch places; witnesses agree in ``by``."""
     if universe is None:
         member = F.col("obs_id")
         witness = F.when(
             member == F.col("first_id"), F.coalesce("second_id", "obs_id")
         ).otherwise(F.col("first_id"))
-        group = resolved.select(*KEY, "members", "first_id", "second_id", "interface_id")
-        placed = lookup(
-            keys, group, KEY, "members", "obs_id", weights=seen_window(keys)
-        ).withColumn("witness", witness)
+        group = resolved.select(*by, "members", "first_id", "second_id", "interface_id")
+        placed = lookup(keys, group, by, "members", "obs_id").withColumn("witness", witness)
     else:
         group = resolved.select(*KEY, "members", "interface_id")
         seen_at = keys.select("obs_id", *KEY, "observed_at")
         within = witnesses_within(keys, universe).join(seen_at, ["obs_id", *KEY])
-        placed = lookup(within, group, KEY, "members", "obs_id", weights=seen_window(keys))
+        placed = lookup(within, group, KEY, "members", "obs_id")
     return placed.select(
         F.col("obs_id").alias("observation_id"),
         F.col("interface_id").alias("subject"),
@@ -292,11 +295,12 @@ def close(links: DataFrame, closing: DataFrame) -> DataFrame:
     )
 
 
-def fresh_versions(actions: DataFrame, pass_id: str) -> DataFrame:
+def fresh_versions(actions: DataFrame, pass_id: str | Column) -> DataFrame:
     """Versions the pass opens."""
+    pass_id = F.lit(pass_id) if isinstance(pass_id, str) else pass_id
     return actions.where("action in ('written', 'superseded')").select(
         uuid_shaped(
-            F.lit(pass_id), F.col("observation_id").cast("string"), F.col("subject")
+            pass_id, F.col("observation_id").cast("string"), F.col("subject")
         ).alias("link_id"),
         "observation_id",
         "wants.interface_id",
@@ -325,7 +329,7 @@ def next_links(links: DataFrame, actions: DataFrame, pass_id: str) -> DataFrame:
     return kept.unionByName(fresh_versions(actions, pass_id))
 
 
-def changed_links(links: DataFrame, actions: DataFrame, pass_id: str) -> DataFrame:
+def changed_links(links: DataFrame, actions: DataFrame, pass_id: str | Column) -> DataFrame:
     """Only the rows the pass touched, for a table kept as a log of changes."""
     ends = endings(actions)
     ended = links.join(ends.select("link_id"), "link_id", "left_semi")
@@ -421,6 +425,78 @@ def resolve(
     )
 
 
+@dataclass
+class Polls:
+    """What the passes over the polls of a batch yield, each poll a pass of its own."""
+
+    interfaces: DataFrame  # one row per key met, its windows over all polls merged
+    actions: DataFrame  # as of ``diff``, with the poll and its name
+    late: DataFrame
+    refused: DataFrame  # (stream, reason)
+    summary: DataFrame  # one row per poll
+
+
+def resolve_polls(landed: DataFrame, interfaces: DataFrame, links: DataFrame) -> Polls:
+    """The passes over several polls in one plan, as if each were resolved after those before it.
+
+    ``landed`` has ``poll``, the place in the order of arrival, and ``stream``, its name, beside the
+    columns of a sighting; every id stands in one poll.  Witnesses come from the own poll.  What a poll
+    finds of the ones before it is whether a key was met, a minimum over the places, and the window,
+    which only widens.  A poll that would write a slot held by an operator is refused whole.
+    """
+    by = [*KEY, "poll"]
+    rows = cut(landed.select(
+        "obs_id", "poll", "stream", "observed_at", "l2_domain", F.array_sort(macs()).alias("macs")
+    ))
+    keys = rows.select("obs_id", "l2_domain", F.explode("macs").alias("mac"), "observed_at", "poll")
+    resolved = cut(resolved_interfaces(keys, interfaces, by))
+    placed = placements(keys, resolved, by=by)
+    wanted = placed.unionByName(abstentions(rows.select("obs_id", "observed_at"), placed))
+    held = operator_collisions(wanted, links).select(F.col("observation_id").alias("obs_id"))
+    # At most one row per poll.
+    barred = cut(rows.join(held, "obs_id", "left_semi").select("poll", "stream").distinct())
+    if not barred.isEmpty():
+        out = F.broadcast(barred.select("poll"))
+        rows, resolved = rows.join(out, "poll", "left_anti"), resolved.join(out, "poll", "left_anti")
+        wanted = wanted.join(rows.select(F.col("obs_id").alias("observation_id")), "observation_id", "left_semi")
+    first = F.min("poll").over(Window.partitionBy(*KEY))  # a row per poll and key
+    resolved = resolved.withColumn("minted", F.col("minted") & (F.col("poll") == first))
+    told = rows.select(F.col("obs_id").alias("observation_id"), "poll", "stream")
+    actions = cut(diff(wanted, links, rows).join(told, "observation_id"))
+    late = regressed(actions)
+    actions = actions.where("action <> 'superseded' or at >= held_from")
+    return Polls(
+        interfaces=resolved.groupBy("interface_id", *KEY).agg(
+            F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at")
+        ),
+        actions=actions,
+        late=late,
+        refused=barred.select("stream", F.lit("an operator holds a slot this pass would write").alias("reason")),
+        summary=summary_by(rows, resolved, actions),
+    )
+
+
+def summary_by(rows: DataFrame, resolved: DataFrame, actions: DataFrame) -> DataFrame:
+    """The counts of ``summary`` for each poll of ``rows``."""
+    n = F.col("observations")
+    polls = rows.groupBy("stream", "poll").agg(F.count("*").alias("observations"))
+    met = resolved.groupBy("poll").agg(
+        F.count_if("minted").alias("interfaces_minted"), F.count_if(~F.col("minted")).alias("interfaces_found")
+    )
+    new = F.col("action").isin("written", "superseded")
+    done = actions.groupBy("poll").agg(
+        F.count_if(new).alias("links_written"),
+        F.count_if(new & (F.col("wants.outcome") == S.ABSTAINED)).alias("links_abstained"),
+        *[F.count_if(F.col("action") == a).alias(f"links_{a}") for a in ("superseded", "unchanged", "vacated")],
+    )
+    found = polls.join(met, "poll", "left").join(done, "poll", "left")
+    counts = [c for c in (*met.columns, *done.columns) if c != "poll"]
+    return found.select(
+        "stream", int_div(n * (n - 1), 2).alias("candidate_pairs"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+    )
+
+
 def purge(links: DataFrame) -> DataFrame:
     """Links without the engine's rows; replaying the pass restores the same decisions."""
     return links.where(F.col("decided_by") != S.ENGINE)
@@ -447,6 +523,78 @@ def snapshot(links: DataFrame) -> DataFrame:
     )
 
 
+MOST_CANDIDATES = 8  # a page of them; what makes an ambiguity is told by the first
+
+
+def best_candidates(found: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """(observation_id, candidates): the first ``most`` interfaces of each sighting with their evidence.
+
+    ``found`` is (observation_id, interface_id, evidence).  The rank is limited before the shuffle and
+    again behind it, so an ambiguity with any number of candidates sends few rows per task and never
+    gathers more than ``most`` of them.
+    """
+    ranked = Window.partitionBy("observation_id").orderBy("interface_id", "evidence")
+    kept = found.withColumn("_place", F.row_number().over(ranked)).where(F.col("_place") <= most)
+    each = F.struct("_place", F.struct("interface_id", "evidence").alias("c"))
+    return kept.groupBy("observation_id").agg(
+        F.transform(F.sort_array(F.collect_list(each)), lambda x: x["c"]).alias("candidates")
+    )
+
+
+def ambiguous_links(
+    decided: DataFrame, obs: DataFrame, interfaces: DataFrame, pass_id: str, most: int = MOST_CANDIDATES
+) -> DataFrame:
+    """Links of the sightings that an ambiguous pair decision leaves open, with their candidates.
+
+    ``decided`` is (low, high, outcome, cause, ...).  The candidates of ``low`` are the interfaces of the
+    keys of ``high``, the pair being the evidence.  A sighting without a candidate gets no link: an
+    ambiguity has to name what it is between.
+    """
+    open_ = decided.where((F.col("outcome") == S.ABSTAINED) & (F.col("cause") == S.AMBIGUOUS)).select("low", "high")
+    named = interfaces.select(*KEY, "interface_id")
+    members = keys_of_obs(obs).select(F.col("obs_id").alias("high"), *KEY)
+    pair = F.array(F.least("low", "high"), F.greatest("low", "high"))
+    sided = open_.join(members, "high")
+    met = lookup(sided, named.join(seen_weights(sided), KEY), KEY, "members", "high")
+    found = met.select(F.col("low").alias("observation_id"), "interface_id", pair.alias("evidence")).distinct()
+    at = obs.select(F.col("obs_id").alias("observation_id"), F.col("observed_at").alias("valid_from")).distinct()
+    best = best_candidates(found, most).join(at, "observation_id")
+    return best.select(
+        uuid_shaped(F.lit(pass_id), F.col("observation_id").cast("string"), F.lit(S.NIL_ID)).alias("link_id"),
+        "observation_id", F.lit(None).cast("string").alias("interface_id"), F.lit(S.NIL_ID).alias("current_subject"),
+        F.lit(S.ABSTAINED).alias("outcome"), F.lit(None).cast("string").alias("rule_id"),
+        F.lit(S.AMBIGUOUS).alias("abstention_cause"), F.slice(F.array("observation_id"), 1, 0).alias("evidence"),
+        F.lit(S.RULESET_VERSION).alias("ruleset_version"), F.lit(S.ENGINE).alias("decided_by"), "valid_from",
+        open_end().alias("valid_to"), "candidates",
+    )
+
+
+def seen_weights(sided: DataFrame) -> DataFrame:
+    """How many rows of ``sided`` ask for each key."""
+    return sided.groupBy(*KEY).agg(F.count("*").alias("members"))
+
+
+def keys_of_obs(obs: DataFrame) -> DataFrame:
+    return obs.select("obs_id", "l2_domain", F.explode(macs()).alias("mac")).distinct()
+
+
+def candidates_of(links: DataFrame) -> DataFrame:
+    """(link_id, observation_id, cause, interface_id, evidence) of stored links, in the order of a page."""
+    each = links.where("current_subject is not null").select(
+        "link_id", "observation_id", F.col("abstention_cause").alias("cause"), F.explode("candidates").alias("c")
+    )
+    return each.select("link_id", "observation_id", "cause", "c.interface_id", "c.evidence")
+
+
+def refused_links(links: DataFrame) -> DataFrame:
+    """(link_id, reason) of link rows with candidates that may not be written, by ``guard_refusals``."""
+    decided = links.select(
+        F.col("link_id").alias("decision_id"), "outcome", "rule_id", F.col("abstention_cause").alias("cause")
+    )
+    some = links.where("size(candidates) > 0").select(F.col("link_id").alias("decision_id"))
+    return guard_refusals(decided, some).withColumnRenamed("decision_id", "link_id")
+
+
 def guard_refusals(decided: DataFrame, candidates: DataFrame) -> DataFrame:
     """Decisions that may not be written: ambiguity without candidates, or no rule named.
 

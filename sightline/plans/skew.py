@@ -9,7 +9,9 @@ this changes a result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.plans.lineage import cut
@@ -19,12 +21,30 @@ BROADCAST_BYTES = 32 << 20
 ROWS_PER_SALT = 100_000
 
 
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, from the lengths of its texts; columns of other kinds count what their text would."""
+    parts = [F.lit(16 * len(df.columns))]
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind == "string":
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif "<" in kind:
+            parts.append(F.coalesce(F.length(F.to_json(F.struct(f.name))), F.lit(0)))
+    return reduce(lambda a, b: a + b, parts)
+
+
 def measured(summary: DataFrame) -> tuple[DataFrame, bool]:
-    """The summary, settled, and whether its rows and bytes are within the broadcast bound."""
-    summary = cut(summary)
-    size = F.sum(F.coalesce(F.length(F.to_json(F.struct("*"))), F.lit(0)))
-    rows, text = summary.agg(F.count("*"), size).first()
-    return summary, rows <= BROADCAST_ROWS and (text or 0) <= BROADCAST_BYTES
+    """The summary, settled, and whether its rows and bytes are within the broadcast bound.
+
+    A summary is measured once: asked again of the same frame, the answer is kept.
+    """
+    found = getattr(summary, "_measured", None)
+    if found is None:
+        settled = cut(summary)
+        rows, size = settled.agg(F.count("*"), F.sum(_width(settled))).first()
+        found = settled, rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+        summary._measured = settled._measured = found
+    return found
 
 
 def heavy_keys(weights: DataFrame, keys: list[str], weight: str) -> DataFrame:

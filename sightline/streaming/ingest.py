@@ -7,25 +7,23 @@ state before it and overwrites its own partitions, which makes it idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sightline import schemas as S
 from sightline.operators import keys, links
 from sightline.operators import quality as Q
+from sightline.plans import idindex
 from sightline.plans.lineage import cut
 from sightline.sources import wire
 
 
 def _read(spark: SparkSession, path: str, before: int | None) -> DataFrame | None:
     """The partitions written by earlier batches, or None when there is none."""
-    try:
-        table = spark.read.option("basePath", path).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    if not idindex.exists(spark, path):
+        return None
+    table = spark.read.option("basePath", path).parquet(f"{path}/*")
     return table if before is None else table.where(F.col("batch") < before)
 
 
@@ -70,96 +68,116 @@ def numbered(poll: DataFrame) -> DataFrame:
 
 
 POLLS_PER_BATCH = 10_000  # units a micro-batch may number; more files wait for the next one
+COLUMNS = ["obs_id", "connector_id", "observed_at", "l2_domain", "vantage", "facts", "raw"]
 
 
-def land(batch: DataFrame, batch_id: int, root: str) -> None:
-    """The polls of a micro-batch, each a unit of its own, in order of arrival.
+def _polls(batch: DataFrame, records: DataFrame) -> DataFrame:
+    """(stream, poll, failed, runs_on): the polls of a micro-batch, numbered as they arrived.
 
-    How files fall into micro-batches decides nothing: a poll is resolved alone,
-    against what the polls before it left.
+    At most POLLS_PER_BATCH rows; a poll runs on when a record follows its failure.
     """
-    polls = batch.select("stream", "_arrived").distinct().orderBy("_arrived", "stream").collect()
-    for i, poll in enumerate(polls):
-        mine = batch.where(F.col("stream") == poll["stream"]).drop("_arrived")
-        land_poll(mine, batch_id * POLLS_PER_BATCH + i, root)
+    arrived = batch.groupBy("stream").agg(F.min("_arrived").alias("_arrived"))
+    place = F.row_number().over(Window.orderBy("_arrived", "stream"))
+    ends = records.groupBy("stream").agg(
+        F.max("seq").alias("last"), F.min(F.when(F.col("record") == "failure", F.col("seq"))).alias("end")
+    )
+    return cut(
+        arrived.select("stream", place.cast("bigint").alias("poll"))
+        .join(ends, "stream", "left")
+        .select(
+            "stream", "poll", F.col("end").isNotNull().alias("failed"),
+            F.coalesce(F.col("last") > F.col("end"), F.lit(False)).alias("runs_on"),
+        )
+    )
 
 
-def _poll_state(records: DataFrame) -> tuple[bool, bool]:
-    """Whether the poll failed, and whether a record follows the failure."""
-    end = F.min(F.when(F.col("record") == "failure", F.col("seq")))
-    last, failed = records.agg(F.max("seq"), end).first()
-    return failed is not None, failed is not None and last > failed
+def _judged(obs: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """(obs_id, poll, clashes, lands, said) for each id of each poll, from what came before the poll.
 
+    An id lands with the first poll that says one thing of it and does not fail.  It clashes where its
+    poll says several things, or another than the one that landed or is stored.
+    """
+    said = obs.groupBy("obs_id", "poll", "failed").agg(
+        F.min("said").alias("said"), (F.min("said") == F.max("said")).alias("one")
+    )
+    said = cut(said)
+    known = F.lit(None).cast("string").alias("stored")
+    if stored is None:
+        said = said.select("*", known)
+    else:
+        told = stored.select(F.col("id").alias("obs_id"), F.col("said").alias("stored"))
+        said = said.join(told, "obs_id", "left")
+    may = F.col("one") & ~F.col("failed") & F.col("stored").isNull()
+    first = said.where(may).groupBy("obs_id").agg(F.min(F.struct("poll", "said")).alias("first"))
+    said = said.join(first, "obs_id", "left")
+    before = F.coalesce("stored", F.when(F.col("poll") > F.col("first.poll"), F.col("first.said")))
+    return said.select(
+        "obs_id", "poll", "said",
+        F.coalesce(~F.col("one") | (F.col("said") != before), F.lit(False)).alias("clashes"),
+        F.coalesce(F.col("poll") == F.col("first.poll"), F.lit(False)).alias("lands"),
+    )
 
-def land_poll(poll: DataFrame, unit: int, root: str) -> None:
-    """One poll: set bad rows aside, append the new sightings, resolve only those, and count.
 
-    A poll with a failure record lands nothing, and neither does one that goes on
-    after it.  A sighting whose id is stored or repeated with other content is
-    set aside; one with the same content is counted as a repeat.
+def land(batch: DataFrame, batch_id: int, root: str) -> None:
+    """The polls of a micro-batch, each a unit of its own, in order of arrival, in one plan for all.
+
+    Bad rows are set aside, new sightings appended and resolved, and every poll is counted.  A poll
+    with a failure record lands nothing, and neither does one that goes on after it.  A sighting whose
+    id is stored or repeated with other content is set aside; one with the same content is counted as a
+    repeat.  How files fall into micro-batches decides nothing: a poll is resolved alone, against what
+    the polls before it left.
     """
-    spark = poll.sparkSession
-    lines = cut(numbered(poll))
+    spark = batch.sparkSession
+    lines = cut(numbered(batch))
     bad = cut(Q.line_shape(lines))
     records = cut(wire.parse_lines(lines.join(bad, ["stream", "seq"], "left_anti")))
-    failed, runs_on = _poll_state(records)
-    obs = wire.observations_only(records).drop("line")
-    columns = ["obs_id", "connector_id", "observed_at", "l2_domain", "vantage", "facts", "raw"]
-    stored = _read(spark, f"{root}/observations", unit)
-    known_ids = None
-    versions = obs.select(*columns)
-    if stored is not None:
-        known_ids = stored.join(obs.select("obs_id").distinct(), "obs_id", "left_semi")
-        known_ids = cut(known_ids.select(*columns))
-        versions = versions.unionByName(known_ids)
-    clash = cut(links.contradictions(versions).select("obs_id"))
-    clashing = obs.join(clash, "obs_id", "left_semi")
+    polls = F.broadcast(_polls(batch, records))
+    obs = wire.observations_only(records).drop("line").join(polls, "stream")
+    obs = cut(obs.select("stream", "poll", "failed", "seq", *COLUMNS, F.sha2(links.content(), 256).alias("said")))
+    index = f"{root}/ids"
+    stored = idindex.held(obs.select(F.col("obs_id").alias("id")), index, batch_id)
+    judged = cut(_judged(obs, stored))
+
+    clashing = cut(obs.join(judged.where("clashes").select("obs_id", "poll"), ["obs_id", "poll"], "left_semi").select(
+        "stream", "seq", F.lit("contradiction").alias("rule"), F.col("obs_id").alias("line")
+    ))
+    aside = bad.join(lines, ["stream", "seq"]).select("stream", "seq", "rule", "line").unionByName(clashing)
+    _write(aside, f"{root}/quarantine", batch_id)
+    landing = judged.where("lands").select("obs_id", "poll")
+    fresh = obs.join(landing, ["obs_id", "poll"]).dropDuplicates(["obs_id"]).select("stream", "poll", *COLUMNS)
+    landed = cut(fresh)
+    _write(landed.select(*COLUMNS), f"{root}/observations", batch_id)
+
+    def per_poll(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("stream").agg(F.count("*").alias(name))
+
+    state = F.when(F.col("runs_on"), "runs on after its failure").when(F.col("failed"), "failed").otherwise("landed")
+    counts = polls.select("stream", state.alias("state"))
+    parts = {"lines": lines, "sightings": obs, "ingested": landed, "contradicting": clashing, "malformed": bad}
+    for name, rows in parts.items():
+        counts = counts.join(per_poll(rows, name), "stream", "left")
     _write(
-        bad.join(lines, ["stream", "seq"]).select("stream", "seq", "rule", "line").unionByName(
-            clashing.select(
-                "stream", "seq", F.lit("contradiction").alias("rule"),
-                F.col("obs_id").alias("line"),
-            )
+        counts.select(
+            F.col("stream").alias("poll"), *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in parts], "state"
         ),
-        f"{root}/quarantine",
-        unit,
-    )
-    fresh = obs.join(clash, "obs_id", "left_anti").dropDuplicates(["obs_id"]).select(*columns)
-    if known_ids is not None:
-        fresh = fresh.join(known_ids.select("obs_id"), "obs_id", "left_anti")
-    if failed:
-        fresh = fresh.where("false")
-    _write(fresh, f"{root}/observations", unit)
-    landed = spark.read.parquet(f"{root}/observations/batch={unit}")
-    counts = lines.agg(F.first("stream").alias("poll"), F.count("*").alias("lines")).select(
-        "poll", "lines",
-        obs.agg(F.count("*")).scalar().alias("sightings"),
-        landed.agg(F.count("*")).scalar().alias("ingested"),
-        clashing.agg(F.count("*")).scalar().alias("contradicting"),
-        bad.agg(F.count("*")).scalar().alias("malformed"),
-        F.lit("runs on after its failure" if runs_on else "failed" if failed else "landed").alias("state"),
+        f"{root}/counts", batch_id,
     )
-    _write(counts, f"{root}/counts", unit)
-    if failed:
-        return
 
     own = landed.select(F.col("obs_id").alias("observation_id"))
     met = keys.scoped_keys(landed).select("l2_domain", "mac").distinct()
-    held = read_links(spark, root, unit, own)
-    known = read_interfaces(spark, root, unit, met)
+    held = read_links(spark, root, batch_id, own)
+    known = read_interfaces(spark, root, batch_id, met)
     held = links.empty_links(landed) if held is None else held
     known = links.empty_interfaces(landed) if known is None else known
-    try:
-        done = links.resolve(landed, known, held, f"batch-{unit}", settle=True, set_late_aside=True)
-    except links.Refused as refusal:
-        # The landed rows stay; the pass wrote nothing.
-        reason = spark.range(1).select(F.lit(str(refusal)).alias("reason"))
-        _write(reason, f"{root}/refused", unit)
-        return
-    _write(done.resolved.select(*S.INTERFACE_COLUMNS), f"{root}/interfaces", unit)
-    _write(links.changed_links(held, done.actions, f"batch-{unit}"), f"{root}/links", unit)
-    _write(done.late, f"{root}/late", unit)
-    _write(done.summary, f"{root}/summary", unit)
+    done = links.resolve_polls(landed, known, held)
+    # A version is named after its poll, so micro-batches do not show in the ids either.
+    _write(done.interfaces.select(*S.INTERFACE_COLUMNS), f"{root}/interfaces", batch_id)
+    _write(links.changed_links(held, done.actions, F.col("stream")), f"{root}/links", batch_id)
+    _write(done.late, f"{root}/late", batch_id)
+    _write(done.refused, f"{root}/refused", batch_id)
+    _write(done.summary, f"{root}/summary", batch_id)
+    # The index tells that the batch is whole, so it comes last.
+    idindex.append(judged.where("lands").select(F.col("obs_id").alias("id"), "said"), index, batch_id)
 
 
 def ingest(spark: SparkSession, source: str, root: str, files_per_batch: int = 16) -> StreamingQuery:
@@ -244,24 +262,25 @@ def summarised_polls(spark: SparkSession, root: str) -> DataFrame:
 def stream_deduplicated(obs: DataFrame, root: str) -> StreamingQuery:
     """One row per sighting id, however far apart its repeats arrive; ``refused`` counts the repeats.
 
-    What is stored is kept by day, and a batch looks only at the days it brings.
+    A batch looks its ids up in the index of stored ids, whatever day they are dated.  Of several rows
+    of an id in one batch the earliest is kept.
     """
 
     def keep(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("day", F.to_date("observed_at"))
-        once = batch.dropDuplicates(["obs_id"])
-        stored = _read(spark, f"{root}/once", n)
-        if stored is not None:
-            days = F.broadcast(batch.select("day").distinct())  # a calendar's worth at most
-            held = stored.join(days, "day", "left_semi").select("obs_id")
-            once = once.join(held, "obs_id", "left_anti")
-        once.write.mode("overwrite").partitionBy("day").parquet(f"{root}/once/batch={n}")
-        kept = spark.read.parquet(f"{root}/once/batch={n}") if once.take(1) else once
-        counts = batch.agg(F.count("*").alias("arrived")).select(
-            "arrived", (F.col("arrived") - kept.agg(F.count("*")).scalar()).alias("refused")
+        row = F.min(F.struct("observed_at", *[c for c in batch.columns if c not in ("obs_id", "observed_at")]))
+        once = batch.groupBy("obs_id").agg(row.alias("row"), F.count("*").alias("arrived"))
+        once = cut(once.select("obs_id", "row.*", "arrived"))
+        held = idindex.held(once.select(F.col("obs_id").alias("id")), f"{root}/ids", n)
+        fresh = once.drop("arrived")
+        if held is not None:
+            fresh = fresh.join(held.select(F.col("id").alias("obs_id")), "obs_id", "left_anti")
+        fresh = cut(fresh)
+        _write(fresh, f"{root}/once", n)
+        counts = once.agg(F.coalesce(F.sum("arrived"), F.lit(0)).alias("arrived")).select(
+            "arrived", (F.col("arrived") - fresh.agg(F.count("*")).scalar()).alias("refused")
         )
         _write(counts, f"{root}/refused", n)
+        idindex.append(fresh.select(F.col("obs_id").alias("id")), f"{root}/ids", n)
 
     return (
         obs.writeStream.foreachBatch(keep)
