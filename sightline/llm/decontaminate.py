@@ -34,7 +34,7 @@ FOUND = (
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """(item_id, window), distinct; items without an id, a text or words have none."""
+    """(item_id, window), distinct; items without a text or words have none, one without an id a null one."""
     def cut(batches):
         for batch in batches:
             ids, found = [], []
@@ -48,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
                 [pa.array(ids, pa.string()), pa.array(found, pa.binary())], ["item_id", "window"]
             )
 
-    told = benchmark.where("item_id is not null and text is not null").select(
+    told = benchmark.where("text is not null").select(
         F.col("item_id").cast("string"), F.col("text").cast("binary").alias("text")
     )
     return told.mapInArrow(cut, "item_id string, window binary").distinct()
@@ -73,7 +73,9 @@ class Windows:
         by_size: dict[int, dict[tuple, list[str]]] = {}
         for item, window in rows:
             key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in bytes(window).split(b" "))
-            by_size.setdefault(len(key), {}).setdefault(key, []).append(item)
+            named = by_size.setdefault(len(key), {}).setdefault(key, [])
+            if item is not None:
+                named.append(item)
         self.numbers = numbers
         self.codes = rng.integers(1, 2**63, len(numbers) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.sizes = {}
@@ -175,12 +177,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     ``items`` are the ids, as sorted text, of the items with an occurring window; ``spans`` the hit
     words' ranges, merged; ``cleaned`` the text without them, null where nothing is hit.  ``row``
     packs the input's columns (or those of ``carry``).  A null or empty text has no words and no hit;
-    repeated rows and items count as often as they stand there, items once per id; without usable
-    items nothing is hit.
+    repeated rows and items count as often as they stand there, items once per id; words of an item
+    without an id are hit but not named; without usable items nothing is hit.
     """
     spark = docs.sparkSession
     windows = settle(benchmark_windows(benchmark, n), "windows")
-    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item_id") + 16)).first()[0] or 0
+    size = windows.agg(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     found = docs.select(
         F.struct(*(carry or ["*"])).alias("row"), F.col("text").cast("binary").alias("_text"),
@@ -188,7 +190,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     )
     schema = found.schema
     for block in range(blocks):
-        mine = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
+        # Dealt by item too, so that a window which very many items share is spread over the blocks.
+        mine = windows.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == block).select("item_id", "window")
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in mine.collect()]).parts())
         found = found.mapInArrow(_scan(shared), schema)
         if blocks > 1:
@@ -197,7 +200,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N) -> DataFrame:
-    """``docs`` without its contaminated documents, or (``remove="spans"``) without the hit words."""
+    """``docs`` without its contaminated documents, or (``remove="spans"``) without the hit words.
+
+    Null and empty texts stay as they are, repeated rows are judged alike; without items, or with an
+    empty ``docs``, all rows come back.
+    """
     found = scan(docs, benchmark, n)
     if remove == "documents":
         return found.where("n_hit = 0").select("row.*")

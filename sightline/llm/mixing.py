@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import attached, lookup_small, row_hash, running, seeded, settle, word_count
 
 MOST = 3  # times a document may be taken
-BLOCKS = 1 << 20  # about so many blocks in all; a block has at least one token
+BLOCKS = 1 << 20  # so many blocks in all, or more; a block has at least one token
+LEAST_BLOCKS = 32  # of the source with the least target, so that it comes near its target too
 SHARDS = 8
 SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
@@ -52,8 +53,9 @@ def quotas(plan: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataF
     For each count of awards, rounding target / divisor is right but for a few seats; only the seats
     near the divisor are ranked, so the cost follows the number of sources, not of blocks.
     """
+    least = f"cast(floor(min(if(target > 0, target, null)) over () / {LEAST_BLOCKS}) as bigint)"
     plan = plan.selectExpr(
-        "*", f"greatest(1, total div {blocks}) as block", "count(*) over () as sources"
+        "*", f"greatest(1, least(total div {blocks}, {least})) as block", "count(*) over () as sources"
     ).selectExpr("*", "total div block as all_blocks")
     asked = plan.where("target > 0").selectExpr("*", f"explode(sequence(1, {shards})) as shard")
     asked = asked.selectExpr(

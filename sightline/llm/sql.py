@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sightline.llm.decontaminate import N
-from sightline.llm.mixing import BLOCKS, MOST, SEED
+from sightline.llm.mixing import BLOCKS, LEAST_BLOCKS, MOST, SEED
 from sightline.llm.ngram_join import PER_CENT
 from sightline.llm.ngram_join import WORDS as SHINGLE
 from sightline.llm.quality_rules import RULES
@@ -71,9 +71,10 @@ levels as (
   select *, cast(total - (sum(cap) over l - cap) as double)
     / (sum(weight) over () - sum(weight) over l + weight) as level
   from weighed window l as (order by cast(cap as double) / weight, place)),
+aimed as (select *, least(cast(cap as double), weight * max(level) over ()) as target from levels),
 plan as (
-  select *, least(cast(cap as double), weight * max(level) over ()) as target,
-    greatest(1, total // {BLOCKS}) as block from levels),
+  select *, greatest(1, least(total // {BLOCKS}, cast(floor(
+    min(case when target > 0 then target end) over () / {LEAST_BLOCKS}) as bigint))) as block from aimed),
 seats as (
   select source, row_number() over (order by target / (2 * seat + 1) desc, place) as turn,
     total // block as blocks
@@ -97,7 +98,7 @@ LETTERS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES["op1_decontamination"] = rf"""
 with items as (
-  select cast(item_id as varchar) as item_id, {LETTERS} as w from benchmark where item_id is not null),
+  select cast(item_id as varchar) as item_id, {LETTERS} as w from benchmark),
 item_windows as (
   select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as g
   from (select *, least({N}, len(w)) as size from items where len(w) > 0),

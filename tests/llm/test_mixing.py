@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from sightline.llm import mixing
-from sightline.llm.common import running, settle
+from sightline.llm.common import attached, row_hash, running, settle
 
 
 def sizes(texts):
@@ -50,7 +50,10 @@ def test_quotas_follow_the_highest_quotients(documents, text):
         plan = mixing.quotas(mixing.targets(sized), shards, blocks).collect()
         assert all(abs(r["target"] - target[r["source"]]) < 1e-6 for r in plan)
         total = sum(by_source.values())
-        block = max(1, total // blocks)
+        # So many blocks, or as many as give the source with the least target its LEAST_BLOCKS.
+        least = min(t for s, t in target.items() if by_source[s])
+        block = max(1, min(total // blocks, int(least // mixing.LEAST_BLOCKS)))
+        assert {r["block"] for r in plan} == {block}
         for j in range(shards + 1):
             won = brute_awards([s for s in names if by_source[s]], target, total // block * j // shards)
             assert {r["source"]: r["bounds"][j] for r in plan} == {s: won[s] for s in names}
@@ -87,3 +90,28 @@ def test_running_sums_do_not_depend_on_ranges(spark):
     ), "t")
     one, many = ({(r["g"], r["h"]): r["s"] for r in running(rows, "g", ["h"], "v", "s", parts=p).collect()} for p in (1, 9))
     assert one == many and min(one.values()) == 0
+
+
+def test_a_tiny_source_beside_a_huge_one_nears_its_target(spark):
+    sizes = [("a", 10**9)] * 10 + [("b", 100)] * 10
+    rows = settle(spark.createDataFrame(
+        [(bytes([i]), i, s, n) for i, (s, n) in enumerate(sizes)],
+        "row_hash binary, doc_id bigint, source string, size bigint",
+    ), "sized")
+    got = mixing.mix(rows).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert target["b"] == 3000 and abs(taken["b"] - 3000) <= 3000 / mixing.LEAST_BLOCKS
+    assert abs(taken["a"] / target["a"] - 1) < 1e-4
+
+
+def test_rows_that_share_half_a_hash_stay_apart(documents, text):
+    texts = [text(5) for _ in range(40)]
+    docs = documents(texts + texts, list(range(80)))
+    hashes = docs.select(row_hash(docs).alias("h"))
+    assert hashes.distinct().count() == 80 and len(hashes.first()["h"]) == 16
+    told = docs.select(row_hash(docs).alias("row_hash"), F.lit(1).alias("n"))
+    back = attached(docs, told).select("row.*").collect()
+    assert sorted(back) == sorted(docs.collect())
