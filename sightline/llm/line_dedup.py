@@ -60,13 +60,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def runs(lines: list[bytes], over: int) -> set[tuple[int, int]]:
-    """(first line, end) of the shortest runs of more than ``over`` words from each line on and up to each line."""
+    """(first line, end) of the shortest runs of more than ``over`` words from each line on and up to each line.
+
+    Runs start and end with a line that holds a word, so a line lies in at most two for each of ``over`` words.
+    """
     words = np.cumsum([0, *[len(x.split()) for x in lines]])
     start = np.arange(len(words))
     ends = np.searchsorted(words, words + over + 1)
     begins = np.searchsorted(words, words - over - 1, "right") - 1
-    found = {(int(a), int(b)) for a, b in zip(start, ends, strict=True) if b < len(words)}
-    return found | {(int(a), int(b)) for a, b in zip(begins, start, strict=True) if a >= 0}
+    worded = np.append(np.diff(words) > 0, False)
+    from_here = worded & (ends < len(words))
+    up_to_here = (begins >= 0) & np.append(False, worded[:-1])
+    return {*zip(start[from_here].tolist(), ends[from_here].tolist(), strict=True),
+            *zip(begins[up_to_here].tolist(), start[up_to_here].tolist(), strict=True)}
 
 
 def _told(over: int | None):

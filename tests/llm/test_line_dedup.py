@@ -89,3 +89,12 @@ def test_the_query_removes_every_repeated_passage(spark):
     for d, _, i in repeated_runs([(k, v) for k, v in docs.items() if k is not None], 50):
         want.setdefault(d, set()).add(i)
     assert all(r["removed_lines"] >= len(want.get(r["doc_id"], ())) for r in rows)
+
+
+def test_runs_are_linear_in_blank_lines():
+    import time
+
+    lines = [b""] * 100_000 + [b" ".join([b"w"] * 60)] + [b""] * 100_000
+    began = time.monotonic()
+    assert line_dedup.runs(lines, 50) == {(100_000, 100_001)}
+    assert time.monotonic() - began < 1
