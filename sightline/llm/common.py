@@ -53,8 +53,8 @@ def discard(*settled: DataFrame) -> None:
 
 
 def row_hash(docs: DataFrame) -> Column:
-    """Tells rows apart by all their columns; equal rows share it."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    """128 bits that tell rows apart by all their columns; equal rows share them."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
 
 
 def attached(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def running(df: DataFrame, group: str, order: list[str], value: str, name: str,
     )
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for every node of an edge.
 
     Alternating large and small stars (Kiveris et al. 2014): only per-node minima and joins on the
@@ -128,7 +128,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(), "edges",
     )
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -147,8 +147,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = small
         if many.union(deep).isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle")
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -173,3 +171,9 @@ def lookup_small(rows: DataFrame, small: DataFrame, key: str, bound: int, spread
     right = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     match = left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_s"])
     return left.join(right, match).drop("_key", "_salt", "_s")
+
+
+def texts_of(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(doc_id, text) of the bounded table ``labelled``: one row per id, however many rows repeat it."""
+    ids = F.broadcast(labelled.select("doc_id").distinct())
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))

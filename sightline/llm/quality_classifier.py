@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import crc_of_id, settle
+from sightline.llm.common import crc_of_id, settle, texts_of
 from sightline.llm.stats import with_statistics
 
 LABELLED = 20_000  # labelled rows that the fit may see, by a hash of the id
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Model:
     told = labels.where("doc_id is not null and quality is not null").where(crc_of_id() % 5 != 0)
     told = told.select("doc_id", F.col("quality").cast("double").alias("label"))
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    known = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")  # bounded by ``rows``
+    known = texts_of(docs, told).join(F.broadcast(told), "doc_id")  # bounded by ``rows``
     sample = with_features(known).withColumn("label", F.col("row.label")).drop("row")
     sample = settle(sample, "labelled")
     n, good = sample.agg(F.count("*"), F.sum("label")).first()

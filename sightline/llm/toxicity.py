@@ -13,10 +13,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import settle
+from sightline.llm.common import settle, texts_of
 
 LABELLED = 20_000  # rows of labels that the fit may see, by a hash of the id
 FEATURES = 4_096  # features kept, by how much more often toxic texts have them
@@ -51,7 +52,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> D
     """(text, toxic) of at most ``rows`` labels; the broadcast is bounded by that number."""
     told = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("text", "toxic")
+    return texts_of(docs, told).join(F.broadcast(told), "doc_id").select("text", "toxic")
 
 
 def _chosen(sample: DataFrame, limit: int) -> dict[str, float]:
@@ -82,42 +83,68 @@ def _chosen(sample: DataFrame, limit: int) -> dict[str, float]:
     return {r["f"]: r["t"] / r["n"] for r in best.collect()}  # at most ``limit`` rows
 
 
-def graded(sample: DataFrame, purity: dict[str, float]) -> tuple[list[dict], np.ndarray]:
+class Sparse(NamedTuple):
+    """Feature counts of rows one after the other: how many each row has, their places in ``names``, counts."""
+
+    names: list[str]
+    sizes: np.ndarray
+    col: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[dict[str, float]]) -> Sparse:
+        names = sorted({f for r in rows for f in r})
+        place = {f: i for i, f in enumerate(names)}
+        return cls(
+            names, np.array([len(r) for r in rows], np.int64),
+            np.array([place[f] for r in rows for f in r], np.int64), np.array([v for r in rows for v in r.values()], float),
+        )
+
+
+def graded(sample: DataFrame, purity: dict[str, float]) -> tuple[Sparse, np.ndarray]:
     """Feature counts and severity grades of the sample, which has at most ``LABELLED`` rows.
 
     Labels only say toxic or not.  Toxic texts are grade 1, or 2 where the share of their words that
     stand for toxicity (in texts of which nine in ten are toxic) is at or above the median's.
     """
     marks = {f for f, p in purity.items() if p >= 0.9}
+    names = sorted(purity)
+    place = {f: i for i, f in enumerate(names)}
 
     def count(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
-                found, dense, toxic = [], [], []
+                col, n, dense, toxic = [], [], [], []
                 for x in batch.slice(start, 128).to_pylist():
                     words = LETTERS.findall((x["text"] or "").lower())
                     dense.append(sum(any(f in marks for f in features(w)) for w in words) / max(1, len(words)))
-                    found.append(list(_counts(x["text"], purity).items()))
+                    found = _counts(x["text"], purity)
+                    col.append([place[f] for f in found])
+                    n.append(list(found.values()))
                     toxic.append(int(x["toxic"] > 0))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(found, pa.map_(pa.string(), pa.int32())), pa.array(dense, pa.float64()),
-                    pa.array(toxic, pa.int32()),
-                ], ["found", "dense", "toxic"])
+                    pa.array(col, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32())),
+                    pa.array(dense, pa.float64()), pa.array(toxic, pa.int32()),
+                ], ["col", "n", "dense", "toxic"])
 
-    rows = sample.mapInArrow(count, "found map<string,int>, dense double, toxic int").collect()
-    middle = np.median([r["dense"] for r in rows if r["toxic"]]) if rows else 0
-    grades = np.array([r["toxic"] * (1 + int(r["dense"] >= middle)) for r in rows], np.int64)
-    return [r["found"] for r in rows], grades
+    # Four bytes a feature in place of a map with its name.
+    rows = sample.mapInArrow(count, "col array<int>, n array<int>, dense double, toxic int").toArrow()
+    dense, toxic = rows["dense"].to_numpy(), rows["toxic"].to_numpy()
+    middle = np.median(dense[toxic > 0]) if toxic.any() else 0
+    grades = (toxic * (1 + (dense >= middle))).astype(np.int64)
+    flat = [rows[c].combine_chunks().flatten().to_numpy() for c in ("col", "n")]
+    sizes = pc.list_value_length(rows["col"]).to_numpy()
+    return Sparse(names, sizes, flat[0].astype(np.int64), flat[1].astype(float)), grades
 
 
-def fit_ordinal(rows: list[dict[str, float]], grades: np.ndarray, ridge: float = 0.02,
+def fit_ordinal(rows: list[dict[str, float]] | Sparse, grades: np.ndarray, ridge: float = 0.02,
                 steps: int = 300) -> Model:
     """Cumulative-link fit by full gradients (Adam); thresholds stay ordered by construction."""
-    names = sorted({f for r in rows for f in r})
-    place = {f: i for i, f in enumerate(names)}
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.array([place[f] for r in rows for f in r], np.int64)
-    val = np.log1p(np.array([v for r in rows for v in r.values()], float))
+    rows = rows if isinstance(rows, Sparse) else Sparse.of(rows)
+    names, sizes, col, count = rows
+    many = len(sizes)
+    at = np.repeat(np.arange(many), sizes)
+    val = np.log1p(count)
     levels = int(grades.max(initial=0))
     if levels == 0:
         return Model({}, (9.0,))
@@ -130,17 +157,17 @@ def fit_ordinal(rows: list[dict[str, float]], grades: np.ndarray, ridge: float =
     for step in range(1, steps + 1):
         gaps = np.exp(t[1:])
         theta = t[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        eta = np.bincount(at, val * w[col], len(rows))
+        eta = np.bincount(at, val * w[col], many)
         z = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -30, 30)))  # P(grade >= k)
-        edge = np.hstack([np.ones((len(rows), 1)), z, np.zeros((len(rows), 1))])
-        p = np.maximum(1e-9, edge[np.arange(len(rows)), grades] - edge[np.arange(len(rows)), grades + 1])
+        edge = np.hstack([np.ones((many, 1)), z, np.zeros((many, 1))])
+        p = np.maximum(1e-9, edge[np.arange(many), grades] - edge[np.arange(many), grades + 1])
         slope = z * (1 - z)
         # d log p / d (eta - theta_k): the lower edge of the grade raises p, the upper one lowers it.
         sign = (grades[:, None] == np.arange(1, levels + 1)).astype(float)
         sign -= grades[:, None] + 1 == np.arange(1, levels + 1)
         g = sign * slope / p[:, None]
-        toward = np.bincount(col, val * g.sum(axis=1)[at], len(w)) / len(rows) - ridge * w / len(rows) ** 0.5
-        down = -g.sum(axis=0) / len(rows)
+        toward = np.bincount(col, val * g.sum(axis=1)[at], len(w)) / many - ridge * w / many ** 0.5
+        down = -g.sum(axis=0) / many
         tail = np.cumsum(down[::-1])[::-1]
         both = np.concatenate([toward, tail[:1], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * both, 0.99 * v + 0.01 * both**2
