@@ -11,6 +11,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from sightline.llm.common import collecting, discard, settle, table
@@ -36,7 +37,10 @@ def stage(work: Stage) -> Stage:
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on the labelled ones, does not reject."""
+    """Documents that the ordinal model, fitted on the labelled ones, does not reject.
+
+    Null and empty texts stay; repeated rows are judged alike; an empty table gives none.
+    """
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -51,20 +55,35 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; null and empty texts, and repeated rows, stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, to the nearest whole time."""
+    """Every document as often as the mix takes it, to the nearest whole time.
+
+    Null texts and texts without words are never taken; repeated rows are taken each.
+    """
     return mixing.mixed(docs)
 
 
 @stage
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it; equal texts share a shard."""
-    return sharding.sharded(docs).select("row.*", "shard", "slot")
+    """All documents with their shard and their slot in it; equal texts share a shard.
+
+    A null text has no bytes, repeated rows are dealt each, an empty table gives none.  Where ``docs``
+    has a column of that name already, the new one ends with an underscore more.
+    """
+    return sharding.sharded(docs).select("row.*", *[F.col(c).alias(_free(c, docs.columns)) for c in ("shard", "slot")])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    # Spark's names do not tell upper from lower case.
+    lowered = {c.lower() for c in taken}
+    while name in lowered:
+        name += "_"
+    return name
 
 
 STAGES = [
