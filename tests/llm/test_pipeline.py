@@ -23,9 +23,11 @@ def test_stages_take_effect_on_whole_inputs(spark):
     assert rows["toxicity"][0] - rows["toxicity"][1] == toxic and toxic
 
     groups = {}
-    for r in ngram_join.join(seen["ngram_join"][0]).collect():
+    for r in ngram_join.join(seen["ngram_join"][0], words=5, per_cent=80).collect():
         groups.setdefault(r["component_id"], set()).add(r["doc_id"])
     assert rows["ngram_join"][1] == {min(g) for g in groups.values()}
+    texts = {r["doc_id"]: r["text"] for r in seen["ngram_join"][0].collect()}
+    assert rows["ngram_join"][1] == least_of_each(texts)
 
     hit = decontaminate.scan(seen["decontamination"][0], table(spark, SF, "benchmark")).where("n_hit > 0")
     assert rows["decontamination"][0] - rows["decontamination"][1] == {r["row"]["doc_id"] for r in hit.collect()}
@@ -75,3 +77,14 @@ def test_near_copies_are_judged_on_five_words(spark, documents, text):
     got = corpus_pipeline.drop_near_copies(spark, given, SF)
     want = least_of_each({r["doc_id"]: r["text"] for r in given.collect()})
     assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_stages_take_columns_of_clashing_names(spark, documents, text):
+    texts = [text(30 + i) for i in range(20)] + ["", None]
+    docs = documents(texts).selectExpr("*", "1 as shard", "'x' as Slot", "2 as _range", "3 as size", "4 as row_hash")
+    out = corpus_pipeline.deal_shards(spark, corpus_pipeline.mix_sources(spark, docs, SF), SF)
+    assert out.columns == [*docs.columns, "shard_", "slot_"] and out.count() > 0
+    assert {r["shard"] for r in out.collect()} == {1}
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
