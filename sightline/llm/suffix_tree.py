@@ -9,8 +9,9 @@ Bell 1991), and a symbol is scored in the longest kept suffix.
 
 What is frequent is an absolute count, so the model grows with the corpus, and no task holds it whole.
 Texts look up words and contexts by chunks: a chunk of texts lists its distinct words and its distinct
-codes (contexts with their symbols) once.  Codes meet the kept contexts that end with the same two bytes,
-words meet their counts, both in shuffles, and each chunk gets its answers back.
+codes (contexts with their symbols) once.  Codes meet the kept contexts that end with the same three bytes,
+dealt by a hash of these into buckets of about ``BUCKET`` codes; words meet their counts; and each chunk gets
+its answers back, those of codes in four bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,14 +206,15 @@ def _tree(found: pa.Table, depths: range) -> Tree:
 
 
 TOLD = (
-    "chunk bigint, doc_id bigint, held_out boolean, line binary, "
+    "chunk bigint, doc_id array<bigint>, held_out array<boolean>, lines binary, "
     "word boolean, keys array<bigint>, training array<bigint>"
 )
 SCORED = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 )
 LISTED = 100_000  # keys in a row of a list
-LOW = 2  # depths below hold at most 256 + 256^2 pairs, whatever the corpus
+LOW = 3  # depths below hold at most 256 + 256^2 + 256^3 pairs, whatever the corpus
+BUCKET = 1_000_000  # codes that a task looks up at once; no ending of LOW bytes has more than 256^(depth + 1 - LOW)
 
 
 def _hashes(words) -> np.ndarray:
@@ -219,8 +222,12 @@ def _hashes(words) -> np.ndarray:
 
 
 def _told(texts: DataFrame, depth: int) -> DataFrame:
-    """Rows of texts, normalised, and per chunk rows of its distinct words and codes with their training counts."""
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    """Rows of texts, and per chunk rows of its distinct words and codes with their training counts.
+
+    A row of texts holds about ``BUFFER_BYTES`` of them, normalised, compressed together, with their ids.
+    """
+    numbers = pa.list_(pa.int64())
+    kinds = [pa.int64(), numbers, pa.list_(pa.bool_()), pa.binary(), pa.bool_(), numbers, numbers]
     names = [x.split()[0] for x in TOLD.split(", ")]
 
     def batch_of(rows):
@@ -236,13 +243,14 @@ def _told(texts: DataFrame, depth: int) -> DataFrame:
         def flush():
             nonlocal rows, size, parts, held
             for out in (False, True):
-                code, n = np.unique(codes([r[3] for r in rows if r[2] == out], depth)[0], return_counts=True)
+                code, n = np.unique(codes([r[2] for r in rows if r[1] == out], depth)[0], return_counts=True)
                 parts.append((code, n * (not out)))
                 held += len(code)
             if held > 2_000_000:
                 parts = [_merged(parts)]
                 held = len(parts[0][0])
-            done = batch_of(rows)
+            ids, outs, lines = map(list, zip(*rows, strict=True))
+            done = batch_of([(chunk, ids, outs, zstandard.compress(b"".join(lines)), None, None, None)])
             rows, size = [], 0
             return done
 
@@ -265,8 +273,8 @@ def _told(texts: DataFrame, depth: int) -> DataFrame:
                         words.update(dict.fromkeys(mine, 0))
                     else:
                         words.update(mine)
-                    rows.append((chunk, doc_id, held_out, normalised(mine[:-1]), None, None, None))
-                    size += len(rows[-1][3])
+                    rows.append((doc_id, held_out, normalised(mine[:-1])))
+                    size += len(rows[-1][2])
                     tokens += len(mine)
                     if size >= BUFFER_BYTES:
                         yield flush()
@@ -286,7 +294,7 @@ def _told(texts: DataFrame, depth: int) -> DataFrame:
 def _logs(asked: DataFrame, model: DataFrame, depth: int) -> DataFrame:
     """(h, v): log10 of the probability of each code ``h``; ``model`` (rows of ``kept``) must be settled.
 
-    A code meets the contexts that end with the two bytes before its symbol; shallower ones are broadcast.
+    A code meets the contexts that end with the ``LOW`` bytes before its symbol; shallower ones are broadcast.
     """
     low = min(LOW, depth + 1)
     shallow = _tree(model.where(F.col("depth") < low).select(*KEPT).toArrow(), range(low))
@@ -298,10 +306,13 @@ def _logs(asked: DataFrame, model: DataFrame, depth: int) -> DataFrame:
         h = asked["h"].to_numpy()
         return pa.table({"h": h, "v": tree.log10(h.view(np.uint64))})
 
-    last = (1 << 8 * LOW) - 1
-    asked = asked.select("h", F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(last)).alias("ending"))
-    deep = model.where(F.col("depth") >= low).select(*KEPT, F.col("context").bitwiseAND(F.lit(last)).alias("end"))
-    return asked.groupBy("ending").cogroup(deep.groupBy("end")).applyInArrow(work, "h bigint, v double")
+    last = F.lit((1 << 8 * LOW) - 1)
+    buckets = F.lit(max(1, -(-asked.count() // BUCKET)))
+    asked = asked.select("h", F.pmod(F.xxhash64(F.shiftrightunsigned("h", 8).bitwiseAND(last)), buckets).alias("bucket"))
+    deep = model.where(F.col("depth") >= low).select(
+        *KEPT, F.pmod(F.xxhash64(F.col("context").bitwiseAND(last)), buckets).alias("of")
+    )
+    return asked.groupBy("bucket").cogroup(deep.groupBy("of")).applyInArrow(work, "h bigint, v double")
 
 
 def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -329,8 +340,9 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         contexts = kept(taught, depth)
     model = settle(contexts, "model")
     discard(*levels)
-    values = counts.where("word").select("word", "h", F.col("c").cast("double").alias("v")).unionByName(
-        _logs(asked, model, depth).select(F.lit(False).alias("word"), "h", "v")
+    logs = _logs(asked, model, depth)
+    values = counts.where("word").select("word", "h", "c", F.lit(None).cast("float").alias("v")).unionByName(
+        logs.select(F.lit(False).alias("word"), "h", F.lit(None).cast("bigint").alias("c"), F.col("v").cast("float"))
     )
     values = settle(values, "values")
     discard(counts, model)
@@ -340,7 +352,8 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def scored(texts: pa.Table, answered: pa.Table) -> pa.Table:
         def answer(word):
             mine = answered["word"].to_numpy() == word
-            h, v = answered["h"].to_numpy()[mine], answered["v"].to_numpy()[mine]
+            h = answered["h"].to_numpy()[mine]
+            v = answered["c" if word else "v"].to_numpy()[mine].astype(float)
             order = np.argsort(h)
             return h[order], v[order]
 
@@ -354,21 +367,20 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             each = values[np.searchsorted(keys, code.view(np.int64))]
             logs.append(np.add.reduceat(each, np.cumsum(lengths) - lengths))
 
-        for batch in texts["line"].chunks:
-            for start in range(0, len(batch), 256):
-                for line in batch.slice(start, 256).to_pylist():
-                    words = line.split()
-                    bag = Counter(words)
-                    bag[b""] = 1
-                    at += [places.setdefault(w, len(places)) for w in bag]
-                    times += bag.values()
-                    kinds_of.append(len(bag))
-                    tokens.append(len(words) + 1)
-                    lines.append(line)
-                    size += len(line)
-                    if size >= BUFFER_BYTES:
-                        flush()
-                        lines, size = [], 0
+        for packed in texts["lines"]:
+            for line in zstandard.decompress(packed.as_py()).split(END)[:-1]:
+                words = line.split()
+                bag = Counter(words)
+                bag[b""] = 1
+                at += [places.setdefault(w, len(places)) for w in bag]
+                times += bag.values()
+                kinds_of.append(len(bag))
+                tokens.append(len(words) + 1)
+                lines.append(line + END)
+                size += len(line) + 1
+                if size >= BUFFER_BYTES:
+                    flush()
+                    lines, size = [], 0
         if lines:
             flush()
         keys, values = answer(True)
@@ -377,11 +389,12 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         first = np.cumsum(kinds_of) - kinds_of
         base = n * np.log10((count + 0.1) / (total + 0.1 * (kinds + 1)))
         return pa.table({
-            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(tokens, pa.int64()),
+            "doc_id": texts["doc_id"].combine_chunks().flatten(),
+            "held_out": texts["held_out"].combine_chunks().flatten(), "n_tokens": pa.array(tokens, pa.int64()),
             "n_known": np.add.reduceat(n * (count > 0), first), "base_score": np.add.reduceat(base, first),
             "score": np.concatenate(logs),
         })
 
-    texts = rows.where("keys is null").select("chunk", "doc_id", "held_out", "line")
+    texts = rows.where("keys is null").select("chunk", "doc_id", "held_out", "lines")
     found = texts.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(scored, SCORED)
     return found.withColumn("train_tokens", F.lit(total).cast("bigint"))
