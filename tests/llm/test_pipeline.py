@@ -82,7 +82,8 @@ def test_near_copies_are_judged_on_five_words(spark, documents, text):
 def test_stages_take_columns_of_clashing_names(spark, documents, text):
     texts = [text(30 + i) for i in range(20)] + ["", None]
     docs = documents(texts).selectExpr("*", "1 as shard", "'x' as Slot", "2 as _range", "3 as size", "4 as row_hash")
-    out = corpus_pipeline.deal_shards(spark, corpus_pipeline.mix_sources(spark, docs, SF), SF)
+    mixed = settle(corpus_pipeline.mix_sources(spark, docs, SF), "mixed")  # as between stages
+    out = settle(corpus_pipeline.deal_shards(spark, mixed, SF), "dealt")
     assert out.columns == [*docs.columns, "shard_", "slot_"] and out.count() > 0
     assert {r["shard"] for r in out.collect()} == {1}
     empty = docs.where("false")
