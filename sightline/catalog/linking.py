@@ -48,7 +48,7 @@ def held_before(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def second_pass(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, links.Pass]:
     obs = tables.sightings(spark, sf_dir)
     interfaces, held = held_before(obs)
-    return obs, held, links.resolve(obs, interfaces, held, "second", check=False)
+    return obs, held, links.resolve(obs, interfaces, held, "second", check=False, settle=True)
 
 
 def engine_links(obs: DataFrame) -> DataFrame:
