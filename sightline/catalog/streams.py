@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sightline.catalog.linking import ids, placed_sql
 from sightline.catalog.registry import query
+from sightline.functions.facts import macs
 from sightline.plans.lineage import scratch_path
 from sightline.sources import tables, wire
 from sightline.streaming import ingest as I
+from sightline.streaming import presence as P
 
 
 ROWS_PER_FILE = 5_000
@@ -160,3 +162,47 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = tables.sightings(spark, sf_dir).select("obs_id", "l2_domain", "facts", "observed_at")
     I.stream_widened(_replayed(obs), root).awaitTermination()
     return I.merged_windows(spark, root)
+
+
+PRESENT_ON, SLICES = "2024-01-20", 6
+
+
+@query(
+    "stream_presence",
+    f"""select s.stream, s.l2_domain, s.mac, s.day, count(p.day) as missed,
+         case when count(p.day) >= 3 then 'gone' when count(p.day) > 0 then 'stale' else 'present' end
+           as state
+       from (select connector_id as stream, k.l2_domain, k.mac, max(cast(k.observed_at as date)) as day
+             from keys k join obs o using (obs_id)
+             where cast(k.observed_at as date) <= date '{PRESENT_ON}' group by 1, 2, 3) s
+       left join (select connector_id as stream, cast(observed_at as date) as day,
+               not bool_or(user_id % 150 = 0) as live
+             from obs join events on event_id = obs_id group by 1, 2) p
+         on p.stream = s.stream and p.live and p.day > s.day
+           and p.day > date '{PRESENT_ON}' - 7 and p.day <= date '{PRESENT_ON}'
+       group by 1, 2, 3, 4""",
+)
+def stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys per source as of 20 January, from the state that the month's polls leave behind."""
+    source, root = scratch_path(spark, "stream"), scratch_path(spark, "store")
+    obs = tables.sightings(spark, sf_dir)
+    sighted = obs.select(
+        F.col("connector_id").alias("stream"), F.col("observed_at").alias("at"), F.lit(True).alias("live"),
+        F.col("l2_domain").cast("string").alias("l2_domain"), F.explode(macs()).alias("mac"),
+    )
+    polls = tables.read_table(spark, sf_dir, "events").groupBy(
+        F.col("event_type").alias("stream"), F.col("ts").cast("date").alias("day")
+    ).agg(F.max("ts").alias("at"), (~F.bool_or(F.col("user_id") % 150 == 0)).alias("live"))
+    rows = sighted.unionByName(polls.drop("day"), allowMissingColumns=True)
+    # Slices of five days arrive one after another; inside a slice, rows come in any order.
+    for part in range(SLICES):
+        own = F.least(F.floor((F.dayofmonth("at") - 1) / 5), F.lit(SLICES - 1)) == part
+        rows.where(own).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(source)
+    P.stream_presence(arriving, root, 7, "5 days", SHARDS).awaitTermination()
+    return P.presence_as_of(spark, root, PRESENT_ON, 3).withColumn(
+        "l2_domain", F.col("l2_domain").cast("int")
+    )
+
+
+SHARDS = 4  # of each source's keys
