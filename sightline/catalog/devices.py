@@ -19,6 +19,7 @@ from sightline.operators import devices as D
 from sightline.operators import gaps as G
 from sightline.operators import keys as K
 from sightline.operators import sources as P
+from sightline.operators import subnets as N
 from sightline.operators import verdicts as V
 from sightline.sources import tables
 
@@ -89,6 +90,71 @@ def b_device_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.devices(tables.sightings(spark, sf_dir))
 
 
+_SIDES = """
+switch as (
+  select l2_domain || '/' || f.value as node, arg_max(peer_mac, (observed_at, obs_id)) as side
+  from obs join facts f using (obs_id) where f.field = 'mac' and peer_mac is not null group by 1),
+walk as (
+  select node, side, 0 as dist from switch
+  union
+  select e.b, w.side, w.dist + 1 from walk w
+  join (select a, b from edges union select b, a from edges) e on e.a = w.node where w.dist < 8),
+nearest as (select node, arg_min(side, (dist, side)) as side from walk group by 1),
+kept as (
+  select a, b from edges e left join nearest x on x.node = e.a left join nearest y on y.node = e.b
+  where x.side is not distinct from y.side),
+held as (
+  select node, node as label from nodes
+  union
+  select r.node, e.b from held r join (select a, b from kept union select b, a from kept) e
+    on e.a = r.label)"""
+
+
+@query(
+    "b_device_parted",
+    """select cast(split_part(node, '/', 1) as int) as l2_domain, split_part(node, '/', 2) as mac,
+         any_value(side) as switch, min(label) as device
+       from held left join nearest using (node) where node not like 'name/%' group by node""",
+    _NODES,
+    _SIDES,
+)
+def b_device_parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices cut where interfaces were last seen behind different switches."""
+    return D.parted_devices(tables.sightings(spark, sf_dir))
+
+
+_BORNE = """
+edges as (
+  select distinct l2_domain || '/' || mac as a, 'name/' || l2_domain || '/' || hostname as b
+  from obs where mac is not null and hostname <> ''),
+nodes as (
+  select l2_domain || '/' || mac as node from obs where mac is not null union select b from edges)"""
+
+
+@query(
+    "b_device_bearers",
+    """select distinct o.l2_domain, '00:00:5e:00:01:' || substr(mac2, 13, 2) as virtual_mac, device
+       from obs o join (select node, min(label) as device from reach group by 1) r
+         on r.node = o.l2_domain || '/' || o.mac where mac2 is not null""",
+    _BORNE,
+    _REACH,
+)
+def b_device_bearers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second macs spelled as virtual routers, and the devices that bear them."""
+    spelled = F.transform(
+        "facts",
+        lambda f: f.withField(
+            "Mac.addr",
+            F.when(
+                f["Mac"]["addr"].startswith("02:00:5e:01:"),
+                F.concat(F.lit("00:00:5e:00:01:"), F.substring(f["Mac"]["addr"], 13, 2)),
+            ).otherwise(f["Mac"]["addr"]),
+        ),
+    )
+    obs = tables.sightings(spark, sf_dir).withColumn("facts", spelled)
+    return D.borne(obs, D.devices(obs))
+
+
 _CLASSES = """
 spelled as (
   select obs_id, case obs_id % 5 when 0 then '00:00:5e:00:01:' || mac[-2:]
@@ -269,6 +335,51 @@ def b_ip_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clash.unionByName(static)
 
 
+_SPANS = """
+spans as (
+  select connector_id as stream, min(n) as low, max(n) as high from (
+    select connector_id, list_reduce([cast(x as bigint) for x in string_split(ipv4, '.')],
+      lambda a, b: a * 256 + b) as n from obs) group by 1)"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream, low, high): from the lowest to the highest address that each source saw."""
+    number = P.ipv4_to_long(F.col("ipv4"))
+    return tables.sighting_columns(spark, sf_dir).groupBy(F.col("connector_id").alias("stream")).agg(
+        F.min(number).alias("low"), F.max(number).alias("high")
+    )
+
+
+@query(
+    "b_range_cidrs",
+    """select stream, low, high, concat_ws('.', (n >> 24) & 255, (n >> 16) & 255, (n >> 8) & 255, n & 255)
+           || '/' || cast(32 - k as varchar) as cidr
+       from (select distinct stream, low, high, k, unnest([low >> k, (low >> k) + 1, greatest((high >> k) - 1, 0), high >> k])
+               << k as n from spans, (select unnest(range(33)) as k))
+       where n >= low and n + (1::bigint << k) - 1 <= high and not (
+         (n >> (k + 1)) << (k + 1) >= low
+         and ((n >> (k + 1)) << (k + 1)) + (1::bigint << (k + 1)) - 1 <= high)""",
+    _SPANS,
+)
+def b_range_cidrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest aligned blocks inside the range of each source."""
+    return N.range_cidrs(_spans(spark, sf_dir))
+
+
+@query(
+    "b_static_in_span",
+    """select stream, entity_id, ipv4 from spans join (
+         select entity_id, ipv4, list_reduce([cast(x as bigint) for x in string_split(ipv4, '.')],
+           lambda a, b: a * 256 + b) as n from declared_wide) on n between low and high""",
+    _SPANS,
+)
+def b_static_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared addresses inside the range of each source, wide as it may be."""
+    spans = _spans(spark, sf_dir).withColumnRenamed("stream", "range_id")
+    found = P.static_in_dhcp(tables.declared(spark, sf_dir), spans)
+    return found.withColumnRenamed("range_id", "stream")
+
+
 @query(
     "b_alerts",
     f"""select 'unknown_device' as kind, ipv4 from (select distinct ipv4 from obs

@@ -37,6 +37,27 @@ def long_to_ipv4(number: Column) -> Column:
     return F.concat_ws(".", *octets)
 
 
+def aligned_blocks(low: Column, high: Column) -> Column:
+    """The aligned power-of-two blocks that make up [low, high]: at most 62, as (level, block).
+
+    A block holds the numbers with ``number >> level = block``.  At each level only the block at either end
+    can be in no larger one: the first where its place is odd, the last where the place after it is.
+    """
+
+    def ends(k: Column) -> Column:
+        first = F.call_function("shiftright", low + F.pow(F.lit(2), k).cast("bigint") - 1, k)
+        after = F.call_function("shiftright", high + 1, k)
+        some = first < after
+        pick = lambda test, block: F.when(
+            some & test, F.struct(k.alias("level"), block.alias("block"))
+        )
+        return F.array(
+            pick(F.pmod(first, F.lit(2)) == 1, first), pick(F.pmod(after, F.lit(2)) == 1, after - 1)
+        )
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(32)), ends)))
+
+
 def is_documentation_ip(text: Column) -> Column:
     test = F.lit(False)
     for prefix in DOCUMENTATION_PREFIXES:

@@ -8,6 +8,8 @@ has many macs, and that verdict would block every grouping.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,6 +221,93 @@ def devices(obs: DataFrame) -> DataFrame:
     )
 
 
+def switches(obs: DataFrame) -> DataFrame:
+    """(node, side): the switch behind which an interface was seen last, of those seen behind one."""
+    own = F.filter(macs(), lambda m: ~is_virtual_mac(m))
+    behind = F.array_compact(F.col("facts.Uplink.peer_mac"))
+    rows = obs.select("obs_id", "observed_at", "l2_domain", once_per_row(macs=own, behind=behind)).where(
+        "size(behind) > 0"
+    )
+    return (
+        rows.select("*", F.explode("macs").alias("mac"))
+        .groupBy(F.concat_ws("/", F.col("l2_domain").cast("string"), "mac").alias("node"))
+        .agg(F.max_by(F.array_min("behind"), F.struct("observed_at", "obs_id")).alias("side"))
+    )
+
+
+def sided(edges: DataFrame, sides: DataFrame) -> DataFrame:
+    """(node, side): nodes take the side of the nearest one that has a side, the least of equally near ones.
+
+    Walked breadth first from all of them at once.  Neighbours are at most one step apart in distance, so
+    what a step reaches anew is told by the last two frontiers; earlier ones are neither read nor written.
+    Nodes that reach no side are left out.
+    """
+    links = cut(neighbours(edges))
+    degrees = cut(links.groupBy("a").agg(F.count("*").alias("degree")))
+    frontier = cut(sides.select("node", "side"))
+    before, parts = frontier.limit(0), [frontier]
+    while True:
+        offered = (
+            lookup(links, frontier.withColumnRenamed("node", "a"), ["a"], "degree", "b", weights=degrees)
+            .groupBy(F.col("b").alias("node"))
+            .agg(F.min("side").alias("side"))
+        )
+        near = frontier.select("node").unionByName(before.select("node"))
+        before, frontier = frontier, cut(offered.join(near, "node", "left_anti"))
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(frontier)
+
+
+def parted(edges: DataFrame, sides: DataFrame) -> DataFrame:
+    """(node, side, label): components after cutting every edge between different sides.
+
+    Two nodes of different sides disqualify each other, so no component may hold both: each node goes with
+    the nearest evidence, and edges stay inside a side.  Pairs are never listed.
+    """
+    found = cut(sided(edges, sides))
+    links = cut(neighbours(edges))
+    for end in ("a", "b"):
+        own = found.select(F.col("node").alias(end), F.col("side").alias(f"{end}_side"))
+        weights = links.groupBy(end).agg(F.count("*").alias("degree"))
+        other = "b" if end == "a" else "a"
+        links = lookup(links, own, [end], "degree", other, how="left", weights=weights)
+    labels = components(links.where(F.col("a_side").eqNullSafe(F.col("b_side"))).select("a", "b"))
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    return (
+        nodes.distinct()
+        .join(found, "node", "left")
+        .join(labels, "node", "left")
+        .select("node", "side", F.coalesce("label", "node").alias("label"))
+    )
+
+
+def parted_devices(obs: DataFrame) -> DataFrame:
+    """(l2_domain, mac, switch, device): devices none of which was seen last behind two switches."""
+    edges = cut(interface_edges(obs))
+    return (
+        parted(edges, switches(obs))
+        .where("not startswith(node, 'name/')")
+        .select(
+            F.substring_index("node", "/", 1).cast("int").alias("l2_domain"),
+            F.substring_index("node", "/", -1).alias("mac"),
+            F.col("side").alias("switch"),
+            F.col("label").alias("device"),
+        )
+    )
+
+
+def borne(obs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(l2_domain, virtual_mac, device): a virtual device is borne by any number of devices, and they by it.
+
+    ``grouped`` is (l2_domain, mac, device).
+    """
+    own = grouped.select("l2_domain", F.col("mac").alias("bearer"), "device")
+    return bearers(obs).join(own, ["l2_domain", "bearer"]).select(
+        "l2_domain", "virtual_mac", "device"
+    ).distinct()
+
+
 def bearers(obs: DataFrame) -> DataFrame:
     """(l2_domain, virtual_mac, bearer): own macs sighted together with a virtual one."""
     each = obs.select("l2_domain", F.explode(macs()).alias("virtual_mac"), macs().alias("macs"))

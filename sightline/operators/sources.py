@@ -22,6 +22,7 @@ from sightline.functions.facts import (
 )
 from sightline.operators import gaps as G
 from sightline.operators.triage import instant
+from sightline.operators.subnets import in_ranges
 from sightline.plans.skew import lookup
 
 
@@ -180,21 +181,9 @@ def ip_conflicts(obs: DataFrame) -> DataFrame:
 
 
 def static_in_dhcp(declared: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Declared addresses inside a DHCP range; ``ranges`` is (range_id, low, high) as BIGINT.
-
-    A range is cut into /24 buckets, so the join is an equality with a filter.
-    """
-    buckets = ranges.select(
-        "range_id", "low", "high",
-        F.explode(F.sequence(int_div(F.col("low"), 256), int_div(F.col("high"), 256))).alias("_b"),
-    )
+    """Declared addresses inside a DHCP range; ``ranges`` is (range_id, low, high) as BIGINT."""
     own = G.identities(declared).withColumn("_n", ipv4_to_long(F.col("ipv4")))
-    return (
-        own.withColumn("_b", int_div(F.col("_n"), 256))
-        .join(buckets, "_b")
-        .where("_n between low and high")
-        .select("entity_id", "ipv4", "range_id")
-    )
+    return in_ranges(own, ranges, "_n", "entity_id").select("entity_id", "ipv4", "range_id")
 
 
 def alerts(declared: DataFrame, obs: DataFrame, now: str, days: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.address import ipv4_to_long, is_ipv4, long_to_ipv4
+from sightline.functions.address import aligned_blocks, ipv4_to_long, is_ipv4, long_to_ipv4
+from sightline.plans.lineage import cut
+from sightline.plans.skew import lookup
 
 # Prefixes shorter than this are refused as too large.
 SHORTEST_PREFIX = 22
@@ -56,6 +58,38 @@ def subnet_hosts(cidrs: DataFrame) -> DataFrame:
     )
 
 
+def range_blocks(ranges: DataFrame) -> DataFrame:
+    """Each range (low, high as BIGINT) as the aligned blocks it is made of, whatever its width."""
+    blocks = F.explode(aligned_blocks(F.col("low"), F.col("high")))
+    return ranges.select("*", blocks.alias("_cut")).select(
+        *ranges.columns, F.col("_cut.level").alias("level"), F.col("_cut.block").alias("block")
+    )
+
+
+def range_cidrs(ranges: DataFrame) -> DataFrame:
+    """Each range as the fewest cidrs that cover it and nothing else."""
+    first = F.call_function("shiftleft", F.col("block"), F.col("level"))
+    cidr = F.concat_ws("/", long_to_ipv4(first), (32 - F.col("level")).cast("string"))
+    return range_blocks(ranges).select(*ranges.columns, cidr.alias("cidr"))
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, number: str, spread_on: str) -> DataFrame:
+    """Each row with every range holding its number: an equality on the block, at the levels in use.
+
+    A range is at most 62 rows and a row at most 33, however wide the ranges; blocks that many rows fall
+    into are salted by ``spread_on``.
+    """
+    blocks = cut(range_blocks(ranges))
+    levels = sorted(r.level for r in blocks.select("level").distinct().collect())  # at most 33
+    every = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
+    place = F.call_function("shiftright", F.col(number), F.col("level"))
+    met = rows.where(F.col(number).isNotNull()).withColumn("level", every).withColumn("block", place)
+    weights = met.groupBy("level", "block").agg(F.count("*").alias("_n"))
+    return lookup(
+        met, blocks, ["level", "block"], "_n", spread_on, weights=weights
+    ).drop("level", "block")
+
+
 def subnet_of(address: Column) -> Column:
     """The /24 an address lies in, as ``a.b.c.0/24``."""
     return F.concat(F.substring_index(address, ".", 3), F.lit(".0/24"))
