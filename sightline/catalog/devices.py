@@ -21,6 +21,8 @@ from sightline.operators import keys as K
 from sightline.operators import sources as P
 from sightline.operators import subnets as N
 from sightline.operators import verdicts as V
+from sightline.plans.lineage import scratch_path
+from sightline.sources import rollup as R
 from sightline.sources import tables
 
 _PORTS = """
@@ -300,6 +302,24 @@ def b_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.address_history(obs).join(kept, ["ipv4", "mac"], "left").fillna(0, ["kept"])
 
 
+@query(
+    "b_retention_rollup",
+    """select o.ipv4, f.value as mac, min(o.observed_at) as first_seen_at,
+         max(o.observed_at) as last_seen_at, count(*) as sightings
+       from obs o join facts f using (obs_id) where f.field = 'mac' group by 1, 2""",
+)
+def b_retention_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history by daily parts: ten days at a time, some rolled twice, folded twice on the way."""
+    root = scratch_path(spark, "rollup")
+    obs = tables.sightings(spark, sf_dir).select("observed_at", "facts")
+    for first, last, cutoff in ((0, 10, None), (8, 20, "2024-01-09"), (20, 4000, "2024-01-21")):
+        days = F.date_diff(F.col("observed_at"), F.lit("2024-01-01").cast("date"))
+        R.roll(obs.where(days.between(first, last - 1)), root)
+        if cutoff:
+            R.fold(spark, root, cutoff)
+    return R.history(spark, root)
+
+
 _CLASH = """
 clash as (
   select o.ipv4, count(distinct o.l2_domain || '/' || f.value) as keys

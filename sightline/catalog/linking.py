@@ -11,6 +11,7 @@ from sightline.functions import facts as X
 from sightline.operators import devices, keys, links, verdicts
 from sightline.operators import quality as Q
 from sightline.plans.lineage import cut, scratch_path
+from sightline.plans.multiset import compared
 from sightline.sources import store, tables
 
 
@@ -599,10 +600,7 @@ def scd2_purge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     replayed = links.resolve(
         obs, done.interfaces, links.purge(table), "replay", check=False
     ).links
-    before, after = cut(links.decisions(table)), cut(links.decisions(replayed))
-    lost = before.exceptAll(after).agg(F.count("*").alias("lost"))
-    gained = after.exceptAll(before).agg(F.count("*")).scalar()
-    return lost.select("lost", gained.alias("gained"), after.agg(F.count("*")).scalar().alias("kept"))
+    return compared(links.decisions(table), links.decisions(replayed))
 
 
 @query(

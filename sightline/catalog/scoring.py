@@ -12,6 +12,7 @@ from sightline.functions.facts import int_div
 from sightline.operators import evaluate as E
 from sightline.operators import links, robust
 from sightline.plans.ordering import with_position
+from sightline.plans.multiset import compared
 from sightline.sources import tables
 
 
@@ -403,8 +404,6 @@ def rob_order_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = robust.shuffled(obs, "obs_id", 7)
     none = links.empty_interfaces(obs)
     straight, other = links.desired(obs, none), links.desired(mixed, none)
-    lost = straight.exceptAll(other).agg(F.count("*").alias("lost"))
-    gained = other.exceptAll(straight).agg(F.count("*")).scalar()
-    return lost.select("lost", gained.alias("gained"), straight.agg(F.count("*")).scalar().alias("kept"))
+    return compared(straight, other)
 
 
