@@ -12,6 +12,8 @@ CHECKED = [
     "join_declared_observed", "agg_abstentions", "tri_queue", "win_witness", "pair_decide",
     "scd2_resolve", "dq_undeclared_kind", "dq_line_shape", "eval_report", "rob_mask_capability",
     "gen_subnet_hosts", "agg_occupancy", "b_device_grouping", "b_presence", "stream_late",
+    "b_device_parted", "b_device_bearers", "b_range_cidrs", "b_static_in_span", "b_retention_rollup",
+    "rob_order_free",
 ]
 
 
