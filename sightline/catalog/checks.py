@@ -289,7 +289,8 @@ _SPELLED = f"""
 texts as (select 'd' || cast(doc_id as varchar) as id, text from documents
   union all select 'p' || cast(page_id as varchar), html from pages
   union all select 'o' || cast(obs_id as varchar), raw || ' ' || ipv4 || ' ' ||
-    replace(coalesce(mac, '00:00:5e:00:01:07'), ':', '-') from obs where raw is not null),
+    replace(coalesce(mac, '00:00:5e:00:01:07'), ':', '-') from obs where raw is not null
+  union all select case_id, reason || ', seen at ' || ipv4 from labelled join obs on obs_id = first_id),
 spelled as (select id, unnest(regexp_extract_all(replace(text, '-', ':'),
   '(^|[^0-9a-fA-F])((?:[0-9a-fA-F]{{2}}:){{5}}[0-9a-fA-F]{{2}}|{_O}(?:\\.{_O}){{3}})', 2)) as s from texts)"""
 
@@ -304,7 +305,7 @@ spelled as (select id, unnest(regexp_extract_all(replace(text, '-', ':'),
     _SPELLED,
 )
 def dq_text_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses in whole documents, whole pages and raw notes."""
+    """Addresses in whole documents, whole pages, raw notes and the reasons of labels."""
     docs = tables.read_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text"
     )
@@ -317,7 +318,14 @@ def dq_text_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("o"), F.col("obs_id").cast("string")).alias("id"),
         F.concat_ws(" ", "raw", "ipv4", F.replace(mac, F.lit(":"), F.lit("-"))).alias("text"),
     )
-    return Q.text_addresses(docs.unionByName(pages).unionByName(notes))
+    seen = tables.sighting_columns(spark, sf_dir).select("obs_id", "ipv4")
+    labels = tables.labelled_pairs(spark, sf_dir).select(
+        "case_id", "reason", F.col("observations")[0].alias("obs_id")
+    )
+    reasons = labels.join(seen, "obs_id").select(
+        F.col("case_id").alias("id"), F.concat_ws(", seen at ", "reason", "ipv4").alias("text")
+    )
+    return Q.text_addresses(docs.unionByName(pages).unionByName(notes).unionByName(reasons))
 
 
 def flawed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
