@@ -265,10 +265,26 @@ def agg_last_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.last_observed(tables.sightings(spark, sf_dir))
 
 
-@query("agg_dashboard_pending", "select (select count(*) from obs) > 0 and 0 = 1 as pending")
+@query(
+    "agg_dashboard_pending",
+    """select 'linked' as asked, (select count(*) from obs) > 0 and (select count(*) from obs) = 0 as pending
+       union all select 'before the first pass', (select count(*) from obs) > 0
+       union all select 'nothing seen', (select count(*) from obs where obs_id < 0) > 0""",
+)
 def agg_dashboard_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after a pass, before the first one, and with neither sightings nor links."""
     obs = tables.sightings(spark, sf_dir)
-    return triage.dashboard_pending(obs, engine_links(obs))
+    made = engine_links(obs)
+    asked = {
+        "linked": (obs, made),
+        "before the first pass": (obs, made.where("false")),
+        "nothing seen": (obs.where("obs_id < 0"), made.where("false")),
+    }
+    rows = [
+        triage.dashboard_pending(seen, links).select(F.lit(name).alias("asked"), "pending")
+        for name, (seen, links) in asked.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query(
