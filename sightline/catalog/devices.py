@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
 from sightline.catalog.linking import (
     DIFF,
+    INTERFACE,
     earlier_sightings,
     pairs_of,
     second_pass,
@@ -17,11 +20,13 @@ from sightline.catalog.registry import EARLIER, NOW, query
 from sightline.functions.facts import macs
 from sightline.operators import devices as D
 from sightline.operators import gaps as G
+from sightline.operators import history as H
 from sightline.operators import keys as K
+from sightline.operators import lattice as L
 from sightline.operators import sources as P
 from sightline.operators import subnets as N
 from sightline.operators import verdicts as V
-from sightline.plans.lineage import scratch_path
+from sightline.plans.lineage import cut, scratch_path
 from sightline.sources import rollup as R
 from sightline.sources import tables
 
@@ -628,3 +633,188 @@ def b_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return D.monotone(V.decide_l1(asked, obs), V.decide_l1(asked, masked))
 
+
+
+_LATTICE = """
+said as (
+  select 'interface' as level, low, high, verdict, 1 as needs, 0 as lacks from pair_l1
+  union all
+  select 'interface', p.low, p.high, case when a.hostname = b.hostname then 'Supports' else 'Opposes' end, 4, 0
+  from pairs p join obs a on a.obs_id = p.low join obs b on b.obs_id = p.high
+  where a.hostname <> '' and b.hostname <> ''
+  union all
+  select 'device', low, high, case when verdict = 'Neutral' then 'Decisive' else verdict end,
+    case when rule like 'l2-hostname%' or rule = 'l2-different-hostname' then 4 else 16 end,
+    case when verdict = 'Neutral' then 4 else 0 end
+  from l2),
+under_mask as (
+  select s.level, s.low, s.high, t.m,
+    case when max(case when verdict = 'Disqualifying' and (m & needs) = needs and (m & lacks) = 0 then 1 else 0 end) = 1
+           then 'no_match'
+         when max(case when verdict = 'Decisive' and (m & needs) = needs and (m & lacks) = 0 then 1 else 0 end) = 1
+          and max(case when verdict = 'Opposes' and (m & needs) = needs and (m & lacks) = 0 then 1 else 0 end) = 0
+           then 'match' else 'abstained' end as outcome
+  from said s, (select unnest(range(128)) as m) t group by 1, 2, 3, 4)"""
+
+
+def _lattice(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    obs = tables.sightings(spark, sf_dir)
+    asked = pairs_of(tables.labelled_pairs(spark, sf_dir))
+    return {
+        "interface": L.outcomes(L.interface_verdicts(asked, obs)),
+        "device": L.outcomes(L.device_verdicts(asked, obs)),
+    }
+
+
+def _levels(found: dict[str, DataFrame], asked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    rows = [asked(df).withColumn("level", F.lit(level)) for level, df in found.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query(
+    "b_lattice_outcomes",
+    """select level, low, high, count(*) filter (outcome = 'match') as match_sets,
+         count(*) filter (outcome = 'no_match') as no_match_sets
+       from under_mask group by 1, 2, 3""",
+    _PORTS,
+    _LATTICE,
+)
+def b_lattice_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the 128 sets of capabilities, how many make each labelled pair a match or not."""
+    return _levels(_lattice(spark, sf_dir), L.sets_per_outcome)
+
+
+@query(
+    "b_lattice",
+    """select a.level, a.low, a.high, k.kind as lost, count(*) as edges
+       from (select unnest(['Mac','IpV4','Hostname','DhcpLease','Uplink','OuiVendor','Rtt']) as kind,
+               unnest(range(7)) as i) k
+       join under_mask a on (a.m & (1 << k.i)) <> 0
+       join under_mask b on b.level = a.level and b.low = a.low and b.high = a.high
+         and b.m = a.m - (1 << k.i)
+       where b.outcome <> 'abstained' and b.outcome <> a.outcome group by 1, 2, 3, 4""",
+    _PORTS,
+    _LATTICE,
+)
+def b_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs that the loss of one kind makes more certain, or turns over, under some set."""
+    return _levels(_lattice(spark, sf_dir), L.violations)
+
+
+_HISTORY = (
+    """
+worn as (
+  select k.l2_domain, k.mac, k.obs_id, k.observed_at, o.ipv4, o.hostname from keys k join obs o using (obs_id)),
+turned as (
+  select *, case when lag(obs_id) over w is not null and lag(ipv4) over w is not distinct from ipv4
+                  and lag(hostname) over w is not distinct from hostname then 0 else 1 end as turn
+  from worn window w as (partition by l2_domain, mac order by observed_at, obs_id)),
+runs as (
+  select *, sum(turn) over (partition by l2_domain, mac order by observed_at, obs_id) as stretch from turned),
+stretches as (
+  select *, lead(first_seen_at) over (partition by l2_domain, mac order by stretch) as until
+  from (select l2_domain, mac, cast(stretch as bigint) as stretch, ipv4, hostname, count(*) as sightings,
+          min(observed_at) as first_seen_at, max(observed_at) as last_seen_at from runs group by 1, 2, 3, 4, 5))""",
+    f"""
+placed as (select distinct {INTERFACE} as interface_id, l2_domain, mac from keys k),
+versions as (
+  select i.l2_domain, i.mac, w.valid_from, false as ended
+  from desired w join placed i using (interface_id)
+  where not exists (select 1 from actions a where a.observation_id = w.observation_id
+                    and a.subject = w.subject and a.action = 'unchanged')
+  union all
+  select i.l2_domain, i.mac, h.valid_from, a.action <> 'unchanged'
+  from desired0 h join placed i using (interface_id)
+  join actions a on a.observation_id = h.observation_id and a.subject = h.subject),
+version_in as (
+  select v.l2_domain, v.mac, s.stretch, v.ended from versions v asof join
+    (select l2_domain, mac, first_seen_at, max(stretch) as stretch from stretches group by 1, 2, 3) s
+    on s.l2_domain = v.l2_domain and s.mac = v.mac and v.valid_from >= s.first_seen_at),
+history as (
+  select s.*, coalesce(n.versions, 0) as versions, coalesce(n.ended, 0) as ended
+  from stretches s left join (select l2_domain, mac, stretch, count(*) as versions,
+      count(*) filter (ended) as ended from version_in group by 1, 2, 3) n using (l2_domain, mac, stretch))""",
+)
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs, _, done = second_pass(spark, sf_dir)
+    return H.with_versions(H.address_history(obs), H.versions_of(done.links, done.interfaces))
+
+
+@query(
+    "b_address_history",
+    """select l2_domain, mac, stretch, ipv4, hostname, first_seen_at, last_seen_at, until, sightings,
+         versions, ended from history""",
+    *DIFF,
+    *_HISTORY,
+)
+def b_address_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every interface under one address and name, with the link versions begun in it."""
+    return _history(spark, sf_dir)
+
+
+@query(
+    "b_decision_history",
+    f"""select observation_id, nullif(subject, '{S.NIL_ID}') as interface_id, outcome, rule_id,
+          cause as abstention_cause, min(valid_from) as valid_from, max(valid_to) as valid_to,
+          count(*) as versions
+        from (select *, sum(fresh) over (partition by observation_id, subject order by valid_from, valid_to)
+                as run
+              from (select *, case when lag(outcome) over w = outcome
+                        and lag(rule_id) over w is not distinct from rule_id
+                        and lag(cause) over w is not distinct from cause
+                        and lag(valid_to) over w = valid_from then 0 else 1 end as fresh
+                    from held window w as (partition by observation_id, subject order by valid_from, valid_to)))
+        group by observation_id, subject, outcome, rule_id, cause, run""",
+    *DIFF,
+    f"""
+held as (
+  select observation_id, subject, outcome, rule_id, cause, valid_from, timestamp '{S.OPEN_END}' as valid_to
+  from desired w where not exists (select 1 from actions a where a.observation_id = w.observation_id
+    and a.subject = w.subject and a.action = 'unchanged')
+  union all
+  select h.observation_id, h.subject, h.outcome, h.rule_id, h.cause, h.valid_from,
+    case when a.action = 'unchanged' then timestamp '{S.OPEN_END}' else a.at end
+  from desired0 h join actions a on a.observation_id = h.observation_id and a.subject = h.subject)""",
+)
+def b_decision_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was decided of each sighting and how long it held; new evidence alone starts no new interval."""
+    _, _, done = second_pass(spark, sf_dir)
+    return H.decision_history(done.links).drop("decided_by")
+
+
+@query(
+    "b_full_record",
+    """select t.term, w.*, coalesce(i.instances, 0) as instances
+       from (select distinct lower(attr_value) as term from declared
+             where attr_key in ('ipv4', 'hostname', 'mac')) t
+       join (select distinct l2_domain, mac, unnest([ipv4, mac, lower(hostname)]) as term from history) h
+         on h.term = t.term
+       join (select l2_domain, mac, min(first_seen_at) as first_seen_at, max(last_seen_at) as last_seen_at,
+               count(*) as stretches, sum(sightings)::bigint as sightings, sum(versions)::bigint as versions,
+               sum(ended)::bigint as ended, arg_max_null(ipv4, stretch) as ipv4,
+               arg_max_null(hostname, stretch) as hostname from history group by 1, 2) w
+         on w.l2_domain = h.l2_domain and w.mac = h.mac
+       left join (select mac, count(distinct p_brand) as instances from declared_wide
+           join orders on o_custkey = entity_id join lineitem on l_orderkey = o_orderkey
+           join part on p_partkey = l_partkey where mac is not null group by 1) i on i.mac = w.mac""",
+    *DIFF,
+    *_HISTORY,
+)
+def b_full_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of each interface that ever wore a declared address, mac or name.
+
+    Customers stand in for declared devices, and the brands of the parts they ordered for their software.
+    """
+    declared = tables.declared(spark, sf_dir)
+    terms = declared.where("attr_key in ('ipv4', 'hostname', 'mac')").select(F.col("attr_value").alias("term"))
+    orders = tables.read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("entity_id"))
+    lines = tables.read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    brands = tables.read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    of = declared.where("attr_key = 'mac'").select("entity_id", F.col("attr_value").alias("mac"))
+    runs = lines.join(orders, "o_orderkey").join(brands, "l_partkey").select("entity_id", "p_brand").distinct()
+    hosted = of.join(runs, "entity_id").select("mac", "p_brand").distinct().groupBy("mac").agg(
+        F.count("*").alias("instances")
+    )
+    return H.records(cut(_history(spark, sf_dir)), terms, hosted)

@@ -13,7 +13,8 @@ CHECKED = [
     "scd2_resolve", "dq_undeclared_kind", "dq_line_shape", "eval_report", "rob_mask_capability",
     "gen_subnet_hosts", "agg_occupancy", "b_device_grouping", "b_presence", "stream_late",
     "b_device_parted", "b_device_bearers", "b_range_cidrs", "b_static_in_span", "b_retention_rollup",
-    "rob_order_free",
+    "rob_order_free", "b_lattice", "b_lattice_outcomes", "b_address_history", "b_decision_history",
+    "b_full_record",
 ]
 
 
