@@ -61,6 +61,41 @@ def src_stream_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(wire.parse_lines(written_lines(spark, sf_dir)))
 
 
+LINES_PER_FILE = 1_000
+
+
+@query(
+    "src_stream_lines",
+    f"""select stream, file, record, cast(obs_id as varchar) as obs_id, n - 1 + controls as seq from (
+          select stream, seq // {LINES_PER_FILE} as file, record, obs_id,
+            row_number() over w as n, count(*) filter (record <> 'observation') over w as controls
+          from feed window w as (partition by stream, seq // {LINES_PER_FILE} order by seq
+            rows between unbounded preceding and current row))""",
+)
+def src_stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's line in its file, where a blank line stands before every control record.
+
+    A file holds what arrived under 1,000 consecutive numbers, so files are many and of bounded length.
+    """
+    path = scratch_path(spark, "blocks")
+    control = F.when(F.col("record") == "observation", "").otherwise("\n")
+    lines = tables.feed(spark, sf_dir).select(
+        "stream",
+        X.int_div(F.col("seq"), LINES_PER_FILE).alias("file"),
+        "seq",
+        F.concat(control, wire.record_json()).alias("value"),
+    )
+    # All lines of a file are in one, in order.
+    dealt = lines.repartition("stream", "file").sortWithinPartitions("stream", "file", "seq")
+    dealt.select("stream", "file", "value").write.partitionBy("stream", "file").text(path)
+    records = wire.parse_lines(wire.read_lines(spark, path))
+    return records.select(
+        F.regexp_extract("stream", "stream=([^/]+)/", 1).alias("stream"),
+        F.regexp_extract("stream", "file=([0-9]+)/", 1).cast("bigint").alias("file"),
+        "record", "obs_id", "seq",
+    )
+
+
 @query("src_observations_only", _PARSED + " where f.obs_id is not null")
 def src_observations_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(wire.observations_only(wire.parse_lines(written_lines(spark, sf_dir))))

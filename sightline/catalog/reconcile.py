@@ -10,6 +10,7 @@ from sightline.catalog.registry import NOW, query
 from sightline.functions import facts as X
 from sightline.operators import documents, robust, subnets, triage
 from sightline.operators import gaps as G
+from sightline.operators import sources as P
 from sightline.sources import tables
 
 Both = tuple[DataFrame, DataFrame]
@@ -314,6 +315,56 @@ def src_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.capability_split(kinds).join(state, "stream")
 
 
+_TAILS = ["/24", "/30", "/33", "/8", "", "/x", None, "/22", "/32", "/21", "/31", "/0"]
+_TAIL_LIST = ", ".join("null" if t is None else f"'{t}'" for t in _TAILS)
+
+
+@query(
+    "src_source_view",
+    """select source, cidr as perimeter, not regexp_full_match(cidr, '.*/(2[2-9]|3[0-2])') as refused,
+         coalesce(array_to_string(list_filter(every, lambda k: list_contains(kinds, k)), '|'), '') as observes,
+         coalesce(array_to_string(list_filter(every, lambda k: not list_contains(kinds, k)), '|'), '') as cannot_see,
+         case when s < 0 then 'ahead' when s < 60 then 'just_now' when s < 3600 then 'minutes'
+              when s < 86400 then 'hours' when s is not null then 'days' end as age_unit,
+         case when s < 60 then null when s < 3600 then s // 60 when s < 86400 then s // 3600
+              else s // 86400 end as age
+       from (select source, cidr, kinds, ['Mac','IpV4','Hostname','DhcpLease','Uplink','OuiVendor','Rtt'] as every,
+               cast(floor(epoch(timestamp '%s') - epoch(last)) as bigint) as s
+             from configured left join (select connector_id, l2_domain, vantage, max(observed_at) as last
+               from obs where obs_id %% 53 <> 0 and obs_id %% 997 <> 1 and vantage < 2 group by 1, 2, 3)
+               using (connector_id, l2_domain, vantage)) where cidr is not null"""
+    % NOW,
+    f"""
+told as (select stream, arg_max(case kinds when 'all' then
+             ['Mac','IpV4','Hostname','DhcpLease','Uplink','OuiVendor','Rtt'] else ['Mac','IpV4','Hostname'] end, seq)
+           as kinds from feed where record = 'capability' group by 1),
+configured as (
+  select connector_id || '/' || cast(l2_domain as varchar) || '/' || cast(vantage as varchar) as source,
+    connector_id, l2_domain, vantage, coalesce(kinds, []) as kinds,
+    '10.' || cast(l2_domain as varchar) || '.' || cast(vantage as varchar) || '.0' ||
+      [{_TAIL_LIST}][l2_domain * 3 + vantage + 1] as cidr
+  from (select distinct connector_id, l2_domain, vantage from obs) left join told on stream = connector_id)""",
+)
+def src_source_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source per scope, with perimeters good, refused and missing; those of one vantage saw nothing."""
+    feed, obs = tables.feed(spark, sf_dir), tables.sightings(spark, sf_dir)
+    kinds = feed.where("record = 'capability'").groupBy(F.col("stream").alias("connector_id")).agg(
+        F.max_by("kinds", "seq").alias("kinds")
+    )
+    scopes = obs.select("connector_id", "l2_domain", "vantage").distinct()
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), F.col("l2_domain") * 3 + F.col("vantage") + 1)
+    text = [F.col(c).cast("string") for c in ("connector_id", "l2_domain", "vantage")]
+    configured = scopes.join(kinds, "connector_id", "left").select(
+        "*",
+        F.concat_ws("/", *text).alias("source"),
+        F.concat(F.lit("10."), text[1], F.lit("."), text[2], F.lit(".0"), tail).alias("cidr"),
+    )
+    # A sighting counts by where it was made, also where its line names another connector.
+    seen = feed.where("record = 'observation' and vantage < 2").withColumn("connector_id", F.col("stream"))
+    shown = P.source_view(configured, seen, NOW)
+    return shown.withColumns({c: F.array_join(c, "|") for c in ("observes", "cannot_see")})
+
+
 # ---------------------------------------------------------------- documents
 
 _FIRST_VALUE = """
@@ -359,6 +410,22 @@ def doc_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.refusals(subjects(obs), obs, declared)
 
 
+@query(
+    "doc_refusals_blind",
+    """select obs_id, reason from (
+         select r.obs_id, case when r.reason is not null and r.reason <> 'already_documented' then r.reason
+             when o.connector_id = 'error' then 'nothing_to_document' else r.reason end as reason
+         from refused r left join obs o using (obs_id)) where reason is not null""",
+    _FIRST_VALUE,
+)
+def doc_refusals_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where one source reports nothing that can be declared by hand."""
+    declared, obs = both(spark, sf_dir)
+    other = F.filter("facts", lambda f: X.declarable_field(f).isNull())
+    facts = F.when(F.col("connector_id") == "error", other).otherwise(F.col("facts"))
+    return documents.refusals(subjects(obs), obs.withColumn("facts", facts), declared)
+
+
 @query(
     "doc_manual",
     """select s_suppkey as entity_id, 'serial' as attr_key, s_name as attr_value, 'manual' as origin

@@ -13,6 +13,7 @@ from sightline import schemas as S
 from sightline.functions.address import ipv4_to_long
 from sightline.functions.facts import (
     addresses,
+    age_bucket,
     declarable_field,
     declarable_value,
     int_div,
@@ -22,7 +23,7 @@ from sightline.functions.facts import (
 )
 from sightline.operators import gaps as G
 from sightline.operators.triage import instant
-from sightline.operators.subnets import in_ranges
+from sightline.operators.subnets import cidr_parts, in_ranges
 from sightline.plans.skew import lookup
 
 
@@ -335,3 +336,28 @@ def hosted(instances: DataFrame, applications: DataFrame) -> DataFrame:
         .cast("bigint")
         .alias("behind"),
     )
+
+
+def source_view(sources: DataFrame, obs: DataFrame, now: str) -> DataFrame:
+    """What each configured source is built to see, over which perimeter, and how long ago it saw anything.
+
+    ``sources`` is (source, connector_id, l2_domain, vantage, cidr, kinds).  Without a cidr there is no
+    source; a cidr that does not expand is shown as refused, never as one in force.  ``kinds`` is what
+    the source declares, not what was seen: the other kinds of the closed list it cannot see.  A source
+    that saw nothing yet has no age.
+    """
+    scope = ["connector_id", "l2_domain", "vantage"]
+    last = obs.groupBy(*scope).agg(F.max("observed_at").alias("_last"))
+    told = cidr_parts(sources.where("cidr is not null")).join(last, scope, "left")
+    every = F.array(*map(F.lit, S.FACT_KINDS))
+    able = F.coalesce("kinds", F.array().cast("array<string>"))
+    age = age_bucket(instant(now), F.col("_last"))
+    return told.select(
+        "source",
+        F.col("cidr").alias("perimeter"),
+        F.col("error").isNotNull().alias("refused"),
+        F.filter(every, lambda k: F.array_contains(able, k)).alias("observes"),
+        F.filter(every, lambda k: ~F.array_contains(able, k)).alias("cannot_see"),
+        F.when(F.col("_last").isNotNull(), age["unit"]).alias("age_unit"),
+        F.when(F.col("_last").isNotNull(), age["n"]).alias("age"),
+    )

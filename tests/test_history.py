@@ -13,6 +13,7 @@ from sightline.catalog.linking import pairs_of
 from sightline.operators import devices as D
 from sightline.operators import history as H
 from sightline.operators import lattice as L
+from sightline.operators import sources as P
 from sightline.operators import verdicts as V
 from sightline.plans import ordering
 from sightline.sources import tables
@@ -143,3 +144,20 @@ def test_records_by_any_term(spark):
         ("10.0.0.1", "m", 2, 6, "10.0.0.2", 3), ("10.0.0.1", "n", 1, 7, "10.0.0.1", 0),
         ("m", "m", 2, 6, "10.0.0.2", 3), ("web", "m", 2, 6, "10.0.0.2", 3),
     ]
+
+
+def test_source_view_of_refused_missing_and_silent_sources(spark):
+    sources = spark.createDataFrame(
+        [("a", "c", 1, 0, "10.0.0.0/24", ["Mac", "Rtt"]), ("b", "c", 1, 1, "nonsense", None),
+         ("c", "c", 1, 2, None, ["Mac"]), ("d", "x", None, 0, "10.0.0.0/8", [])],
+        "source string, connector_id string, l2_domain int, vantage int, cidr string, kinds array<string>",
+    )
+    obs = spark.sql("""select 'c' as connector_id, 1 as l2_domain, v as vantage, at as observed_at from values
+        (0, timestamp_ntz'2024-01-31 22:00:00'), (0, timestamp_ntz'2024-01-01 00:00:00'),
+        (1, timestamp_ntz'2024-02-02 00:00:00') as t(v, at)""")
+    rows = {r.source: r for r in P.source_view(sources, obs, "2024-02-01 00:00:00").collect()}
+    assert {n: (r.refused, r.age_unit, r.age) for n, r in rows.items()} == {
+        "a": (False, "hours", 2), "b": (True, "ahead", None), "d": (True, None, None),
+    }
+    assert rows["a"].observes == ["Mac", "Rtt"] and rows["b"].observes == []
+    assert rows["b"].cannot_see == rows["d"].cannot_see == S.FACT_KINDS

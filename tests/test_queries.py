@@ -14,7 +14,7 @@ CHECKED = [
     "gen_subnet_hosts", "agg_occupancy", "b_device_grouping", "b_presence", "stream_late",
     "b_device_parted", "b_device_bearers", "b_range_cidrs", "b_static_in_span", "b_retention_rollup",
     "rob_order_free", "b_lattice", "b_lattice_outcomes", "b_address_history", "b_decision_history",
-    "b_full_record",
+    "b_full_record", "src_source_view", "doc_refusals_blind", "src_stream_lines",
 ]
 
 
