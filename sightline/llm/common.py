@@ -157,20 +157,22 @@ def seeded(seed: str, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
-def lookup_small(rows: DataFrame, small: DataFrame, key: str, bound: int, spread: str) -> DataFrame:
-    """Null-safe inner join on ``key`` to a settled table with one row per key.
+def lookup_small(
+    rows: DataFrame, small: DataFrame, key: str, bound: int, spread: str, how: str = "inner"
+) -> DataFrame:
+    """Null-safe join on ``key``, inner or left, to a settled table with one row per key.
 
     The table is broadcast only where its row count is within ``bound``; beyond it both sides are
     salted, so a key with any share of the rows is spread over 64 tasks or more.
     """
     known = small.withColumnRenamed(key, "_key")
     if known.count() <= bound:
-        return rows.join(F.broadcast(known), rows[key].eqNullSafe(known["_key"])).drop("_key")
+        return rows.join(F.broadcast(known), rows[key].eqNullSafe(known["_key"]), how).drop("_key")
     salts = max(64, rows.sparkSession.sparkContext.defaultParallelism)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     right = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     match = left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_s"])
-    return left.join(right, match).drop("_key", "_salt", "_s")
+    return left.join(right, match, how).drop("_key", "_salt", "_s")
 
 
 def texts_of(docs: DataFrame, labelled: DataFrame) -> DataFrame:

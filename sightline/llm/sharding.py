@@ -4,18 +4,22 @@ Equal texts form one group, which stays together.  A group's coordinates are ord
 numbers made from its metadata.  Each level picks, for every open node, the widest dimension and
 finds the weighted median by counting: bytes are summed in ``BINS`` equal ranges of the dimension,
 the range holding the median is cut again, until one coordinate is left or the halves are even
-enough.  The driver sees a few sums per node and round, never rows.
+enough.  Cuts are a table with a row per node, joined to the groups: the plan of a level is the same
+for two leaves and for a hundred thousand, and no sums come to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import attached, row_hash, running, seeded, settle
+from sightline.llm.common import attached, lookup_small, row_hash, running, seeded, settle
 
 SHARDS = 8
 BINS = 512
+NODES = 200_000  # cuts that are broadcast; beyond them the join is salted
 EVEN = 1e-4  # a split may miss its share of the node by so much
 TIES = 24  # low bits that order groups of the same value
 
@@ -51,62 +55,78 @@ def grouped(docs: DataFrame) -> DataFrame:
     )
 
 
-def _case(node: Column, values: dict[int, object], kind: str) -> Column:
-    known = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)])
-    return known[node].cast(kind)
-
+def _widest(groups: DataFrame) -> DataFrame:
+    """(node, dim, low, high, below, share, bytes, cut): open nodes with the widest dimension of each.
 
-def _split(groups: DataFrame, leaves: dict[int, int]) -> dict[int, tuple[str, int]]:
-    """For each open node its dimension and the coordinate from which its upper part starts."""
-    spans = groups.where(F.col("node").isin(list(leaves))).groupBy("node").agg(
+    The median lies between ``low`` and ``high`` of that dimension, with ``below`` bytes under ``low``;
+    the lower part is to get ``share`` bytes.
+    """
+    whole = groups.agg(*[(F.max(d) - F.min(d) + 1).alias(d) for d in DIMENSIONS]).first()
+    spans = groups.where("shards > 1").groupBy("node", "shards").agg(
         F.sum("bytes").alias("bytes"),
         *[x for d in DIMENSIONS for x in (F.min(d).alias(f"{d}_0"), F.max(d).alias(f"{d}_1"))],
-    ).collect()  # one row per node
-    whole = groups.agg(*[(F.max(d) - F.min(d) + 1).alias(d) for d in DIMENSIONS]).first()
-    state = {}
-    for r in spans:
-        wide = {d: (r[f"{d}_1"] - r[f"{d}_0"]) / whole[d] for d in DIMENSIONS}
-        dim = max(DIMENSIONS, key=lambda d: wide[d])
-        share = r["bytes"] * (leaves[r["node"]] // 2) / leaves[r["node"]]
-        state[r["node"]] = {"dim": dim, "low": r[f"{dim}_0"], "high": r[f"{dim}_1"] + 1,
-                            "below": 0, "share": share, "bytes": r["bytes"], "cut": None}
-    while open_ := {n: s for n, s in state.items() if s["cut"] is None}:
-        at = F.lit(None).cast("bigint")
-        for d in DIMENSIONS:
-            mine = [n for n, s in open_.items() if s["dim"] == d]
-            at = F.when(F.col("node").isin(mine), F.col(d)).otherwise(at) if mine else at
-        step = {n: max(1, -(-(s["high"] - s["low"]) // BINS)) for n, s in open_.items()}
-        node = F.col("node")
-        rows = groups.where(node.isin(list(open_))).select("node", "bytes", at.alias("at"))
-        rows = rows.withColumn("low", _case(node, {n: s["low"] for n, s in open_.items()}, "bigint"))
-        inside = (F.col("at") >= F.col("low")) & (
-            F.col("at") < _case(node, {n: s["high"] for n, s in open_.items()}, "bigint")
-        )
-        bin_ = ((F.col("at") - F.col("low")) / _case(node, step, "bigint")).cast("int")
-        sums: dict[int, dict[int, int]] = {}
-        for r in rows.where(inside).groupBy("node", bin_.alias("bin")).agg(F.sum("bytes").alias("b")).collect():
-            sums.setdefault(r["node"], {})[r["bin"]] = r["b"]  # at most BINS rows per node
-        for n, s in open_.items():
-            below, last = s["below"], None
-            for b in sorted(sums.get(n, {})):
-                if below + sums[n][b] > s["share"]:
-                    last = b
-                    break
-                below += sums[n][b]
-            if last is None:
-                s["cut"] = s["high"]
-                continue
-            low, over = s["low"] + last * step[n], below + sums[n][last]
-            near = EVEN * s["bytes"]
-            if s["share"] - below <= near:
-                s["cut"] = low
-            elif over - s["share"] <= near:
-                s["cut"] = low + step[n]
-            elif step[n] == 1:
-                s["cut"] = low if s["share"] - below <= over - s["share"] else low + 1
-            else:
-                s.update(low=low, high=min(s["high"], low + step[n]), below=below)
-    return {n: (s["dim"], s["cut"]) for n, s in state.items()}
+    )
+    wide = [(F.col(f"{d}_1") - F.col(f"{d}_0")) / F.lit(float(whole[d] or 1)) for d in DIMENSIONS]
+    dim = F.array_position(F.array(*wide), F.greatest(*wide)).cast("int")
+    spans = spans.withColumn("dim", dim)
+    low, high = (F.element_at(F.array(*[f"{d}_{i}" for d in DIMENSIONS]), F.col("dim")) for i in (0, 1))
+    return spans.select(
+        "node", "dim", low.alias("low"), (high + 1).alias("high"), F.lit(0).cast("bigint").alias("below"),
+        (F.col("bytes") * F.expr("shards div 2") / F.col("shards")).alias("share"), "bytes",
+        F.lit(None).cast("bigint").alias("cut"),
+    )
+
+
+def _at(dim: Column) -> Column:
+    return F.element_at(F.array(*DIMENSIONS), dim)
+
+
+def _narrowed(groups: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` after one round of counting: the range of each median cut again, or its place found."""
+    asked = state.withColumn("step", F.greatest(F.lit(1), F.expr(f"(high - low + {BINS - 1}) div {BINS}")))
+    at = lookup_small(groups, settle(asked, "asked"), "node", NODES, "group").withColumn("at", _at(F.col("dim")))
+    sums = at.where("at >= low and at < high").groupBy("node", F.expr("(at - low) div step").alias("bin")).agg(
+        F.sum("weight").alias("b")
+    )
+    # At most BINS rows per node.
+    upto = Window.partitionBy("node").orderBy("bin")
+    met = sums.withColumn("upto", F.sum("b").over(upto)).join(asked.select("node", "below", "share"), "node")
+    over = met.where("below + upto > share").groupBy("node").agg(
+        F.min(F.struct("bin", "b", "upto")).alias("first")
+    )
+    found = asked.join(over, "node", "left").withColumns({
+        "from": F.col("low") + F.col("first.bin") * F.col("step"),
+        "under": F.col("below") + F.col("first.upto") - F.col("first.b"),
+        "above": F.col("below") + F.col("first.upto"),
+    })
+    short, beyond, near = F.expr("share - under"), F.expr("above - share"), F.lit(EVEN) * F.col("bytes")
+    cut = (
+        F.when(F.col("first").isNull(), F.col("high"))
+        .when(short <= near, F.col("from"))
+        .when(beyond <= near, F.col("from") + F.col("step"))
+        .when(F.col("step") == 1, F.when(short <= beyond, F.col("from")).otherwise(F.col("from") + 1))
+    )
+    return found.select(
+        "node", "dim", F.coalesce("from", "low").alias("low"),
+        F.coalesce(F.least(F.col("high"), F.col("from") + F.col("step")), "high").alias("high"),
+        F.coalesce("under", "below").alias("below"), "share", "bytes", cut.alias("cut"),
+    )
+
+
+def _cuts(groups: DataFrame) -> DataFrame:
+    """(node, dim, cut): for each open node the coordinate from which its upper part starts.
+
+    A table with a row per node, whatever their number; the driver only asks whether one is still open.
+    """
+    counted = groups.withColumnRenamed("bytes", "weight").drop("shards")
+    done, state = [], settle(_widest(groups), "medians")
+    while True:
+        open_ = state.where("cut is null")
+        if open_.isEmpty():
+            break
+        state = settle(_narrowed(counted, open_), "medians")
+        done.append(state.where("cut is not null").select("node", "dim", "cut"))
+    return reduce(DataFrame.union, done) if done else state.select("node", "dim", "cut")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
@@ -127,19 +147,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
     if target_bytes:
         total = groups.agg(F.sum("bytes")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    leaves = {0: shards}  # node: the shards below it; a node is named by its first shard
-    cuts = F.lit(0)
-    groups = groups.withColumn("node", cuts)
-    while open_ := {n: k for n, k in leaves.items() if k > 1}:
-        moved = F.col("node")
-        found = _split(groups, open_)
-        for n, k in open_.items():
-            leaves |= {n: k // 2, n + k // 2: k - k // 2}
-            if n in found:
-                dim, cut = found[n]
-                upper = (F.col("node") == n) & (F.col(dim) >= F.lit(cut))
-                moved = F.when(upper, F.lit(n + k // 2)).otherwise(moved)
-        groups = settle(groups.withColumn("node", moved), "nodes")
+    # A node is named by its first shard and has ``shards`` of them; all come down to one together.
+    groups = groups.withColumns({"node": F.lit(0), "shards": F.lit(int(shards))})
+    for _ in range((int(shards) - 1).bit_length()):
+        told = lookup_small(groups, settle(_cuts(groups), "cuts"), "node", NODES, "group", "left")
+        upper = F.coalesce(_at(F.col("dim")) >= F.col("cut"), F.lit(False))
+        half = F.expr("shards div 2")
+        groups = settle(told.select(
+            "group", "bytes", *DIMENSIONS,
+            F.when(upper, F.col("node") + half).otherwise(F.col("node")).cast("int").alias("node"),
+            F.when(upper | (F.col("shards") == 1), F.col("shards") - half).otherwise(half).cast("int").alias("shards"),
+        ), "nodes")
     placed = rows.join(groups.select("group", F.col("node").alias("shard")), "group")
     placed = settle(placed.withColumn("_h", seeded("slot", "doc_id", "text_crc32")), "placed")
     return running(

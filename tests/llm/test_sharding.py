@@ -58,3 +58,16 @@ def test_leaves_are_boxes(documents, text):
 def test_empty_and_tiny(documents):
     assert sharding.shard(documents(["a"]).where("false")).count() == 0
     assert {r["slot"] for r in sharding.shard(documents(["a", "a", None])).where("size = 2").collect()} == {0, 1}
+
+
+def test_thousands_of_leaves(documents, monkeypatch):
+    """A cut table has a row per node: 4,096 leaves, with the join salted as well as broadcast."""
+    docs = documents([f"text {i} " + "x" * (i * 7919 % 90) for i in range(6_000)])
+    for bound, shards in ((200_000, 4_096), (0, 64)):
+        monkeypatch.setattr(sharding, "NODES", bound)
+        got = sharding.shard(docs, shards).select("shard", "size", "slot", "text_crc32").collect()
+        loads = defaultdict(int)
+        for r in got:
+            loads[r["shard"]] += r["size"]
+        assert len(got) == 6_000 and set(loads) <= set(range(shards)) and len(loads) > 0.8 * shards
+        assert max(loads.values()) <= 2 * sum(loads.values()) / shards + 200
