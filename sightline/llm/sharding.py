@@ -143,12 +143,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
         (F.octet_length(body) + 1).cast("bigint").alias("size"),
         F.crc32(body).alias("text_crc32"), F.sha2(body, 256).alias("group"),
     ), "rows")
-    groups = settle(grouped(rows), "groups")
+    # A node is named by its first shard and has ``shards`` of them; all come down to one together.
+    groups = settle(grouped(rows).withColumn("node", F.lit(0)), "groups")
     if target_bytes:
         total = groups.agg(F.sum("bytes")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    # A node is named by its first shard and has ``shards`` of them; all come down to one together.
-    groups = groups.withColumns({"node": F.lit(0), "shards": F.lit(int(shards))})
+    groups = groups.withColumn("shards", F.lit(int(shards)))
     for _ in range((int(shards) - 1).bit_length()):
         told = lookup_small(groups, settle(_cuts(groups), "cuts"), "node", NODES, "group", "left")
         upper = F.coalesce(_at(F.col("dim")) >= F.col("cut"), F.lit(False))
