@@ -36,7 +36,6 @@ SAMPLE = 0.3
 RARE = 2048
 BLOCK = 1024
 BITS = 4  # of a bitmap, for each token
-BROADCAST_CLASSES = 1_000_000
 
 
 def _lists(arrays) -> pa.Array:
@@ -47,28 +46,29 @@ def _lists(arrays) -> pa.Array:
 
 
 def _described(docs: DataFrame, row: Column, size: int) -> DataFrame:
-    """(row, k, line, n, low): the class, a hash of the words, the number of tokens, and the sampled ones."""
+    """(row, k, line, n, low): the class, a hash of the text, the number of tokens, and the sampled ones."""
     bound = np.int64(round((SAMPLE - 0.5) * 2**64))
 
     def work(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                keys, lines, counts, low = [], [], [], []
+                keys, counts, low = [], [], []
                 for text in part.column("_text").to_pylist():
                     words = lowered_words(text)
                     found = shingle_hashes(words, size)
                     keys.append(_class(found))
-                    lines.append(_line(words))
                     counts.append(len(found))
                     low.append(found[found < bound])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(keys, pa.int64()), pa.array(lines, pa.int64()),
+                    [part.column("row"), pa.array(keys, pa.int64()), part.column("line"),
                      pa.array(counts, pa.int64()), _lists(low)],
                     ["row", "k", "line", "n", "low"],
                 )
 
-    packed = docs.select(row.alias("row"), F.col("text").cast("binary").alias("_text"))
+    packed = docs.select(
+        row.alias("row"), F.xxhash64("text").alias("line"), F.col("text").cast("binary").alias("_text")
+    )
     schema = packed.select("row", *[F.lit(None).cast(t).alias(c) for c, t in (
         ("k", "bigint"), ("line", "bigint"), ("n", "bigint"), ("low", "array<bigint>"))]).schema
     return packed.mapInArrow(work, schema)
@@ -81,54 +81,38 @@ def _class(tokens: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def _line(words: list[bytes]) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
-
-
 def _token_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
-    """(k, tokens, bits, short) of each class of ``asked`` (k, line), from a text with that line.
+    """(k, tokens, bits, short) of each class of ``asked`` (k, line), from a text with that hash.
 
-    ``bits`` and ``short`` are a parity bitmap and 32-bit forms of the tokens.
+    ``bits`` and ``short`` are a parity bitmap and 32-bit forms of the tokens.  Texts are met with the
+    hashes by a semi join, which Spark broadcasts or shuffles by its own bound.
     """
-    small = asked.count() <= BROADCAST_CLASSES
-    wanted = None
-    if small:  # at most 8 MB
-        lines = np.sort(np.array([r["line"] for r in asked.select("line").collect()], np.int64))
-        wanted = docs.sparkSession.sparkContext.broadcast(lines)
 
     def work(batches):
         seen = set()
-        known = wanted.value if wanted else None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                keys, lines, tokens, bits, short = [], [], [], [], []
-                for text in batch.slice(start, 256).column(0).to_pylist():
-                    words = lowered_words(text)
-                    line = _line(words)
-                    if not words or line in seen:
+                part = batch.slice(start, 256)
+                keys, tokens, bits, short = [], [], [], []
+                for text, line in zip(part.column("text").to_pylist(), part.column("line").to_pylist(), strict=True):
+                    if line in seen:
                         continue
-                    if known is not None:
-                        at = np.searchsorted(known, line)
-                        if at == len(known) or known[at] != line:
-                            continue
-                        seen.add(line)  # at most as many as were broadcast
-                    found = shingle_hashes(words, size)
+                    seen.add(line)  # at most the rows of a task
+                    found = shingle_hashes(lowered_words(text), size)
                     keys.append(_class(found))
-                    lines.append(line)
                     tokens.append(found)
                     short.append(shortened(found))
                     bits.append(parity(short[-1], BITS * len(found)).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(lines, pa.int64()), _lists(tokens),
+                    [pa.array(keys, pa.int64()), _lists(tokens),
                      pa.array(bits, pa.binary()), pa.array([x.tobytes() for x in short], pa.binary())],
-                    ["k", "line", "tokens", "bits", "short"],
+                    ["k", "tokens", "bits", "short"],
                 )
 
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(
-        work, "k bigint, line bigint, tokens array<bigint>, bits binary, short binary"
-    )
-    found = found if small else found.join(asked.select("line"), "line", "left_semi")
-    return found.drop("line").dropDuplicates(["k"])
+    texts = docs.select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("line"))
+    wanted = texts.join(asked.select("line"), "line", "left_semi").select("text", "line")
+    found = wanted.mapInArrow(work, "k bigint, tokens array<bigint>, bits binary, short binary")
+    return found.where("k is not null").dropDuplicates(["k"])
 
 
 def _needed(n: int, per_cent: int) -> int:
