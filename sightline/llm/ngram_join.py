@@ -36,6 +36,7 @@ SAMPLE = 0.3
 RARE = 2048
 BLOCK = 1024
 BITS = 4  # of a bitmap, for each token
+BROADCAST_CLASSES = 1_000_000  # hashes of candidate texts, 8 bytes each, that are broadcast
 
 
 def _lists(arrays) -> pa.Array:
@@ -85,8 +86,12 @@ def _token_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """(k, tokens, bits, short) of each class of ``asked`` (k, line), from a text with that hash.
 
     ``bits`` and ``short`` are a parity bitmap and 32-bit forms of the tokens.  Texts are met with the
-    hashes by a semi join, which Spark broadcasts or shuffles by its own bound.
+    hashes by a semi join: up to ``BROADCAST_CLASSES`` hashes are broadcast, so no text moves; beyond
+    them Spark shuffles the texts once, and the result is the same.
     """
+    hashes = asked.select("line")
+    if asked.count() <= BROADCAST_CLASSES:
+        hashes = F.broadcast(hashes)
 
     def work(batches):
         seen = set()
@@ -110,7 +115,7 @@ def _token_sets(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
                 )
 
     texts = docs.select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("line"))
-    wanted = texts.join(asked.select("line"), "line", "left_semi").select("text", "line")
+    wanted = texts.join(hashes, "line", "left_semi").select("text", "line")
     found = wanted.mapInArrow(work, "k bigint, tokens array<bigint>, bits binary, short binary")
     return found.where("k is not null").dropDuplicates(["k"])
 
