@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.plans.lineage import cut
+from sightline.plans.skew import unsent
 
 BLOCK_IDS = 3_000
 BITS = 1 << 15  # of a block's filter, as many as a bitmap of the built-in functions has
@@ -96,15 +97,15 @@ def files(ids: DataFrame, root: str, living: list[tuple[int, int]]) -> DataFrame
     spark = ids.sparkSession
     kept = F.array(*[F.struct(F.lit(b).cast("bigint").alias("b"), F.lit(n).cast("bigint").alias("n")) for b, n in living])
     probes = ids.select("id", F.explode(kept).alias("g")).select(
-        F.col("g.b").alias("batch"), F.pmod(_hash(1), F.col("g.n")).alias("block"),
-        F.array(*[_bit(i) for i in range(PROBES)]).alias("bits"),
-    )
+        "id", F.col("g.b").alias("batch"), F.pmod(_hash(1), F.col("g.n")).alias("block")
+    )
     filters = spark.read.option("basePath", f"{root}/filters").parquet(
         *[f"{root}/filters/batch={b}" for b, _ in living]
     ).withColumn("batch", F.col("batch").cast("bigint"))
     # A filter meets at most the ids of its block that are asked for.
-    met = probes.join(filters, ["batch", "block"])
-    return met.where(F.forall("bits", lambda b: _set(F.col("filter"), b))).select("batch", "file").distinct()
+    met = unsent(probes).join(filters, ["batch", "block"])
+    bits = F.array(*[_bit(i) for i in range(PROBES)])
+    return met.where(F.forall(bits, lambda b: _set(F.col("filter"), b))).select("batch", "file").distinct()
 
 
 def held(ids: DataFrame, root: str, before: int | None = None) -> DataFrame | None:
@@ -123,7 +124,7 @@ def held(ids: DataFrame, root: str, before: int | None = None) -> DataFrame | No
         stored = spark.read.option("basePath", f"{root}/ids").parquet(f"{root}/ids/batch={living[-1][0]}").where("false")
     else:
         stored = spark.read.option("basePath", f"{root}/ids").parquet(*asked)
-    return stored.drop("batch", "file").join(ids, "id", "left_semi")
+    return stored.drop("batch", "file").join(unsent(ids), "id", "left_semi")
 
 
 def compact(spark: SparkSession, root: str, batches: list[int]) -> None:

@@ -47,6 +47,15 @@ def measured(summary: DataFrame) -> tuple[DataFrame, bool]:
     return found
 
 
+def unsent(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, never broadcast.
+
+    Spark guesses the size of settled rows from the files they were once read from, which may be a small
+    part of it; a guess under its bound sends every row through the driver.
+    """
+    return rows.hint("merge")
+
+
 def heavy_keys(weights: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """(keys, _salts) of every key that needs more than one task.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators.links import content
 from sightline.plans import idindex
 from sightline.plans.lineage import cut
+from sightline.plans.skew import unsent
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +36,11 @@ def append_observations(obs: DataFrame, path: str) -> DataFrame:
     held = idindex.held(told, index)
     known = told.withColumn("stored", F.lit(None).cast("string"))
     if held is not None:
-        known = told.join(held.withColumnRenamed("said", "stored"), "id", "left")
+        known = told.join(unsent(held.withColumnRenamed("said", "stored")), "id", "left")
     known = cut(known)
     fresh = known.where("one and stored is null").select("id", "said")
-    rows = obs.join(fresh.select(F.col("id").alias("obs_id")), "obs_id", "left_semi").dropDuplicates(["obs_id"])
+    own = unsent(fresh.select(F.col("id").alias("obs_id")))
+    rows = obs.join(own, "obs_id", "left_semi").dropDuplicates(["obs_id"])
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     idindex.append(fresh, index, batch)
     differs = ~F.col("one") | F.coalesce(F.col("stored") != F.col("said"), F.lit(False))

@@ -97,3 +97,12 @@ def test_an_ambiguity_without_candidates_is_refused(spark):
         "candidates array<struct<interface_id:string,evidence:array<int>>>",
     )
     assert found(links.refused_links(table)) == [("2", "ambiguous_without_candidate"), ("3", "decision_without_rule")]
+
+
+def test_ids_are_never_broadcast(spark, tmp_path):
+    root = str(tmp_path / "ids")
+    idindex.append(spark.range(1_000), root, 0)
+    asked = spark.range(500, 1_500)
+    for rows in (idindex.files(asked, root, idindex.generations(spark, root)), idindex.held(asked, root)):
+        assert "Broadcast" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert idindex.held(asked, root).count() == 500
