@@ -14,17 +14,22 @@ from sightline.streaming import ingest as I
 from sightline.streaming import presence as P
 
 
-ROWS_PER_FILE = 5_000
-PER_BATCH = 4
+ROWS_PER_FILE = 5_000  # at least
+PER_BATCH = 4  # files, at least
+BATCHES = 8  # about; a micro-batch grows with what there is to replay, their number does not
 
 
 def _replayed(df: DataFrame) -> DataFrame:
-    """The rows as a file stream of small files, several micro-batches of them."""
+    """The rows as a file stream, several micro-batches of them."""
     spark = df.sparkSession
     path = scratch_path(spark, "stream")
-    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    rows = max(ROWS_PER_FILE, -(-df.count() // (BATCHES * PER_BATCH)))
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())  # names; few, however many rows
     return (
-        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(path)
+        spark.readStream.schema(df.schema)
+        .option("maxFilesPerTrigger", max(PER_BATCH, -(-files // BATCHES)))
+        .parquet(path)
     )
 
 

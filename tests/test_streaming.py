@@ -88,3 +88,18 @@ def test_repeats_far_apart_stay_out(spark, tmp_path):
     kept = spark.read.parquet(str(tmp_path / "store" / "once")).collect()
     assert sorted(r.obs_id for r in kept) == ["a", "b", "c", "d"]
     assert sum(r.refused for r in spark.read.parquet(str(tmp_path / "store" / "refused")).collect()) == 2
+
+
+def test_the_number_of_micro_batches_stays(spark, monkeypatch):
+    from sightline.catalog import streams
+
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 10)
+    started = {}
+    for n in (400, 8_000):
+        seen = []
+        replayed = streams._replayed(spark.range(n).repartition(2))
+        run = replayed.writeStream.foreachBatch(lambda df, _, seen=seen: seen.append(df.count()))
+        run.trigger(availableNow=True).start().awaitTermination()
+        assert sum(seen) == n
+        started[n] = len(seen)
+    assert 1 < started[8_000] <= started[400] <= streams.BATCHES + 1
