@@ -16,7 +16,7 @@ from sightline.catalog.linking import (
     second_pass,
 )
 from sightline.catalog.reconcile import PERIMETER
-from sightline.catalog.registry import EARLIER, NOW, query
+from sightline.catalog.registry import EARLIER, NOW, is_address, query
 from sightline.functions.facts import macs
 from sightline.operators import devices as D
 from sightline.operators import gaps as G
@@ -325,7 +325,7 @@ def b_retention_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.history(spark, root)
 
 
-_CLASH = """
+_CLASH = f"""
 clash as (
   select o.ipv4, count(distinct o.l2_domain || '/' || f.value) as keys
   from obs o join facts f using (obs_id) where f.field = 'mac' group by 1
@@ -334,7 +334,7 @@ leases as (
   select regexp_replace(ipv4, '[.][0-9]+$', '') as range_id,
     min(cast(regexp_extract(ipv4, '([0-9]+)$', 1) as int)) as low,
     max(cast(regexp_extract(ipv4, '([0-9]+)$', 1) as int)) as high
-  from obs where lease_until is not null group by 1)"""
+  from obs where lease_until is not null and {is_address('ipv4')} group by 1)"""
 
 
 @query(
@@ -360,11 +360,11 @@ def b_ip_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clash.unionByName(static)
 
 
-_SPANS = """
+_SPANS = f"""
 spans as (
   select connector_id as stream, min(n) as low, max(n) as high from (
     select connector_id, list_reduce([cast(x as bigint) for x in string_split(ipv4, '.')],
-      lambda a, b: a * 256 + b) as n from obs) group by 1)"""
+      lambda a, b: a * 256 + b) as n from obs where {is_address('ipv4')}) group by 1)"""
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,9 +393,10 @@ def b_range_cidrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b_static_in_span",
-    """select stream, entity_id, ipv4 from spans join (
+    f"""select stream, entity_id, ipv4 from spans join (
          select entity_id, ipv4, list_reduce([cast(x as bigint) for x in string_split(ipv4, '.')],
-           lambda a, b: a * 256 + b) as n from declared_wide) on n between low and high""",
+           lambda a, b: a * 256 + b) as n from declared_wide where {is_address('ipv4')})
+         on n between low and high""",
     _SPANS,
 )
 def b_static_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -571,7 +572,7 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b_impact_bfs",
-    """select node, min(depth) as depth from walk where depth > 0 and node <> 's1' group by 1""",
+    "select node, depth from walk where depth > 0",
     """deps as (
          select distinct 'c' || o_custkey as src, 's' || l_suppkey as dst
          from lineitem join orders on o_orderkey = l_orderkey where l_quantity < 2
@@ -579,9 +580,10 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
          select distinct 's' || l_suppkey, 'c' || o_custkey
          from lineitem join orders on o_orderkey = l_orderkey
          where l_returnflag = 'R' and l_quantity > 49),
-       walk as (
+       walk(node, depth) using key (node) as (
          select 's1' as node, 0 as depth
-         union select d.src, w.depth + 1 from walk w join deps d on d.dst = w.node where w.depth < 24)""",
+         union select d.src, min(w.depth) + 1 from walk w join deps d on d.dst = w.node
+         where not exists (select 1 from recurring.walk r where r.node = d.src) group by 1)""",
 )
 def b_impact_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = dependencies(spark, sf_dir)
