@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.catalog.registry import query
+from sightline.catalog.registry import is_address, query
 from sightline.functions.facts import once_per_row
 from sightline.operators import quality as Q
 from sightline.sources import tables, wire
@@ -101,6 +101,10 @@ def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
        from feed where record = 'observation' and seq % 60 between 1 and {17 + len(WRONG_FACTS)}
          and seq % 60 <> 9
        union all
+       select stream, seq, 'wrong_type' from feed join obs o on o.obs_id = seq
+       where record = 'observation' and seq % 60 not between 1 and {17 + len(WRONG_FACTS)}
+         and not {is_address('o.ipv4')}
+       union all
        select stream, seq, 'wrong_type' from feed
        where record = 'capability' and seq % 3 > 0
          or record = 'failure' and seq % {len(ERRORS)} < {len(ERRORS) - 4}""",
