@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.catalog.linking import ids, placed_sql
-from sightline.catalog.registry import query
+from sightline.catalog.registry import is_address, query
 from sightline.functions.facts import macs
 from sightline.plans.lineage import scratch_path
 from sightline.sources import tables, wire
@@ -38,7 +38,7 @@ FATE = "case obs_id % 16 when 14 then 'fails' when 15 then 'runs-on' else 'lands
 _POLLS = (
     f"""polls as (select *, connector_id || '/' || strftime(observed_at, '%Y-%m-%d') || '/' || {FATE} as poll
        from obs)""",
-    "landed as (select * from polls where obs_id % 16 < 14)",
+    f"landed as (select * from polls where obs_id % 16 < 14 and {is_address('ipv4')})",
     "keys_in_polls as (select k.*, o.poll from keys k join landed o using (obs_id))",
     placed_sql("desired_in_polls", "keys_in_polls", "landed", "and a.poll = b.poll"),
 )
