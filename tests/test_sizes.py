@@ -44,3 +44,9 @@ def test_query_matches_its_sql(spark, larger, name):
     got = differences(duck(larger), spark, entry.queries()[name], entry.oracle_sql()[name], larger)
     assert got[0] is None, got[0]
     assert got[1] > 0
+
+
+def test_subjects_are_dealt_before_they_are_grouped(spark):
+    for name in ("doc_adopt", "doc_refusals", "doc_refusals_blind"):
+        plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and "Window" not in plan, plan
