@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import settle
+from sightline.llm.common import discard, settle
 
 ROLL = 2
 PERIOD = 3
@@ -127,8 +127,9 @@ def _cut(batches):
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             out = []
-            for text, gone in zip(part["text"].to_pylist(), part["gone"].to_pylist(), strict=True):
-                lines = _lines(text)
+            texts = part["row"].field("text").to_pylist()
+            for text, gone in zip(texts, part["gone"].to_pylist(), strict=True):
+                lines = _lines(text.encode() if text else None)
                 places = chunks(lines)
                 gone = set(gone or ())
                 kept = [x for i, x in enumerate(lines) if i not in gone]
@@ -169,12 +170,14 @@ def dedup(docs: DataFrame, over: int | None = None) -> DataFrame:
     shown = settle(
         texts.mapInArrow(_bytes_of, "of_key binary, of_i int, key binary, i int, line binary"), "shown"
     )
+    discard(told)
     # Rows of the same id and text are one document, so a line that others repeat is one per key and place.
     first = (F.col("key") == F.col("of_key")) & (F.col("i") == F.col("of_i"))
     origin = shown.where(first).groupBy("of_key", "of_i").agg(F.first("line").alias("origin"))
     same = shown.where(~first).join(origin, ["of_key", "of_i"]).where(F.col("line") == F.col("origin"))
     gone = same.groupBy("key").agg(F.collect_set("i").alias("gone"))
-    rows = keyed.join(gone, "key", "left").select("row", "text", "gone")
+    # The text goes once, inside its row.
+    rows = keyed.drop("doc_id", "text").join(gone, "key", "left").select("row", "gone")
     schema = rows.select("row", *[F.lit(None).cast(k).alias(c) for c, k in (
         ("n_lines", "bigint"), ("n_chunks", "bigint"), ("removed_chunks", "bigint"),
         ("removed_lines", "bigint"), ("cleaned", "string"))]).schema

@@ -1,4 +1,7 @@
+import os
+
 from sightline.llm import line_dedup
+from sightline.llm.common import collecting
 
 
 def brute(rows):
@@ -98,3 +101,13 @@ def test_runs_are_linear_in_blank_lines():
     began = time.monotonic()
     assert line_dedup.runs(lines, 50) == {(100_000, 100_001)}
     assert time.monotonic() - began < 1
+
+
+def test_what_nothing_reads_any_more_is_removed(documents):
+    passage = "\n".join(f"{i} a line of the passage that occurs again" for i in range(12))
+    with collecting() as made:
+        got = line_dedup.dedup(documents([f"one\n{passage}", f"{passage}\ntwo", None]), over=50)
+    told, shown = made
+    assert not os.path.exists(told.settled_at.removeprefix("file:")) and shown.count() > 0
+    assert sorted(r.cleaned for r in got.collect()) == ["", f"one\n{passage}", "two"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("as binary) AS text") == 0
