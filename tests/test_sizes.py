@@ -50,3 +50,13 @@ def test_subjects_are_dealt_before_they_are_grouped(spark):
     for name in ("doc_adopt", "doc_refusals", "doc_refusals_blind"):
         plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
         assert "Join" not in plan and "Window" not in plan, plan
+
+
+def test_items_are_dealt_before_they_are_counted(spark):
+    from sightline.operators import robust
+
+    rows = lambda *r: spark.createDataFrame(r, "obs_id int, claim string")
+    extra = robust.unaccounted(rows((1, "a"), (1, "a"), (1, "a"), (2, None), (3, "c")), rows((1, "a"), (2, None), (9, "z")))
+    plan = extra._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange"), plan
+    assert sorted(tuple(r) for r in extra.collect()) == [(1, "a"), (1, "a"), (3, "c")]
