@@ -55,6 +55,31 @@ def numbered(lines: DataFrame) -> DataFrame:
     return placed.select("stream", seq.cast("bigint").alias("seq"), "line")
 
 
+def packed(poll: Column, line: Column) -> Column:
+    """A line behind the name of its poll, so that many short polls may stand in one file.
+
+    A file each would cost more to open, name and list than its lines do to read.
+    """
+    return F.concat(poll.cast("string"), F.lit("\t"), line)
+
+
+def unpacked(lines: DataFrame) -> DataFrame:
+    """(stream, poll, seq, line) of packed lines; ``seq`` is still the place in the file."""
+    tab = F.instr("line", "\t")
+    return lines.select(
+        "stream", F.substring("line", F.lit(1), tab - 1).alias("poll"), "seq",
+        F.substring("line", tab + 1, F.length("line")).alias("line"),
+    )
+
+
+def in_poll(poll: list[str]) -> Column:
+    """A line's number in its poll, from 0, over rows of every line, empty ones too.
+
+    The lines of a poll stand together in one file; ask this of narrow rows, as they are shuffled.
+    """
+    return F.col("seq") - F.min("seq").over(Window.partitionBy(*poll))
+
+
 def utc(text: Column) -> Column:
     return F.when(text.rlike(ISO_PATTERN), F.regexp_replace(text, "Z$", "")).try_cast(
         "timestamp_ntz"
@@ -79,8 +104,13 @@ def _ingested(f: Column) -> Column:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Records of the non-empty lines; every column of other record kinds is NULL."""
+    return parse_every(lines.where("line <> ''"))
+
+
+def parse_every(lines: DataFrame, *carry: str) -> DataFrame:
+    """Records of all lines, those of empty ones all NULL; ``carry`` names columns to keep."""
     read = F.from_json("line", LINE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
-    parsed = lines.where("line <> ''").select("stream", "seq", "line", once_per_row(r=read))
+    parsed = lines.select("stream", "seq", "line", *carry, once_per_row(r=read))
     code = F.coalesce(F.element_at(F.json_object_keys("r.error"), 1), F.col("r.error"))
     boxed = F.from_json("r.error", "map<string,struct<detail:string,status:int,os_version_hint:string>>")
     told = F.element_at(F.map_values(boxed), 1)
@@ -104,6 +134,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         told["status"].alias("error_status"),
         told["os_version_hint"].alias("error_hint"),
         "line",
+        *carry,
     )
 
 

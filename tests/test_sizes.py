@@ -60,3 +60,15 @@ def test_items_are_dealt_before_they_are_counted(spark):
     plan = extra._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("HashAggregate") < plan.index("Exchange"), plan
     assert sorted(tuple(r) for r in extra.collect()) == [(1, "a"), (1, "a"), (3, "c")]
+
+
+def test_many_short_files_are_kept_in_few(spark, monkeypatch, tmp_path):
+    from sightline.catalog import feeds
+
+    monkeypatch.setattr(feeds, "LINES_PER_FILE", 10)
+    monkeypatch.setattr(feeds, "scratch_path", lambda spark, name: str(tmp_path / name))
+    sql = entry.oracle_sql()["src_stream_lines"].replace("// 1000", "// 10")
+    got = differences(duck(SMALL), spark, entry.queries()["src_stream_lines"], sql, SMALL)
+    assert got[0] is None, got[0]
+    # 500 files of five streams; a text file per stream and task.
+    assert 0 < len(list(tmp_path.rglob("*.txt"))) <= 5 * 8
