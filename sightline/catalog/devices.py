@@ -13,6 +13,7 @@ from sightline.catalog.linking import (
     INTERFACE,
     earlier_sightings,
     pairs_of,
+    passes,
     second_pass,
 )
 from sightline.catalog.reconcile import PERIMETER
@@ -740,8 +741,10 @@ history as (
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs, _, done = second_pass(spark, sf_dir)
-    return H.with_versions(H.address_history(obs), H.versions_of(done.links, done.interfaces))
+    seen = cut(H.narrow(tables.sightings(spark, sf_dir)))
+    # What the first pass left is all current, and the second looks at every sighting, so it meets all versions.
+    done = passes(seen)
+    return H.address_history(seen, H.versions_met(done.actions, done.interfaces))
 
 
 @query(

@@ -46,6 +46,22 @@ def held_before(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first.interfaces, first.links
 
 
+def passes(seen: DataFrame) -> links.Pass:
+    """The pass over everything, of settled narrow sightings (``history.narrow``); its actions are to be read once."""
+    slim = ["obs_id", "observed_at", "l2_domain", "macs"]
+    # Repeats of a sighting are equal up to raw text and fact order.
+    told = cut(seen.select(*slim, "connector_id").distinct())
+    blind = F.when(F.col("connector_id") == "error", F.slice("macs", 1, 0)).otherwise(F.col("macs"))
+    early = told.where(F.col("observed_at") < F.lit(EARLIER).cast("timestamp_ntz")).withColumn("macs", blind)
+    rows, early = told.select(*slim), early.select(*slim)
+    first = links.resolve(
+        early, links.empty_interfaces(rows), links.empty_links(rows), "first", check=False, settle=True, rows=early
+    )
+    return links.resolve(
+        rows, first.interfaces, first.links, "second", check=False, settle=True, rows=rows, settle_actions=False
+    )
+
+
 def second_pass(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, links.Pass]:
     obs = tables.sightings(spark, sf_dir)
     interfaces, held = held_before(obs)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline import schemas as S
@@ -390,9 +390,14 @@ def resolve(
     check: bool = True,
     settle: bool = False,
     set_late_aside: bool = False,
+    rows: DataFrame | None = None,
+    settle_actions: bool = True,
 ) -> Pass:
     """A whole pass.  With ``check``, refusals are looked for before anything is returned.
 
+    ``rows`` are the slim sightings where the caller has settled them already; without ``settle_actions``
+    the actions are left lazy, for a caller that reads them once.
+
     With ``settle`` the interfaces met and the actions are checkpointed, so the
     tables written from them come from one computation.  With ``set_late_aside``
     a replacement dated before the version it would replace is left out of the
@@ -400,7 +405,7 @@ def resolve(
     """
     if check and not contradictions(obs).isEmpty():
         raise Refused("sightings of one id differ")
-    rows = slim(obs)
+    rows = slim(obs) if rows is None else rows
     resolved = resolved_interfaces(keys_of(rows), interfaces)
     if settle:
         resolved = cut(resolved)
@@ -408,7 +413,7 @@ def resolve(
     if check and not operator_collisions(wanted, links).isEmpty():
         raise Refused("an operator holds a slot this pass would write")
     actions = diff(wanted, links, rows)
-    if settle:
+    if settle and settle_actions:
         actions = cut(actions)
     late = regressed(actions)
     if set_late_aside:
@@ -628,14 +633,17 @@ def empty_links(obs: DataFrame) -> DataFrame:
         "valid_from": at.simpleString(),
         "valid_to": at.simpleString(),
     }
-    ddl = ", ".join(f"{c} {t}" for c, t in types.items())
-    return obs.sparkSession.createDataFrame([], ddl)
+    return _empty(obs.sparkSession, types)
+
+
+def _empty(spark: SparkSession, types: dict[str, str]) -> DataFrame:
+    # Known to be empty when a plan is made, so joins with it fall away.
+    return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(t).alias(c) for c, t in types.items()])
 
 
 def empty_interfaces(obs: DataFrame) -> DataFrame:
     domain, at = obs.schema["l2_domain"].dataType, obs.schema["observed_at"].dataType
-    return obs.sparkSession.createDataFrame(
-        [],
-        f"interface_id string, l2_domain {domain.simpleString()}, mac string, "
-        f"first_seen_at {at.simpleString()}, last_seen_at {at.simpleString()}",
-    )
+    types = dict.fromkeys(S.INTERFACE_COLUMNS, "string") | {
+        "l2_domain": domain.simpleString(), "first_seen_at": at.simpleString(), "last_seen_at": at.simpleString()
+    }
+    return _empty(obs.sparkSession, types)

@@ -161,3 +161,61 @@ def test_source_view_of_refused_missing_and_silent_sources(spark):
     }
     assert rows["a"].observes == ["Mac", "Rtt"] and rows["b"].observes == []
     assert rows["b"].cannot_see == rows["d"].cannot_see == S.FACT_KINDS
+
+
+def test_runs_and_versions_over_many_slices(spark, monkeypatch):
+    seen = [
+        (1, "m", i, i // 3, None if i % 50 < 20 else f"10.0.0.{i // 13 % 2}", "h" if i < 150 else None)
+        for i in range(300)
+    ] + [(2, "m", 900, 5, "10.0.0.9", ""), (3, "n", 901, 5, None, None), (3, "n", 902, 5, None, None)]
+    # Before the first row, at its instant, behind the last, of one instant by the dozen, and of no interface seen.
+    begun = [(1, "m", 1000 + i, i % 120 - 5, i % 3 == 0) for i in range(240)] + [
+        (1, "m", 5000 + i, 50, True) for i in range(40)
+    ] + [(2, "m", 9000, 4, True), (2, "m", 9001, 5, False), (3, "n", 9002, 7, True), (9, "z", 9003, 7, True)]
+    df = spark.createDataFrame(seen, ROWS).repartition(5)
+    versions = spark.createDataFrame(
+        begun, "l2_domain int, mac string, obs_id long, observed_at int, ended boolean"
+    ).repartition(3)
+    want = set()
+    for key, rows in groupby(sorted(seen, key=lambda r: (r[0], r[1], r[3], r[2])), key=lambda r: r[:2]):
+        runs = [(worn, list(g)) for worn, g in groupby(rows, key=lambda r: r[4:])]
+        starts = [run[0][3] for _, run in runs]
+        fell = [(sum(s <= v[3] for s in starts), v[4]) for v in begun if v[:2] == key]
+        for n, (worn, run) in enumerate(runs, 1):
+            of = [ended for stretch, ended in fell if stretch == n]
+            until = starts[n] if n < len(runs) else None
+            want.add((*key, n, *worn, run[0][3], run[-1][3], len(run), until, len(of), sum(of)))
+    columns = ["l2_domain", "mac", "stretch", "ipv4", "hostname", "first_seen_at", "last_seen_at", "sightings", "until",
+               "versions", "ended"]
+    for slices in (None, 2, 97):
+        monkeypatch.setattr(H, "SLICES", slices)
+        got = H.stretches(df, H.KEY, ["observed_at", "obs_id"], ["ipv4", "hostname"], versions).select(*columns).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want, slices
+        bare = H.stretches(df, H.KEY, ["observed_at", "obs_id"], ["ipv4", "hostname"]).select(*columns[:-2]).collect()
+        assert {tuple(r) for r in bare} == {w[:-2] for w in want}, slices
+
+
+def test_history_reads_the_sightings_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    read, given = spark.sparkContext.accumulator(0), tables.sightings
+
+    def counted(_):
+        read.add(1)
+        return True
+
+    tell = F.udf(counted, "boolean")
+    monkeypatch.setattr(tables, "sightings", lambda spark, sf_dir: given(spark, sf_dir).where(tell("obs_id")))
+    entry.queries()["b_address_history"](spark, SMALL).write.format("noop").mode("overwrite").save()
+    assert read.value == spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
+def test_versions_are_those_of_the_link_table(spark):
+    from sightline.catalog.linking import passes, second_pass
+
+    _, _, done = second_pass(spark, SMALL)
+    want = H.versions_of(done.links, done.interfaces).groupBy(*H.KEY, "valid_from", "ended").count()
+    lazy = passes(H.narrow(tables.sightings(spark, SMALL)))
+    got = H.versions_met(lazy.actions, lazy.interfaces).groupBy(*H.KEY, "valid_from", "ended").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("ended").count() > 0
