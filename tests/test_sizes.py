@@ -72,3 +72,21 @@ def test_many_short_files_are_kept_in_few(spark, monkeypatch, tmp_path):
     assert got[0] is None, got[0]
     # 500 files of five streams; a text file per stream and task.
     assert 0 < len(list(tmp_path.rglob("*.txt"))) <= 5 * 8
+
+
+def test_hosted_brands_are_met_without_broadcasts(spark, monkeypatch):
+    from sightline.catalog import devices
+
+    monkeypatch.setattr(devices, "_history", lambda spark, sf_dir: spark.range(1))
+    monkeypatch.setattr(devices.H, "records", lambda history, terms, hosted: hosted)
+    hosted = entry.queries()["b_full_record"](spark, SMALL)
+    plan = hosted._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan, plan
+    sql = entry.oracle_sql()["b_full_record"]
+    body = "select mac, count(distinct p_brand)::bigint as instances from declared_wide"
+    views = sql[: sql.index("declared as (")].rstrip().rstrip(",")
+    want = duck(SMALL).execute(
+        f"{views} {body} join orders on o_custkey = entity_id join lineitem on l_orderkey = o_orderkey "
+        "join part on p_partkey = l_partkey where mac is not null group by 1"
+    ).fetchall()
+    assert sorted(map(tuple, hosted.collect())) == sorted(want) and want
